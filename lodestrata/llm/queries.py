@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, splitting, truncation
+from . import encoding, neardup, splitting, truncation, vectors
 from .common import records, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_pairs(table(spark, sf_dir, "embedding_vector_batch"))
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.most_similar(table(spark, sf_dir, "embedding_vector_batch"), least=0.8)
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.recall(table(spark, sf_dir, "embedding_vector_batch"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.Similar(records(spark, sf_dir)).links()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.Similar(records(spark, sf_dir)).groups()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(records(spark, sf_dir))
 
