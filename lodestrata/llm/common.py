@@ -38,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps columns prunable, outlives executors."""
-    at = os.path.join(shared_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps columns prunable, outlives executors.
+
+    The shuffle files of the write aren't needed afterwards; they are removed where Spark offers it.
+    """
+    spark = df.sparkSession
+    at = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def present(c: Column | str) -> Column:
