@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, neardup, splitting, truncation, vectors
+from . import encoding, neardup, newtext, splitting, truncation, vectors
 from .common import records, table
 
 
@@ -39,6 +39,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_records(records(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newtext.newly_written(table(spark, sf_dir, "search_context_document"))
+
+
+def p4_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newtext.new_texts(table(spark, sf_dir, "search_context_document"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
