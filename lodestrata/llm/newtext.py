@@ -14,9 +14,9 @@ tell what is new.
 4. *Sender window.* A short line that the same sender has at the end of several of their mails, though no closing formula
    comes before, is part of a signature.
 
-Scale: a mail's lines are one window, bounded by the mail; thread and sender windows work on hashes of lines, and count
-with partial aggregation before the shuffle. A subject that many unrelated mails share makes one thread per correspondents,
-so it is no hot key.
+Scale: a mail's lines are one window, bounded by the mail. The thread and the sender step work on hashes of lines: they
+aggregate by (thread, line) and (sender, line), partially before the shuffle, so neither a busy sender nor a subject that
+many mails share brings its lines into one task.
 
 Defined results: null and empty texts give no line; lines of white space are never given; CR at a line's end doesn't
 count; replayed mails count once by key; a mail without an empty line has only header lines as far as they look so.
@@ -113,7 +113,7 @@ def structure(x: DataFrame) -> DataFrame:
     plain = body & ~F.col("quote")
     opens = plain & ((F.col("separator") & (F.col("headers_ahead") >= 1)) | (_re(line, RULE) & (F.col("headers_ahead") >= 2)) | (_re(line, SENDER) & (F.col("headers_ahead") >= 2)))
     intro = plain & (F.col("intro_whole") | (F.col("intro_first") & F.col("next_last")) | (F.col("intro_last") & F.col("prev_first")))
-    x = x.select("*", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro, F.coalesce("indent_ahead", F.lit(False))).alias("style"))
+    x = x.select("*", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), F.coalesce("indent_ahead", F.lit(False))).alias("style"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", F.max("opens").over(upto).alias("old"), F.coalesce(F.last("style", ignorenulls=True).over(upto), F.lit(False)).alias("indented_quotes"))
     quoted = F.col("quote") | F.col("intro") | (F.col("indented_quotes") & F.col("indent"))
@@ -152,7 +152,8 @@ def newly_written(df: DataFrame) -> DataFrame:
     """(artifact_id, line_no) of each newly written line of the e-mails in ``df`` (search_context_document)."""
     x = structure(lines(mails(df)))
     kept = x.where(F.col("fresh") & ~F.col("signed")).select(
-        "artifact_id", "line_no", "thread", "sender", "sent", F.length("line").alias("size"), F.xxhash64(F.lower(F.regexp_replace("line", r"\s+", " "))).alias("h"), F.col("stretch")
+        "artifact_id", "line_no", "thread", "sender", "sent", F.length("line").alias("size"), F.xxhash64(F.lower(F.regexp_replace("line", r"\s+", " "))).alias("h"), "stretch",
+        ((F.length("line") < 60) & ~_re(F.col("line"), r"[.!?,:;)–-]\s*$")).alias("short"),
     )
     long = kept.where(F.col("size") >= 40)
     # Thread window: the earliest author of each longer line, with the partial aggregate before the shuffle.
@@ -161,7 +162,7 @@ def newly_written(df: DataFrame) -> DataFrame:
     copied = long.join(authors, ["thread", "h"]).where((F.col("sender") != F.col("first_sender")) & (F.col("sent") > F.col("first_sent"))).select("artifact_id", "line_no")
     # Sender window: short last lines of a mail that recur in the sender's mails.
     last = Window.partitionBy("artifact_id", "stretch").orderBy(F.desc("line_no"))
-    tail = kept.withColumn("r", F.row_number().over(last)).where((F.col("r") <= 3) & (F.col("size") < 60))
+    tail = kept.withColumn("r", F.row_number().over(last)).where((F.col("r") <= 3) & F.col("short"))
     recurring = tail.groupBy("sender", "h").agg(F.count_distinct("artifact_id").alias("mails"), F.min("r").alias("r")).where(F.col("mails") >= 3)
     closers = tail.select("artifact_id", "line_no", "sender", "h").join(recurring.select("sender", "h"), ["sender", "h"]).select("artifact_id", "line_no")
     out = copied.unionByName(closers).distinct()
