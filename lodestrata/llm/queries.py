@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, neardup, newtext, splitting, truncation, vectors
+from . import encoding, neardup, newtext, pii, splitting, truncation, vectors
 from .common import records, table
 
 
@@ -47,6 +47,16 @@ def p4_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newtext.new_texts(table(spark, sf_dir, "search_context_document"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pii.lexicon(table(spark, sf_dir, "search_context_document"))
+    return pii.spans(records(spark, sf_dir), names).select("tbl", "record_key", "start_char", "kind")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pii.lexicon(table(spark, sf_dir, "search_context_document"))
+    return pii.redacted(records(spark, sf_dir), names)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
