@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, neardup, newtext, pii, splitting, truncation, vectors
+from . import encoding, mixing, neardup, newtext, pii, splitting, truncation, vectors
 from .common import records, table
 
 
@@ -69,6 +69,18 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text").join(back, "doc_id").groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).selection()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
