@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Words of four languages that mail programs use.
 HEADER = r"^\W{0,3}(?:From|Von|De|Sent|Gesendet|Envoy[ée]|Enviado(?: el)?|To|An|À|A|Para|Cc|Kopie|Subject|Betreff|Objet|Asunto|Date|Datum|Fecha)\*?\s?:"
 SENDER = r"^\W{0,3}(?:From|Von|De)\*?\s?:"
@@ -58,91 +60,96 @@ def mails(df: DataFrame) -> DataFrame:
 
 
 def lines(m: DataFrame) -> DataFrame:
-    """(artifact_id, line_no, line, thread, sender, sent) with one row for each line that isn't white space, and for the
-    first empty one. Soft breaks of transfers at a line's end (``=20``, ``=``) are taken off."""
-    t = F.regexp_replace("text", r"(?:=20)?[ \t]*=?\r?(?=\n|$)", "")
-    head = F.regexp_extract("text", r"^(?s)(.*?)\n[ \t]*\r?(?:\n|$)", 1)
+    """(artifact_id, line_no, line, thread, sender, who, sent) with one row for each line without a quote mark; soft breaks
+    of transfers at a line's end (``=20``, ``=``) are taken off. Quoted lines need no further look: that some stood between
+    two lines is seen by their numbers."""
+    head = F.substring_index(F.regexp_replace(F.substring_index("text", "\n\n", 1), r"\r", ""), "\n\n", 1)
     field = lambda name: F.trim(F.regexp_extract(head, rf"(?im)^{name}[ \t]*:[ \t]*(.*)$", 1))
-    subject = F.lower(field("Subject"))
-    subject = F.regexp_replace(F.regexp_replace(subject, r"^(?:(?:re|aw|wg|fwd?|tr|rv|antwort)\s*(?:\[\d+\])?\s*:\s*)+", ""), r"\s*\(copy\)|=20|\s+", " ")
-    sender = F.lower(field("From"))
+    m = m.select("artifact_id", "text", *(field(k).alias(k) for k in ("Subject", "From", "Date")))
+    subject = F.regexp_replace(F.lower("Subject"), r"^(?:(?:re|aw|wg|fwd?|tr|rv|antwort)\s*(?:\[\d+\])?\s*:\s*)+", "")
+    subject = F.regexp_replace(subject, r"\s*\(copy\)|=20|\s+", " ")
+    sender = F.lower("From")
     address = F.regexp_extract(sender, r"([^\s<>\"]+@[^\s<>\"]+)", 1)
     display = F.trim(F.regexp_replace(F.regexp_replace(sender, r"<[^>]*>", ""), r"[\"=]|\S+@\S+", ""))
     display = F.when(display.contains(","), F.concat_ws(" ", F.trim(F.element_at(F.split(display, ","), -1)), F.trim(F.element_at(F.split(display, ","), 1)))).otherwise(display)
-    day = F.regexp_extract(field("Date"), r"(\d{1,2} \p{L}{3} \d{4} \d{1,2}:\d{2})", 1)
+    day = F.regexp_extract("Date", r"(\d{1,2} \p{L}{3} \d{4} \d{1,2}:\d{2})", 1)
     x = m.select(
         "artifact_id",
         F.xxhash64(F.trim(subject)).alias("thread"),
         F.xxhash64(F.when(address != "", address).otherwise(sender)).alias("sender"),
         display.alias("who"),
         F.unix_timestamp(F.try_to_timestamp(day, F.lit("d MMM yyyy H:mm"))).alias("sent"),
-        F.posexplode(F.split(t, "\n")).alias("p", "line"),
-    )
-    return x.select("artifact_id", (F.col("p") + 1).alias("line_no"), F.regexp_replace("line", r"\s+$", "").alias("line"), "thread", "sender", "who", "sent")
+        F.posexplode(F.split("text", "\n")).alias("p", "line"),
+    ).where(~_re(F.col("line"), QUOTE))
+    line = F.regexp_replace("line", r"(?:=20)?[ \t]*=?[ \t\r]*$", "")
+    return x.select("artifact_id", (F.col("p") + 1).alias("line_no"), line.alias("line"), "thread", "sender", "who", "sent")
 
 
 def structure(x: DataFrame) -> DataFrame:
     """Adds ``fresh`` (neither header, quote, introduction nor older message) and ``signed`` (from a signature on)."""
-    line = F.col("line")
-    blank = ~line.rlike(r"\S")
+    line, size = F.col("line"), F.length("line")
     w = Window.partitionBy("artifact_id").orderBy("line_no")
-    ahead = w.rowsBetween(1, 3)
-    quote = _re(line, QUOTE)
-    header = _re(line, HEADER)
+    dated = _re(line, DATE) & _re(line, TIME)
+    ends = line.endswith(":")
     x = x.select(
         "*",
-        blank.alias("blank"),
-        quote.alias("quote"),
-        (header & ~quote).alias("header"),
-        _re(line, SEPARATOR).alias("separator"),
+        (~line.rlike(r"\S")).alias("blank"),
+        (line.contains(":") & _re(line, HEADER)).alias("header"),
+        ((size < 90) & _re(line, SEPARATOR)).alias("separator"),
         _re(line, r"^(?: {4}|\t)").alias("indent"),
-        (_re(line, DATE) & _re(line, TIME) & _re(line, rf"{WROTE}.*:$|(?:wrote on|schrieb am|a écrit le|escribió el).*:$|^\s*\p{{L}}{{2,4}}\.?,? .*{TIME}.{{2,60}}:$")).alias("intro_whole"),
-        (_re(line, rf"^\s*(?:On|Am|Le|El|\p{{L}}{{2,4}},)\s.*{DATE}") & _re(line, TIME) & _re(line, r"(?:,|<|schrieb|\p{L}|>)$") & (F.length(line) < 110)).alias("intro_first"),
-        (_re(line, WROTE + r"(?: le| on| am| el)?\s?:$|^.*<[^>]*>\s?:$")).alias("intro_last"),
+        (ends & dated & _re(line, rf"{WROTE}.*:$|(?:wrote on|schrieb am|a écrit le|escribió el).*:$|^\s*\p{{L}}{{2,4}}\.?,? .*{TIME}.{{2,60}}:$")).alias("intro_whole"),
+        ((size < 110) & dated & _re(line, rf"^\s*(?:On|Am|Le|El|\p{{L}}{{2,4}},)\s.*{DATE}") & _re(line, r"(?:,|<|schrieb|\p{L}|>)$")).alias("intro_first"),
+        (ends & _re(line, WROTE + r"(?: le| on| am| el)?\s?:$|^.*<[^>]*>\s?:$")).alias("intro_last"),
     )
+    everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = x.select(
         "*",
-        F.min(F.when(F.col("blank"), F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("head_end"),
-        F.lead("intro_last", 1, False).over(w).alias("next_last"),
-        F.lag("intro_first", 1, False).over(w).alias("prev_first"),
-        F.coalesce(F.sum(F.col("header").cast("int")).over(ahead), F.lit(0)).alias("headers_ahead"),
-        F.first(F.when(~F.col("blank"), F.col("indent")), ignorenulls=True).over(w.rowsBetween(1, 4)).alias("indent_ahead"),
+        F.min(F.when(F.col("blank"), F.col("line_no"))).over(everything).alias("head_end"),
+        (F.col("line_no") - F.row_number().over(w)).alias("gone"),
+        F.lead(F.struct("intro_last", "line_no"), 1).over(w).alias("after"),
+        F.lag(F.struct("intro_first", "line_no"), 1).over(w).alias("before"),
+        F.coalesce(F.sum(F.col("header").cast("int")).over(w.rowsBetween(1, 3)), F.lit(0)).alias("headers_ahead"),
+        F.first(F.when(~F.col("blank"), F.struct("indent", "line_no")), ignorenulls=True).over(w.rowsBetween(1, 4)).alias("text_ahead"),
     )
-    head_end = F.coalesce("head_end", F.lit(0))
-    body = F.col("line_no") > head_end
-    plain = body & ~F.col("quote")
-    opens = plain & ((F.col("separator") & (F.col("headers_ahead") >= 1)) | (_re(line, RULE) & (F.col("headers_ahead") >= 2)) | (_re(line, SENDER) & (F.col("headers_ahead") >= 2)))
-    intro = plain & (F.col("intro_whole") | (F.col("intro_first") & F.col("next_last")) | (F.col("intro_last") & F.col("prev_first")))
-    x = x.select("*", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), F.coalesce("indent_ahead", F.lit(False))).alias("style"))
+    no = F.col("line_no")
+    next_last = F.coalesce(F.col("after.intro_last") & (F.col("after.line_no") == no + 1), F.lit(False))
+    prev_first = F.coalesce(F.col("before.intro_first") & (F.col("before.line_no") == no - 1), F.lit(False))
+    indented_ahead = F.coalesce(F.col("text_ahead.indent") & (F.col("text_ahead.line_no") <= no + 4), F.lit(False))
+    body = no > F.coalesce("head_end", F.lit(0))
+    opens = body & ((F.col("separator") & (F.col("headers_ahead") >= 1)) | ((F.col("headers_ahead") >= 2) & (_re(line, RULE) | _re(line, SENDER))))
+    intro = body & (F.col("intro_whole") | (F.col("intro_first") & next_last) | (F.col("intro_last") & prev_first))
+    x = x.select("artifact_id", "line_no", "line", "thread", "sender", "who", "sent", "blank", "indent", "gone", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), indented_ahead).alias("style"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", F.max("opens").over(upto).alias("old"), F.coalesce(F.last("style", ignorenulls=True).over(upto), F.lit(False)).alias("indented_quotes"))
-    quoted = F.col("quote") | F.col("intro") | (F.col("indented_quotes") & F.col("indent"))
+    quoted = F.col("intro") | (F.col("indented_quotes") & F.col("indent"))
     x = x.withColumn("quoted", quoted).withColumn("fresh", F.col("body") & ~F.col("blank") & ~F.col("old") & ~quoted)
-    x = x.withColumn("stretch", F.sum((quoted & ~F.col("blank")).cast("int")).over(upto))
+    x = x.withColumn("stretch", F.col("gone") + F.sum((quoted & ~F.col("blank")).cast("int")).over(upto)).where(F.col("body") & ~F.col("old") & ~F.col("quoted"))
     one = Window.partitionBy("artifact_id", "stretch").orderBy("line_no")
-    low = F.lower(F.trim(line))
-    who = F.col("who")
-    named = (F.length(who) > 1) & ((low == who) | (low == F.element_at(F.split(who, r"\s+"), 1)))
+    who, low = F.col("who"), F.lower(F.trim(line))
     x = x.select(
         "*",
         F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(one.rowsBetween(Window.unboundedPreceding, -1)).alias("fresh_before"),
         F.lag("blank", 1, True).over(one).alias("after_blank"),
         F.first(F.when(~F.col("blank"), F.col("line")), ignorenulls=True).over(one.rowsBetween(1, 3)).alias("next_line"),
-        named.alias("named"),
+        ((F.length(who) > 1) & (size < 60) & ((low == who) | (low == F.element_at(F.split(who, r"\s+"), 1)))).alias("named"),
     )
     following = F.col("next_line")
-    below = following.isNull() | _re(following, CONTACT) | _re(following, TITLE) | _re(following, DEVICE) | _re(following, LEGAL) | _re(following, MARK)
+    short = F.length(following) < 90
+    below = following.isNull() | (short & (_re(following, CONTACT) | _re(following, TITLE) | _re(following, DEVICE) | _re(following, MARK))) | _re(following, LEGAL)
     first = F.coalesce("fresh_before", F.lit(0)) == 0
+    name = (size < 60) & _re(line, NAME)
     starts = F.col("fresh") & (
-        _re(line, CLOSING)
-        | _re(line, MARK)
-        | _re(line, DEVICE)
-        | (_re(line, LEGAL) & F.col("after_blank"))
-        | (F.col("named") & F.col("after_blank") & (~first | below))
-        | (_re(line, NAME) & F.col("after_blank") & ~first & (F.length(line) < 60))
-        | (_re(line, NAME) & F.col("after_blank") & first & following.isNotNull() & below)
-        | (_re(line, CONTACT) & F.col("after_blank") & (F.length(line) < 80))
-        | (_re(line, TITLE) & F.col("after_blank") & (F.length(line) < 60))
+        ((size < 60) & (_re(line, CLOSING) | _re(line, MARK) | _re(line, DEVICE)))
+        | (
+            F.col("after_blank")
+            & (
+                ((F.col("named") | name) & (~first | (following.isNotNull() & below)))
+                | (F.col("named") & below)
+                | ((size < 80) & _re(line, CONTACT))
+                | ((size < 60) & _re(line, TITLE))
+                | _re(line, LEGAL)
+            )
+        )
     )
     x = x.withColumn("starts", starts)
     return x.withColumn("signed", F.max("starts").over(one.rowsBetween(Window.unboundedPreceding, 0)))
@@ -151,10 +158,10 @@ def structure(x: DataFrame) -> DataFrame:
 def newly_written(df: DataFrame) -> DataFrame:
     """(artifact_id, line_no) of each newly written line of the e-mails in ``df`` (search_context_document)."""
     x = structure(lines(mails(df)))
-    kept = x.where(F.col("fresh") & ~F.col("signed")).select(
+    kept = materialise(x.where(F.col("fresh") & ~F.col("signed")).select(
         "artifact_id", "line_no", "thread", "sender", "sent", F.length("line").alias("size"), F.xxhash64(F.lower(F.regexp_replace("line", r"\s+", " "))).alias("h"), "stretch",
         ((F.length("line") < 60) & ~_re(F.col("line"), r"[.!?,:;)–-]\s*$")).alias("short"),
-    )
+    ), "new-lines")
     long = kept.where(F.col("size") >= 40)
     # Thread window: the earliest author of each longer line, with the partial aggregate before the shuffle.
     authors = long.groupBy("thread", "h").agg(F.min(F.struct("sent", "sender")).alias("first"), F.min("sender").alias("a"), F.max("sender").alias("b")).where(F.col("a") != F.col("b"))
