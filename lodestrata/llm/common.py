@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialise, shared_dir
+
+__all__ = ["CHUNK", "DOCUMENT", "materialise", "present", "records", "shared_dir", "table"]
+
 DOCUMENT = "document"
 CHUNK = "chunk"
 
@@ -28,35 +28,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(c)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``. A local one is made only if none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps columns prunable, outlives executors.
-
-    The shuffle files of the write aren't needed afterwards; they are removed where Spark offers it.
-    """
-    spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(at)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def present(c: Column | str) -> Column:
     """Neither null nor empty."""
     c = F.col(c) if isinstance(c, str) else c
