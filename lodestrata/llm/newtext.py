@@ -19,7 +19,7 @@ aggregate by (thread, line) and (sender, line), partially before the shuffle, so
 many mails share brings its lines into one task.
 
 Defined results: null and empty texts give no line; lines of white space are never given; CR at a line's end doesn't
-count; replayed mails count once by key; a mail without an empty line has only header lines as far as they look so.
+count; replayed mails count once by key; in a mail without an empty line only lines that look like header lines are such.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def structure(x: DataFrame) -> DataFrame:
     next_last = F.coalesce(F.col("after.intro_last") & (F.col("after.line_no") == no + 1), F.lit(False))
     prev_first = F.coalesce(F.col("before.intro_first") & (F.col("before.line_no") == no - 1), F.lit(False))
     indented_ahead = F.coalesce(F.col("text_ahead.indent") & (F.col("text_ahead.line_no") <= no + 4), F.lit(False))
-    body = no > F.coalesce("head_end", F.lit(0))
+    body = F.when(F.col("head_end").isNull(), ~F.col("header")).otherwise(no > F.col("head_end"))
     opens = body & ((F.col("separator") & (F.col("headers_ahead") >= 1)) | ((F.col("headers_ahead") >= 2) & (_re(line, RULE) | _re(line, SENDER))))
     intro = body & (F.col("intro_whole") | (F.col("intro_first") & next_last) | (F.col("intro_last") & prev_first))
     x = x.select("artifact_id", "line_no", "line", "thread", "sender", "who", "sent", "blank", "indent", "gone", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), indented_ahead).alias("style"))
