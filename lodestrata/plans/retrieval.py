@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context, lexical, query, ranking
+from ..shared import materialise
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ def ranked(queries: DataFrame, chunks: DataFrame, s: Settings = Settings(), vect
     v = v.withColumn("vid", F.xxhash64("query_id", "variant_ord"))
     vq = v.select(F.col("vid").alias("query_id"), F.col("variant_text").alias("query_text"))
     vc = cand.join(v.select("query_id", "vid"), "query_id").select(F.col("vid").alias("query_id"), "chunk_key")
-    full = lexical.hydrate(vc, vq, chunks)
+    full = materialise(lexical.hydrate(vc, vq, chunks), "hydrated")
     r = (ranking.overlap if s.ranker == "overlap" else ranking.bm25)(full, s.ranked)
     if s.ranker == "hybrid" and vectors is not None:
         vr = vectors.join(v.where(F.col("variant_ord") == 0).select(F.col("query_id"), "vid"), "query_id").drop("query_id").withColumnRenamed("vid", "query_id")
@@ -45,7 +46,9 @@ def ranked(queries: DataFrame, chunks: DataFrame, s: Settings = Settings(), vect
 
 def final(queries: DataFrame, chunks: DataFrame, s: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
     """Score gap, diversity by content, diversity by source: at most ``s.most`` rows of a query."""
-    r = lexical.add_text(ranking.score_gap(ranked(queries, chunks, s, vectors), s.floor), chunks)
+    r = materialise(ranking.score_gap(ranked(queries, chunks, s, vectors), s.floor), "ranked")
+    # Only what diversity may look at gets its text back.
+    r = lexical.add_text(r.where(F.col("rank") <= s.ranked), chunks)
     picked = ranking.mmr(r, most=s.most).select("query_id", "chunk_key", F.col("rank").alias("mmr_rank"))
     r = r.join(picked, ["query_id", "chunk_key"]).drop("rank").withColumnRenamed("mmr_rank", "rank")
     return ranking.source_diversity(r)
