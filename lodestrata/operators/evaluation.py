@@ -46,3 +46,15 @@ def pattern_hits(texts: DataFrame, good: tuple[str, ...], bad: tuple[str, ...])
     """(query_id, good_hits, bad_hits): how many of the patterns a query's text (query_id, text) contains."""
     count = lambda ps: sum((F.coalesce(F.lower("text").contains(p.lower()), F.lit(False)).cast("int") for p in ps), F.lit(0))
     return texts.select("query_id", count(good).alias("good_hits"), count(bad).alias("bad_hits"))
+
+
+def report(m: DataFrame) -> DataFrame:
+    """(query_id, line): each query's measures for reading."""
+    return m.select("query_id", F.format_string("precision@k=%.2f recall@k=%.2f rr=%.2f", "precision_at_k", "recall", "reciprocal_rank").alias("line"))
+
+
+def usable_ranker(wanted: str, vectors_available: bool) -> tuple[str, str]:
+    """The ranker to run and why: without vectors hybrid ranking falls back to BM25."""
+    if wanted == "hybrid" and not vectors_available:
+        return "bm25", "vectors_unavailable"
+    return wanted, "requested"

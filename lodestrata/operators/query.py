@@ -19,7 +19,8 @@ SYNONYMS = {
 }
 #: What makes a rewrite an answer instead of a query.
 ANSWER_MARKS = ("the answer is", "they discussed", "this means", "in summary")
-STATUSES = ("REWRITTEN", "UNCHANGED", "FALLBACK_ORIGINAL", "REJECTED")
+#: What a rewrite may say of itself.
+STATUSES = ("OK", "FALLBACK_ORIGINAL", "REJECTED")
 
 
 def normal(q: Column | str) -> Column:
@@ -42,13 +43,16 @@ def check_rewrite(df: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
     a, b = F.coalesce("original_query", F.lit("")), F.coalesce("rewritten_query", F.lit(""))
     only = lambda p: F.size(F.array_except(F.regexp_extract_all(b, F.lit(p), F.lit(0)), F.regexp_extract_all(a, F.lit(p), F.lit(0)))) > 0
+    same = lambda name, value: [(~F.col(name).eqNullSafe(F.lit(value)), f"invalid_{name}")] if name in df.columns else []
     tests = (
+        *same("artifact_type", "query_rewrite"),
+        *same("schema_version", "query_rewrite_v1"),
         (~F.coalesce(F.col("rewrite_status").isin(*STATUSES), F.lit(False)), "invalid_rewrite_status"),
         (F.trim(b) == "", "empty_rewritten_query"),
         (F.length(b) > 160, "rewritten_query_too_long"),
         (F.length(F.coalesce("rationale", F.lit(""))) > 160, "rewrite_rationale_too_long"),
-        (only("[0-9]+"), "added_numbers_not_in_original"),
-        (only("[A-Z][a-zA-Z]+"), "added_capitalized_terms_not_in_original"),
+        (only(r"\b\d+\b"), "added_numbers_not_in_original"),
+        (only(r"\b[A-Z][a-zA-Z0-9_-]+\b"), "added_capitalized_terms_not_in_original"),
         (F.lower(b).rlike("|".join(ANSWER_MARKS)), "answer_like_output"),
     )
     x = df.withColumn("rejection_reasons", F.array_compact(F.array(*(F.when(t, F.lit(s)) for t, s in tests))))

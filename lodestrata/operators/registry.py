@@ -111,6 +111,14 @@ def active_truth(artifacts: DataFrame, overrides: DataFrame, registry: DataFrame
     return x.select("artifact_id", origin.alias("origin"), F.coalesce("override_path", "exact_path", "any_path").alias("truth_path"))
 
 
+def effective_texts(documents: DataFrame, redacted: DataFrame) -> DataFrame:
+    """(artifact_id, origin, text_content): what is chunked and indexed, with redacted texts (artifact_id, redacted_text)
+    in the place of the originals."""
+    x = documents.select("artifact_id", "text_content").join(redacted.select("artifact_id", "redacted_text", F.lit(True).alias("has")), "artifact_id", "left")
+    over = F.col("has").isNotNull()
+    return x.select("artifact_id", F.when(over, "override").otherwise("original").alias("origin"), F.when(over, F.col("redacted_text")).otherwise(F.col("text_content")).alias("text_content"))
+
+
 def candidate_runs(runs: DataFrame, artifacts: DataFrame, overrides: DataFrame, registry: DataFrame, limit: int = 50) -> DataFrame:
     """Latest runs that saw an artifact with a truth to redact. The OR-join is two equi-joins (``artifacts_for_run``)."""
     t = active_truth(artifacts, overrides, registry).where(F.col("origin") != "none").select("artifact_id")

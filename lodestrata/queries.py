@@ -213,13 +213,13 @@ def query_expansion(s, d):
 @register(f"""with {_Q}, r as (select query_id, query_text, query_text || case (query_id % 4)::int when 0 then '' when 1 then ' overview' when 2 then ' 42' else ' Report' end as rw from q),
 a as (select *, list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9_]+')) as x, list_distinct(regexp_extract_all(lower(rw), '[a-z0-9_]+')) as y,
  concat_ws(',', case when query_id % 4 = 2 then 'added_numbers_not_in_original' end, case when query_id % 4 = 3 and not list_contains(regexp_extract_all(query_text, '[A-Z][a-zA-Z]+'), 'Report') then 'added_capitalized_terms_not_in_original' end) as reasons from r)
-select query_id, case when reasons <> '' then query_text else rw end as query_text, case when reasons <> '' then 'FALLBACK_ORIGINAL' else 'REWRITTEN' end as rewrite_status, reasons <> '' as used_fallback, reasons as rejection_reasons,
+select query_id, case when reasons <> '' then query_text else rw end as query_text, case when reasons <> '' then 'FALLBACK_ORIGINAL' else 'OK' end as rewrite_status, reasons <> '' as used_fallback, reasons as rejection_reasons,
  array_to_string(list_sort(case when reasons <> '' then x else list_intersect(x, y) end), ',') as preserved_terms,
  case when reasons <> '' then '' else array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ',') end as added_terms,
  case when reasons <> '' then '' else array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ',') end as removed_terms from a""")
 def rewrite_validate(s, d):
     add = F.when(F.col("query_id") % 4 == 0, "").when(F.col("query_id") % 4 == 1, " overview").when(F.col("query_id") % 4 == 2, " 42").otherwise(" Report")
-    q = titles(s, d).select("query_id", F.col("query_text").alias("original_query"), F.concat("query_text", add).alias("rewritten_query"), F.lit("REWRITTEN").alias("rewrite_status"), F.lit("").alias("rationale"))
+    q = titles(s, d).select("query_id", F.col("query_text").alias("original_query"), F.concat("query_text", add).alias("rewritten_query"), F.lit("OK").alias("rewrite_status"), F.lit("").alias("rationale"))
     return query.check_rewrite(q)
 
 
@@ -604,6 +604,14 @@ def redaction_provenance(s, d):
     return redaction.provenance(x, redaction.apply(x, _plan(s, d)), before, "identity_contact", 7)
 
 
+@register(f"with recursive {_APPLY}, src as (select artifact_id, case when done.artifact_id % 9 = 0 then 'override' else 'original' end as origin, case when done.artifact_id % 9 = 0 then redacted_text else text_content end as text from done join dc using (artifact_id)), {_PIECES} select artifact_id, origin, i::int as chunk_index, sha256(substring(text, i * 1800 + 1, 2000)) as text_hash from pc")
+def truth_chunks(s, d):
+    """Chunks of what counts as each document's text: redacted where an override is active."""
+    x = documents(s, d)
+    done = redaction.apply(x, _plan(s, d)).where(F.col("artifact_id") % 9 == 0).select("artifact_id", "redacted_text")
+    return chunking.chunk(registry.effective_texts(x, done), "text_content", ("artifact_id", "origin")).select("artifact_id", "origin", "chunk_index", "text_hash")
+
+
 _PLANS = """pn as (select run_id * 10 + p as plan_id, run_id, case when p % 5 = 0 then 'business_sensitive' else 'identity_contact' end as profile, case when run_id % 7 = 0 then 'FAILED' else 'PLANNED' end as status, started_utc + case when p >= 5 then 100 else 0 end as created_utc from runs, (select unnest([0, 1, 5]) as p) where p < 5 or run_id % 5 = 0),
 rq as (select plan_id, profile, case when plan_id % 13 = 0 then 'old' else profile || '_v1' end as rv, profile || '_v1' as rh, plan_id % 11 <> 0 as yes from pn union all select 99999, 'identity_contact', 'identity_contact_v1', 'identity_contact_v1', true),
 ap0 as (select plan_id, plan_id * 100 as approval_id from pn where plan_id % 2 = 0)"""
@@ -729,6 +737,11 @@ def pattern_hits(s, d):
     return evaluation.pattern_hits(chunks(s, d).select(F.col("chunk_key").alias("query_id"), "text"), ("invoice", "contract"), ("confidential",))
 
 
+@register(f"with {_EVAL} {_metrics_sql('rk', 'me')} select query_id, printf('precision@k=%.2f recall@k=%.2f rr=%.2f', precision_at_k, recall, reciprocal_rank) as line from me")
+def eval_report(s, d):
+    return evaluation.report(_metrics(s, d, ranking.bm25))
+
+
 # Files: the tables themselves are the files
 
 
@@ -742,7 +755,7 @@ def fingerprint(s, d):
     return files.fingerprints(files.inventory(s, d, ("parquet",)))
 
 
-@register()
+@register("select container_path, count(*) as n_members, count(*) filter (contains(logical_path, '::')) as n_named_as_members from source_artifacts group by 1")
 def expand_inventory(s, d):
     """Archives of the artifact table: members by container, archives without any member apart."""
     a = table(s, d, "source_artifacts")

@@ -80,3 +80,22 @@ def embed(chunks: DataFrame, embedder: Embedder, model: str, batch: int = 64) ->
     stripped = F.regexp_replace(F.regexp_replace("text", r"^\s+", ""), r"\s+$", "")
     x = chunks.where(F.col("text").rlike(r"\S")).select("chunk_key", F.sha2(stripped, 256).alias("text_hash"), stripped.alias("text"))
     return x.mapInPandas(run, schema)
+
+
+def rewrites(queries: DataFrame, ask, model: str = "unknown") -> DataFrame:
+    """(query_id, original_query, rewritten_query, rewrite_status, rationale): ``ask`` (text -> dict) may fail, which
+    gives the original with status FALLBACK_ORIGINAL. The queries are the batch at hand; executors ask."""
+    schema = "query_id long, original_query string, rewritten_query string, rewrite_status string, rationale string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for q in b.itertuples(index=False):
+                try:
+                    r = ask(q.query_text)
+                    rows.append((q.query_id, q.query_text, str(r["rewritten_query"]).strip(), str(r.get("rewrite_status", "OK")).strip(), str(r.get("rewrite_rationale", "")).strip()))
+                except Exception as e:
+                    rows.append((q.query_id, q.query_text, q.query_text, "FALLBACK_ORIGINAL", f"{model}: {e}"[:160]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return queries.select("query_id", "query_text").mapInPandas(run, schema)

@@ -170,7 +170,7 @@ def test_validation(spark):
 def test_expansion_and_rewrite(spark):
     assert one(spark, "Risk of  delay", query.expand("x")) == ["Risk of  delay", "risk of delay risk_management hedging"]
     assert one(spark, "delay", query.expand("x")) == ["delay"]
-    d = spark.createDataFrame([(1, "lease 2020", "lease 2021", "REWRITTEN", ""), (2, "lease", "lease terms", "REWRITTEN", ""), (3, "lease", None, None, None)], "query_id long, original_query string, rewritten_query string, rewrite_status string, rationale string")
+    d = spark.createDataFrame([(1, "lease 2020", "lease 2021", "OK", ""), (2, "lease", "lease terms", "OK", ""), (3, "lease", None, None, None)], "query_id long, original_query string, rewritten_query string, rewrite_status string, rationale string")
     got = {r.query_id: r for r in query.check_rewrite(d).collect()}
     assert got[1].query_text == "lease 2020" and "added_numbers" in got[1].rejection_reasons
     assert got[2].added_terms == "terms" and not got[2].used_fallback and got[3].used_fallback
@@ -236,3 +236,31 @@ def test_stream_counts_a_replay_once(spark, tmp_path):
     s = ingest.read(spark, str(tmp_path / "in"), schema)
     ingest.write(ingest.chunks(ingest.current(s)), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_artifacts_of_other_kinds(spark):
+    common = "artifact_type string, schema_version string, created_utc long, producer_expert string, run_id string, status string"
+    head = ("query_answer", "v1", 1, "e", "r", "OK")
+    d = spark.createDataFrame([(*head, "q", "bm25", 5, "a", 2, ["x"]), (*head, "q", "bm25", 5, "a", 1, ["x"])], common + ", query_text string, ranker string, top_k int, answer_text string, source_count int, sources array<string>")
+    assert [r.errors for r in validation.artifact(d, "query_answer").collect()] == [["source_count"], []]
+    for bad, kind in ((d.drop("sources"), "query_answer"), (d, "query_context_x"), (d.withColumn("sources", F.lit("x")), "query_answer")):
+        with pytest.raises(ValueError):
+            validation.artifact(bad, kind)
+
+
+def test_rewrite_service_may_fail(spark):
+    def ask(q):
+        if q == "b":
+            raise OSError("down")
+        return {"rewritten_query": q + " x"}
+
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, query_text string")
+    got = {r.query_id: r for r in providers.rewrites(q, ask).collect()}
+    assert got[1].rewritten_query == "a x" and got[2].rewrite_status == "FALLBACK_ORIGINAL" and got[2].rewritten_query == "b"
+
+
+def test_redacted_text_takes_the_place_of_the_original(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "artifact_id long, text_content string")
+    r = spark.createDataFrame([(2, "[X]")], "artifact_id long, redacted_text string")
+    assert {x.artifact_id: (x.origin, x.text_content) for x in registry.effective_texts(d, r).collect()} == {1: ("original", "a"), 2: ("override", "[X]")}
+    assert evaluation.usable_ranker("hybrid", False)[0] == "bm25"
