@@ -97,18 +97,24 @@ def _shape(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[()\[\]\"“”«»,;:\s]+", " "))
 
 
+def _tail(c: Column) -> Column:
+    """Last two words of a text as shapes."""
+    return _shape(F.regexp_extract(F.right(c, F.lit(80)), r"(\S+\s+\S+)$", 1))
+
+
 def sentence_ends(docs: DataFrame) -> DataFrame:
     """(tail, n): last two words (as shapes) of all sentences of the corpus with their count."""
-    s = F.regexp_extract_all("text", F.lit(r"(\S+[ \t\r\n]+\S*[^\s.!?…])[.!?](?=\s|$)"), F.lit(1))
-    e = docs.where(F.length("text") > 0).select(F.explode(s).alias("s")).select(_shape(F.col("s")).alias("tail"))
-    return e.groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.split("text", r"[.!?]+(?=\s|$)")
+    e = docs.where(F.length("text") > 0).select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("s"))
+    return e.select(_tail(F.col("s")).alias("tail")).where(F.col("tail") != "").groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
 
 
 def endings(docs: DataFrame) -> DataFrame:
     """Adds what the end of each text tells: ``body`` (without added marks), ``stopped``, ``marked``, ``closing``, ``tail``."""
-    d = docs.withColumn("whole", F.right(F.regexp_replace("text", r"\s+$", ""), F.lit(END_CHARS)))
+    d = docs.withColumn("whole", F.right(F.rtrim("text", F.lit(" \t\n\x0b\f\r\x85\xa0")), F.lit(END_CHARS)))
     t = F.regexp_replace(F.regexp_replace("whole", FOOTERS, ""), r"\s+$", "")
     d = d.withColumn("body", F.regexp_replace(t, MARKS, "")).withColumn("marked", F.col("body") != t)
+    d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("whole").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
     last = F.element_at(F.split("body", "\n"), -1)
     before = F.regexp_replace(F.regexp_replace("body", r"\n?[^\n]*$", ""), r"\s+$", "")
     d = d.withColumn("last", F.trim(F.regexp_replace(last, r"^[>|\s]+", ""))).withColumn("above", F.trim(F.element_at(F.split(before, "\n"), -1)))
@@ -132,9 +138,8 @@ def endings(docs: DataFrame) -> DataFrame:
         | titled
         | line.rlike(r",$") & (words <= 5)
     )
-    d = d.withColumn("closing", F.coalesce(closing, F.lit(False)))
-    d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("whole").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
-    return d.withColumn("tail", _shape(F.regexp_extract("body", r"(\S+\s+\S+)$", 1)))
+    d = d.withColumn("closing", F.when(F.col("stopped"), False).otherwise(F.coalesce(closing, F.lit(False))))
+    return d.withColumn("tail", F.when(F.col("stopped"), "").otherwise(_tail(F.col("body"))))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ends_least: int = 3) -> DataFrame:
