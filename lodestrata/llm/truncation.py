@@ -115,9 +115,10 @@ def endings(docs: DataFrame) -> DataFrame:
     t = F.regexp_replace(F.regexp_replace("whole", FOOTERS, ""), r"\s+$", "")
     d = d.withColumn("body", F.regexp_replace(t, MARKS, "")).withColumn("marked", F.col("body") != t)
     d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("whole").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
-    last = F.element_at(F.split("body", "\n"), -1)
-    before = F.regexp_replace(F.regexp_replace("body", r"\n?[^\n]*$", ""), r"\s+$", "")
-    d = d.withColumn("last", F.trim(F.regexp_replace(last, r"^[>|\s]+", ""))).withColumn("above", F.trim(F.element_at(F.split(before, "\n"), -1)))
+    lines = F.when(F.col("stopped"), F.array(F.lit(""))).otherwise(F.filter(F.split("body", r"\r?\n"), lambda x: x.rlike(r"\S")))
+    d = d.withColumn("lines", lines)
+    d = d.withColumn("last", F.trim(F.regexp_replace(F.coalesce(F.get("lines", F.size("lines") - 1), F.lit("")), r"^[>|\s]+", "")))
+    d = d.withColumn("above", F.trim(F.coalesce(F.get("lines", F.size("lines") - 2), F.lit("")))).drop("lines")
     line = F.col("last")
     words = F.size(F.split(line, r"\s+"))
     name = line.rlike("^" + NAME + "$") & (words <= 5) & (F.length(line) >= 2)
