@@ -50,7 +50,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, width: int = WIDTH, allowe
         full = (1 << w) - 1
         depth = F.when(F.col("mask").bitwiseAND(full) == full, w).otherwise(depth)
     hits = hits.select("query_id", "chunk_key", depth.cast("int").alias("width")).where(F.col("width") > 0)
-    best = hits.withColumn("best", F.max("width").over(Window.partitionBy("query_id"))).where(F.col("width") == F.col("best")).drop("best")
+    best = hits.join(hits.groupBy("query_id").agg(F.max("width").alias("width")), ["query_id", "width"])
     if allowed is not None:
         kinds = sorted({a.strip().lower().removeprefix(".") for a in allowed} - {""})
         paths = chunks.select("chunk_key", T.file_type("logical_path").alias("kind")).where(F.col("kind").isin(kinds))

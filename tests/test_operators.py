@@ -264,3 +264,23 @@ def test_redacted_text_takes_the_place_of_the_original(spark):
     r = spark.createDataFrame([(2, "[X]")], "artifact_id long, redacted_text string")
     assert {x.artifact_id: (x.origin, x.text_content) for x in registry.effective_texts(d, r).collect()} == {1: ("original", "a"), 2: ("override", "[X]")}
     assert evaluation.usable_ranker("hybrid", False)[0] == "bm25"
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    import json
+
+    from lodestrata.__main__ import main
+
+    (tmp_path / "in" / "maildir").mkdir(parents=True)
+    (tmp_path / "in" / "maildir" / "1.").write_bytes(b"Subject: Valve count\n\nThe valve count is done.\n")
+    main(["ingest", "--source-root", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
+    assert json.loads(capsys.readouterr().out) == {"converted": 1, "failed": 0, "status": "SUCCESS"}
+    c = spark.read.parquet(f"{sf}/search_context_chunk.parquet").dropDuplicates(["chunk_key"])
+    c.write.parquet(str(tmp_path / "chunks"))
+    main(["query", "--query", "lease agreement risk", "--chunks", str(tmp_path / "chunks"), "--ranker", "bm25"])
+    out = json.loads(capsys.readouterr().out)
+    assert out["sources"] and "[SOURCE: " in out["context"] and len(out["expanded"]) == 2
+    main(["query", "--query", "zzzzz", "--chunks", str(tmp_path / "chunks")])
+    assert json.loads(capsys.readouterr().out)["answer"] == context.NOTHING
+    main(["stats", "--documents", f"{sf}/search_context_document.parquet", "--chunks", f"{sf}/search_context_chunk.parquet", "--embeddings", f"{sf}/embedding_vector_batch.parquet"])
+    assert json.loads(capsys.readouterr().out)["chunk_count"] > 0
