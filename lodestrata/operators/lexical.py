@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import materialise
 
 WIDTH = 3
 
@@ -67,6 +68,7 @@ def hydrate(cand: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame
     """
     from .ranking import intent_bonus
 
+    cand = materialise(cand, "found")
     c = chunks.join(cand.select("chunk_key").distinct(), "chunk_key", "left_semi").select("chunk_key", "logical_path", "document_hash", "chunk_index", "chunk_id", "text", T.token_bag("text").alias("bag"))
     q = query_terms(queries)
     tf = c.select("chunk_key", F.explode("bag").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("chunk_key", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))

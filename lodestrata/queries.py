@@ -191,7 +191,7 @@ def postings_lookup(s, d):
 @register(f"with {_CAND} select query_id, chunk_key, width::int as width, array_to_string(mt, ',') as matched_terms from f join cand using (query_id, chunk_key)")
 def candidate_retrieval(s, d):
     c, q = chunks(s, d), titles(s, d)
-    found = lexical.candidates(q, c)
+    found = materialise(lexical.candidates(q, c), "found")
     x = lexical.hydrate(found, q, c).join(found.select("query_id", "chunk_key", "width"), ["query_id", "chunk_key"])
     return x.select("query_id", "chunk_key", "width", F.array_join("matched_terms", ",").alias("matched_terms"))
 
