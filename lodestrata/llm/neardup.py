@@ -12,8 +12,8 @@ Texts with few triples get sketches of their global minima in text order besides
 1. Records with the same text are one *class* (copies never meet each other). One pass over the distinct texts makes
    the sketches and the sequence of triple hashes of each.
 2. Sketches are counted. Each class asks with about ``ask`` of its sketches, chosen by hash, for the classes that have
-   them. Sketches of more than ``HOT`` classes (legal notices, forms) are asked with only by classes that consist
-   of them for the most part: another class that shares 0.70 of its triples shares some of its other sketches.
+   them. Sketches of more than ``HOT`` classes (legal notices, forms, families of edited versions) are asked with
+   like any other; their pairs are tried by step 3 where they meet, so that only promising ones move.
    Texts of less than ``SHORT`` triples, of which few samples are left after edits, ask with their rarest runs of seven
    words, too.
 3. Pairs that a sample of the triples shows to be far below ``share`` are dropped.
@@ -22,8 +22,9 @@ Texts with few triples get sketches of their global minima in text order besides
 
 Scale: sketches are rows of 20 bytes and are shuffled once; counting, asking and answering work on that one
 distribution. Sketches that make up more than 1/100,000 of all rows stay out of it: they are counted with partial
-aggregation, and common sketches are salted by their count, so no task gets more than ``SALT`` of their rows. Nothing
-is collected, and no bucket is cut. Triple sequences move only for promising pairs.
+aggregation, and both sides of common sketches are salted by their count, so no group has more than about ``SALT`` rows
+of a side. Nothing is collected, and no bucket is cut; the work on a common sketch grows with its classes times those
+that ask with it. Triple sequences move only for promising pairs.
 
 Defined results: null and empty texts and texts with less than three words are in no pair and in no group; replayed
 records count once; a null key is ignored.
@@ -48,10 +49,8 @@ ASK = 24
 SOME = 16
 #: So many runs of short texts are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_KEYS = 1_000_000
-#: A sketch in more classes than this is common; a class asks with its rarest common ones if they are most of its own.
+#: A sketch in more classes than this is common: its pairs are tried where they meet.
 HOT = 64
-COMMON = 0.6
-ASK_HOT = 6
 SALT = 20_000
 SHORT = 64  # triples
 SHOWN = 8  # records of a class that others are paired with
@@ -184,9 +183,77 @@ def frequent(rows: DataFrame, every: int = 32, share: float = 1e-5) -> DataFrame
     return counted.join(F.broadcast(total), F.col("n") >= F.col("t") * share).select("k")
 
 
-def candidates(classes: DataFrame, ask: int = ASK) -> DataFrame:
-    """(a, b): pairs of classes (rid, tables, n, keys) that have records in one table and share sketches; a has the fewer
-    triples."""
+def _dense(of: np.ndarray, at: np.ndarray, rows: int, lo: int, hi: int) -> np.ndarray:
+    m = np.zeros((rows, hi - lo), np.float32)
+    here = (at >= lo) & (at < hi)
+    m[of[here], at[here] - lo] = 1
+    return m
+
+
+def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 1024, width: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Pairs of one common sketch, both lists of (rid, meta, some), that are in one table and that ``promising`` lets pass."""
+    ia, ma, ib, mb = (np.array([x[i] for x in side], np.int64) for side in (asking, having) for i in (0, 1))
+    size = np.array([len(x[2]) for x in asking], np.int64)
+    for p in range(0, len(asking), rows):
+        q = slice(p, p + rows)
+        voc, xa = np.unique(np.concatenate([x[2] for x in asking[q]]), return_inverse=True)
+        oa = np.repeat(np.arange(len(ia[q])), size[q])
+        for r in range(0, len(having), rows):
+            h = slice(r, r + rows)
+            na, nb = ma[q, None] >> 4, mb[None, h] >> 4
+            ok = ((na < nb) | ((na == nb) & (ia[q, None] < ib[None, h]))) & (((ma[q, None] & mb[None, h]) >> 2) & 3 != 0)
+            if not ok.any():
+                continue
+            ob = np.repeat(np.arange(len(ib[h])), [len(x[2]) for x in having[h]])
+            vb = np.concatenate([x[2] for x in having[h]])
+            at = np.searchsorted(voc, vb)
+            at[at == len(voc)] = 0
+            hit = voc[at] == vb if len(voc) else np.zeros(len(vb), bool)
+            used, at = np.unique(at[hit], return_inverse=True)  # only triples on both sides get a column
+            to = np.full(len(voc), -1)
+            to[used] = np.arange(len(used))
+            common = np.zeros(ok.shape, np.float32)
+            for lo in range(0, len(used), width):
+                hi = min(lo + width, len(used))
+                common += _dense(oa, to[xa], len(ia[q]), lo, hi) @ _dense(ob[hit], at, len(ib[h]), lo, hi).T
+            i, j = np.nonzero(ok & ((size[q, None] < 8) | (common >= size[q, None] * share / 2)))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ia[q][i]), pa.array(ib[h][j]), pa.array((ma[q][i] & 3).astype(np.int32))], ["a", "b", "need"])
+
+
+def met_often(many: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
+    """(a, b, need): for each common sketch of ``many`` (k, rid, meta, asks, df) the pairs of a class that asks with it and
+    one that has it, without those that ``promising`` would drop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, asking, having = None, [], []  # the group that is open
+        for b in batches:
+            g, role, rid, meta = (b.column(i).to_numpy() for i in range(4))
+            some = b.column(4)
+            offsets, values = some.offsets.to_numpy(), some.values.to_numpy()
+            for i in range(len(b)):
+                if g[i] != here:
+                    if asking and having:
+                        yield from _tried(asking, having, share)
+                    here, asking, having = g[i], [], []
+                (having if role[i] else asking).append((rid[i], meta[i], values[offsets[i] : offsets[i + 1]].copy()))
+        if asking and having:
+            yield from _tried(asking, having, share)
+
+    salts = F.ceil(F.col("df") / SALT)
+    mine = F.pmod(F.xxhash64("rid"), salts)
+    every = F.sequence(F.lit(0).cast("long"), salts - 1)
+    asking = F.transform(every, lambda s: F.struct(F.lit(0).alias("role"), mine.alias("of"), s.alias("with")))
+    having = F.transform(every, lambda s: F.struct(F.lit(1).alias("role"), s.alias("of"), mine.alias("with")))
+    some = classes.select("rid", F.array_distinct("some").alias("some"))
+    x = many.join(some, "rid").select("k", "rid", "meta", "some", F.explode(F.when(F.col("asks"), F.concat(asking, having)).otherwise(having)).alias("r"))
+    x = x.select(F.xxhash64("k", "r.of", "r.with").alias("g"), "r.role", "rid", "meta", "some")
+    return x.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, need int")
+
+
+def candidates(classes: DataFrame, ask: int = ASK, share: float = SHARE) -> DataFrame:
+    """(a, b): pairs of classes (rid, tables, n, keys, some) that have records in one table and share sketches; a has the
+    fewer triples."""
     nk = F.size("keys")
     need = F.when(nk < 12, 1).otherwise(2)
     meta = (F.shiftleft("n", 4) + F.shiftleft("tables", 2) + need).alias("meta")
@@ -209,12 +276,7 @@ def candidates(classes: DataFrame, ask: int = ASK) -> DataFrame:
     rare, common = F.col("df") <= HOT, F.col("df") > HOT
     few = [met(x.where(rare & F.col("asks")), x.where(rare), ["k"]) for x in (spread, held)]
     many = spread.where(common).unionByName(held.where(common))
-    own = many.groupBy("rid", "meta").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("l"))
-    own = own.join(classes.select("rid", nk.alias("nk")), "rid").where(F.size("l") > COMMON * F.col("nk"))
-    salts = lambda c: F.ceil(c / SALT)
-    asking = own.select("rid", "meta", F.explode(F.slice("l", 1, ASK_HOT)).alias("x")).select("rid", "meta", "x.k", F.explode(F.sequence(F.lit(0).cast("long"), salts(F.col("x.df")) - 1)).alias("salt"))
-    having = many.withColumn("salt", F.pmod(F.xxhash64("rid"), salts(F.col("df"))))
-    both = few[0].unionByName(few[1]).unionByName(met(asking, having, ["k", "salt"]))
+    both = few[0].unionByName(few[1]).unionByName(met_often(many, classes, share))
     return both.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= F.col("need")).select("a", "b")
 
 
@@ -299,7 +361,7 @@ class Similar:
         texts = r.groupBy("rid").agg(F.bit_or(bit).alias("tables"), F.first("text").alias("text"))
         self.classes = materialise(sketched(texts, rate), "sketches")
         self.members = r.select("tbl", "record_key", "rid").distinct()
-        found = candidates(self.classes.select("rid", "tables", "n", "keys"), ask).unionByName(short_candidates(self.classes)).distinct()
+        found = candidates(self.classes.select("rid", "tables", "n", "keys", "some"), ask, share).unionByName(short_candidates(self.classes)).distinct()
         self.found = materialise(found, "candidates")
         self.likely = materialise(promising(self.found, self.classes, share), "promising")
         self.pairs = materialise(verified(self.likely, self.classes, share), "pairs")

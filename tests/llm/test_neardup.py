@@ -86,3 +86,14 @@ def test_common_passages_are_salted(spark, monkeypatch):
     d = spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA)
     got = {tuple(r) for r in neardup.Similar(d).links().collect()}
     assert {(DOCUMENT, k, 99) for k in range(40)} <= got
+
+
+def test_large_family_of_edited_versions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALT", 50)
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(DOCUMENT, k, " ".join(w if rnd.random() > 0.03 else f"e{k}x{i}" for i, w in enumerate(base))) for k in range(200)]
+    d = spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA)
+    got = {tuple(r) for r in neardup.Similar(d).links().collect()}
+    want = brute(rows)
+    assert got <= want and len(want) > 15_000 and len(got) >= 0.98 * len(want)
