@@ -10,8 +10,9 @@ Scale:
 * Exact copies of a vector are searched as one and expanded afterwards, with at most k + 1 members of a class as
   partners of each vector; a class of any size costs work in proportion to its size.
 * ``depth`` follows the number of vectors, so a bucket keeps about 32 by chance. A bucket with more than ``block``
-  vectors is parted by further hashes, up to ``MAX_DEPTH``; what is then still larger is compared in blocks, block
-  against block, each pair of blocks in its own group. No candidate is dropped, no task holds more than a block.
+  vectors is compared in blocks, each of them against all that look into the bucket, in its own group. No candidate is
+  dropped, no task holds more than a block; a bucket costs work in proportion to the square of its vectors.
+* From the third hash on there are more tables and probes (``tables_for``), so that near pairs meet as they do at two.
 * Buckets are streams: rows are distributed and sorted by bucket, and a task holds one block of one bucket.
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part, nor do those without
@@ -35,6 +36,7 @@ DIM = 64
 MAX_DEPTH = 6
 _BITS = 7  # of a hash: 64 axes, two signs
 BLOCK = 512
+TIMES = 1.8
 
 
 def valid_vectors(batches: DataFrame, dim: int = DIM, keys: str = "chunk_keys", vectors: str = "embeddings") -> DataFrame:
@@ -94,6 +96,12 @@ def depth_for(n: int) -> int:
     return min(MAX_DEPTH, max(2, math.ceil(math.log(max(n, 1) / 32) / math.log(2 * DIM)))) if n > 32 else 1
 
 
+def tables_for(depth: int, tables: int, probes: int) -> tuple[int, int]:
+    """Tables and probes at ``depth``: each hash beyond the second takes TIMES as many tables and one more probe."""
+    more = max(0, depth - 2)
+    return math.ceil(tables * TIMES**more), probes + more
+
+
 def signatures(classes: DataFrame, tables: int, probes: int, depth: int, dim: int = DIM, seed: int = 7) -> DataFrame:
     """(vid, t, sig, probe, unit): a row for each table and, with probe set, for each further bucket looked into."""
     signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, MAX_DEPTH, 3, dim))
@@ -127,28 +135,20 @@ def _prefix(depth) -> F.col:
 
 
 def placed(sig: DataFrame, depth: int, block: int) -> DataFrame:
-    """(g, role, vid, unit): role 0 is in the bucket, 1 looks into it. Buckets over ``block`` are parted first."""
-    own = sig.where(~F.col("probe")).select("t", "sig")
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), _prefix(d).alias("prefix")) for d in range(depth, MAX_DEPTH + 1)))).alias("x")
-    hot = own.select("t", at).select("t", "x.d", "x.prefix").groupBy("t", "d", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    """(g, role, vid, unit): role 0 is in the bucket, 1 looks into it. Buckets over ``block`` come in blocks."""
+    own = sig.where(~F.col("probe")).select("t", _prefix(depth).alias("key"))
+    hot = own.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     hot = materialise(hot, "hot-buckets")
     n_hot = hot.count()
-    rows = sig.withColumn("d", F.lit(depth)).withColumn("blocks", F.lit(1).cast("long"))
+    rows = sig.withColumn("key", _prefix(depth)).withColumn("blocks", F.lit(1).cast("long"))
     if n_hot:
-        small = n_hot <= 100_000  # 3 MB
-        for d in range(depth, MAX_DEPTH + 1):
-            h = hot.where(F.col("d") == d).select("t", F.col("prefix").alias("p"), F.lit(d).alias("d"), "n")
-            rows = rows.withColumn("p", _prefix(d)).join(F.broadcast(h) if small else h, ["t", "p", "d"], "left")
-            more = F.col("n").isNotNull()
-            deeper = F.when(more, d + 1).otherwise(F.col("d")) if d < MAX_DEPTH else F.col("d")
-            blocks = F.when(more, F.ceil(F.col("n") / block)).otherwise(F.col("blocks")) if d == MAX_DEPTH else F.col("blocks")
-            rows = rows.select("vid", "t", "sig", "probe", "unit", deeper.alias("d"), blocks.alias("blocks"))
-    key = F.expr(f"shiftright(sig, {_BITS} * ({MAX_DEPTH} - d))")
+        rows = rows.drop("blocks").join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["t", "key"], "left")  # 3 MB
+        rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)))
     home = F.struct(F.lit(0).alias("role"), F.pmod("vid", "blocks").alias("blk"))
     looks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("role"), i.alias("blk")))
     roles = F.when(F.col("probe"), looks).otherwise(F.concat(F.array(home), looks))
-    out = rows.select("vid", "unit", "t", "d", key.alias("key"), F.explode(roles).alias("r"))
-    return out.select(F.xxhash64("t", "d", "key", "r.blk").alias("g"), F.col("r.role").alias("role"), "vid", "unit")
+    out = rows.select("vid", "unit", "t", "key", F.explode(roles).alias("r"))
+    return out.select(F.xxhash64("t", "key", "r.blk").alias("g"), F.col("r.role").alias("role"), "vid", "unit")
 
 
 def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame:
@@ -194,6 +194,7 @@ def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame
 def nearest_classes(classes: DataFrame, k: int, least: float, tables: int, probes: int, block: int = BLOCK, dim: int = DIM) -> DataFrame:
     """(a, b, sim): the k most similar other distinct vectors of each, of those that some table shows."""
     depth = depth_for(classes.count())
+    tables, probes = tables_for(depth, tables, probes)
     sig = signatures(classes, tables, probes, depth, dim)
     pairs = compared(placed(sig, depth, block), k, least, dim).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")

@@ -83,3 +83,15 @@ def test_large_buckets_are_parted_without_loss(spark):
 def test_recall_report(spark):
     r = vectors.recall(batches(spark, clustered(400, 3)), every=10).first()
     assert r.n_queries == 40 and r.recall >= 0.9
+
+
+def test_dense_group_of_different_vectors_loses_no_pair(spark):
+    rnd = np.random.default_rng(12)
+    axis = rnd.normal(size=64) * 3
+    vs = np.array([axis + rnd.normal(size=64) for _ in range(300)], np.float32)
+    v = vectors.valid_vectors(batches(spark, vs)).cache()
+    ids = {r.chunk_key: r.vid for r in v.collect()}
+    want = {(ids[i], ids[j]) for i, j in brute(vs, 0.9, 300)}
+    near = vectors.nearest_classes(v.select("vid", "vec"), 300, 0.9, tables=10, probes=1, block=8)
+    got = {(r.a, r.b) for r in near.collect()}
+    assert len(want) > 1000 and sum(x in got or x[::-1] in got for x in want) >= 0.97 * len(want)
