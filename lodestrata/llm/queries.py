@@ -16,11 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.most_similar(table(spark, sf_dir, "embedding_vector_batch"), least=0.8)
+    return vectors.most_similar(table(spark, sf_dir, "embedding_vector_batch"), least=-1.0)
 
 
 def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.recall(table(spark, sf_dir, "embedding_vector_batch"))
+    return vectors.recall(table(spark, sf_dir, "embedding_vector_batch"), least=-1.0)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

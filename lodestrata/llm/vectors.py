@@ -3,7 +3,7 @@ r"""The k most similar vectors of a collection for every one of its vectors, by
 Method: three rounds of random signs and a fast Hadamard transform rotate a unit vector; its hash is the nearest signed
 axis. ``depth`` such hashes make the bucket of a table; each vector looks into its own bucket of every table and, for
 ``probes`` more, into those that differ in the hash whose second-best axis is nearest. Within buckets cosines are
-exact, and the k best of all tables are kept.
+exact, and the k best of all tables are kept. Vectors whose list isn't full of near ones are compared with all.
 
 Scale:
 
@@ -37,6 +37,10 @@ MAX_DEPTH = 6
 _BITS = 7  # of a hash: 64 axes, two signs
 BLOCK = 512
 TIMES = 1.8
+#: Neighbours from this cosine on are left to the tables; lists that need farther ones are made by comparing with all.
+SURE = 0.9
+EXACT_BLOCK = 8192
+EXACT_LOOKS = 65_536
 
 
 def valid_vectors(batches: DataFrame, dim: int = DIM, keys: str = "chunk_keys", vectors: str = "embeddings") -> DataFrame:
@@ -191,12 +195,43 @@ def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame
     return streams.mapInArrow(run, "a long, b long, sim double")
 
 
+def compared_with_all(asking: DataFrame, classes: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame:
+    """(a, b, sim): exactly the k most similar of ``classes`` in each block of them, for each of ``asking`` (both vid, vec).
+
+    Each block of vectors meets each part of the asking ones in its own group.
+    """
+    n, m = classes.count(), asking.count()
+    blocks, parts = max(1, math.ceil(n / EXACT_BLOCK)), max(1, math.ceil(m / EXACT_LOOKS))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(unit_rows(b.column(1), dim))], ["vid", "unit"])
+
+    def spread(df: DataFrame, role: int, mine: int, others: int) -> DataFrame:
+        rows = df.select("vid", "vec").mapInArrow(unit, "vid long, unit binary")
+        x = rows.select("vid", "unit", F.pmod(F.xxhash64("vid"), F.lit(mine)).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias("o"))
+        blk, part = ("m", "o") if role == 0 else ("o", "m")
+        return x.select(F.xxhash64(blk, part).alias("g"), F.lit(role).alias("role"), "vid", "unit")
+
+    return compared(spread(classes, 0, blocks, parts).unionByName(spread(asking, 1, parts, blocks)), k, least, dim)
+
+
 def nearest_classes(classes: DataFrame, k: int, least: float, tables: int, probes: int, block: int = BLOCK, dim: int = DIM) -> DataFrame:
-    """(a, b, sim): the k most similar other distinct vectors of each, of those that some table shows."""
+    """(a, b, sim): the k most similar other distinct vectors of each.
+
+    Tables show those with a cosine of at least ``SURE``. If ``least`` is below it, vectors with fewer than k of those are
+    compared with all, so the work grows with their number times the number of vectors.
+    """
     depth = depth_for(classes.count())
     tables, probes = tables_for(depth, tables, probes)
     sig = signatures(classes, tables, probes, depth, dim)
-    pairs = compared(placed(sig, depth, block), k, least, dim).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    pairs = compared(placed(sig, depth, block), k, max(least, SURE), dim).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    if least < SURE:
+        pairs = materialise(pairs, "near")
+        full = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vid"))
+        weak = materialise(classes.join(full, "vid", "left_anti"), "weak")
+        far = compared_with_all(weak, classes, k, least, dim)
+        pairs = pairs.join(full.withColumnRenamed("vid", "a"), "a", "left_semi").select("a", "b", "sim").unionByName(far)
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lodestrata.llm import vectors
+from lodestrata.llm import queries, vectors
 
 SCHEMA = "batch_id long, chunk_keys array<long>, embeddings array<array<float>>, vec int, sim string"
 
@@ -95,3 +95,18 @@ def test_dense_group_of_different_vectors_loses_no_pair(spark):
     near = vectors.nearest_classes(v.select("vid", "vec"), 300, 0.9, tables=10, probes=1, block=8)
     got = {(r.a, r.b) for r in near.collect()}
     assert len(want) > 1000 and sum(x in got or x[::-1] in got for x in want) >= 0.97 * len(want)
+
+
+def test_lists_are_full_whatever_the_cosine(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "EXACT_BLOCK", 64)
+    monkeypatch.setattr(vectors, "EXACT_LOOKS", 50)
+    vs = clustered(300, 8)
+    batches(spark, vs).write.parquet(f"{tmp_path}/embedding_vector_batch.parquet")
+    got = {(r.chunk_key, r.neighbour) for r in queries.p1_nearest(spark, str(tmp_path)).collect()}
+    u = vs.astype(np.float64) / np.linalg.norm(vs.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(-s[i])[:10]}
+    assert len(got) == 3000 and len(got & want) >= 0.99 * len(want)
+    r = queries.p1_recall(spark, str(tmp_path)).first()
+    assert (r.n_queries, r.n_true) == (3, 30) and r.recall >= 0.9
