@@ -190,7 +190,7 @@ def _dense(of: np.ndarray, at: np.ndarray, rows: int, lo: int, hi: int) -> np.nd
     return m
 
 
-def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 1024, width: int = 4096) -> Iterator[pa.RecordBatch]:
+def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 256, width: int = 1024) -> Iterator[pa.RecordBatch]:
     """Pairs of one common sketch, both lists of (rid, meta, some), that are in one table and that ``promising`` lets pass."""
     ia, ma, ib, mb = (np.array([x[i] for x in side], np.int64) for side in (asking, having) for i in (0, 1))
     size = np.array([len(x[2]) for x in asking], np.int64)
