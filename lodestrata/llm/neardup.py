@@ -47,6 +47,10 @@ RATE = 5
 ASK = 24
 #: Of the distinct triples one in so many is in the sample that candidates are tried by.
 SOME = 16
+#: A pair that is to be found is dropped by that sample with at most this probability.
+LOST = 1e-4
+#: Up to so many sampled triples what is needed follows from LOST; of more it is half of the share, which loses far less.
+TABLED = 100
 #: So many runs of short texts are broadcast (16 bytes each); more are joined by a shuffle.
 MOST_KEYS = 1_000_000
 #: A sketch in more classes than this is common: its pairs are tried where they meet.
@@ -194,6 +198,7 @@ def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 2
     """Pairs of one common sketch, both lists of (rid, meta, some), that are in one table and that ``promising`` lets pass."""
     ia, ma, ib, mb = (np.array([x[i] for x in side], np.int64) for side in (asking, having) for i in (0, 1))
     size = np.array([len(x[2]) for x in asking], np.int64)
+    table = np.array(least_hits(share, TABLED))
     for p in range(0, len(asking), rows):
         q = slice(p, p + rows)
         voc, xa = np.unique(np.concatenate([x[2] for x in asking[q]]), return_inverse=True)
@@ -216,7 +221,8 @@ def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 2
             for lo in range(0, len(used), width):
                 hi = min(lo + width, len(used))
                 common += _dense(oa, to[xa], len(ia[q]), lo, hi) @ _dense(ob[hit], at, len(ib[h]), lo, hi).T
-            i, j = np.nonzero(ok & ((size[q, None] < 8) | (common >= size[q, None] * share / 2)))
+            need = np.where(size[q] > TABLED, np.floor(size[q] * share / 2), table[np.minimum(size[q], TABLED)])
+            i, j = np.nonzero(ok & (common >= need[:, None]))
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ia[q][i]), pa.array(ib[h][j]), pa.array((ma[q][i] & 3).astype(np.int32))], ["a", "b", "need"])
 
@@ -307,14 +313,28 @@ def short_candidates(classes: DataFrame, short: int = SHORT, ask: int = 16) -> D
     return met.where(smaller & (F.col("ta").bitwiseAND(F.col("tables")) != 0)).select("a", F.col("rid").alias("b")).distinct()
 
 
+@functools.cache
+def least_hits(share: float = SHARE, most: int = 4096) -> tuple[int, ...]:
+    """How many of m sampled triples must be common, for m up to ``most``: as many as a pair that shares ``share`` of its
+    triples has with a probability of at least 1 - ``LOST``, if the sample is taken independently of them."""
+    out = []
+    log = [0.0, *np.cumsum(np.log(np.arange(1, most + 1)))]
+    for m in range(most + 1):
+        i = np.arange(m + 1)
+        p = np.exp(log[m] - np.array(log)[i] - np.array(log)[m - i] + i * np.log(share) + (m - i) * np.log1p(-share))
+        out.append(int(np.searchsorted(np.cumsum(p), LOST, side="right")))
+    return tuple(out)
+
+
 def promising(pairs: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
-    """The pairs of which a sample of a's triples is in b often enough: half of ``share``, about three standard deviations
-    for 20 sampled triples; texts with less than 8 of them pass."""
+    """The pairs of which a sample of a's triples is in b often enough (``least_hits``); small samples that can't tell pass."""
     s = classes.select("rid", F.array_distinct("some").alias("some"))
     p = pairs.join(s.select(F.col("rid").alias("a"), F.col("some").alias("sa")), "a")
-    small = F.size("sa") < 8
+    need = F.get(F.array(*map(F.lit, least_hits(share, TABLED))), F.least(F.size("sa"), F.lit(TABLED)))
+    p = p.withColumn("need", F.when(F.size("sa") > TABLED, F.floor(F.size("sa") * share / 2)).otherwise(need))
+    small = F.col("need") == 0
     rest = p.where(~small).join(s.select(F.col("rid").alias("b"), F.col("some").alias("sb")), "b")
-    rest = rest.where(F.size(F.array_intersect("sa", "sb")) >= F.size("sa") * share / 2)
+    rest = rest.where(F.size(F.array_intersect("sa", "sb")) >= F.col("need"))
     return p.where(small).select("a", "b").unionByName(rest.select("a", "b"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -97,3 +98,15 @@ def test_large_family_of_edited_versions(spark, monkeypatch):
     got = {tuple(r) for r in neardup.Similar(d).links().collect()}
     want = brute(rows)
     assert got <= want and len(want) > 15_000 and len(got) >= 0.98 * len(want)
+
+
+def test_sample_drops_no_pair_with_few_hits(spark):
+    """A pair at the share of 0.70 with 2 hits of 8 sampled triples is likely enough to go to the exact check."""
+    rows = [(1, list(range(8))), (2, [0, 1, *range(100, 106)]), (3, list(range(200, 208)))]
+    s = spark.createDataFrame(rows, "rid long, some array<int>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert {tuple(r) for r in neardup.promising(pairs, s).collect()} == {(1, 2)}
+    need = neardup.least_hits()
+    for m in (8, 12, 20, 60):
+        lost = sum(math.comb(m, i) * 0.7**i * 0.3 ** (m - i) for i in range(need[m]))
+        assert lost <= 1e-4 < lost + math.comb(m, need[m]) * 0.7 ** need[m] * 0.3 ** (m - need[m])
