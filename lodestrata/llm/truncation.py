@@ -7,7 +7,7 @@ Method:
    greatest length at which far more texts lie than at the lengths just below, and of several forms that show a spike
    the one that explains most texts counts.
 2. *Endings.* All sentence ends of the corpus (last two words before a full stop and the like) are counted. A text whose
-   end has no stop is complete if it ends as sentences of the corpus do, or with a list item, link, table row, name or
+   end has no stop is complete if its last two words end a sentence in most places where the corpus has them, or with a list item, link, table row, name or
    closing line; else it is cut. At a storage limit only a full stop (or a closing bracket after one) makes it complete.
    What was put after a cut (dots, ``<cut>``, notes of the transfer) is taken off first.
 
@@ -103,10 +103,19 @@ def _tail(c: Column) -> Column:
 
 
 def sentence_ends(docs: DataFrame) -> DataFrame:
-    """(tail, n): last two words (as shapes) of all sentences of the corpus with their count."""
+    """(tail, n, n_all): last two words (as shapes) of all sentences of the corpus, how often they end one and how often
+    they stand anywhere before the end of a text, each distinct text once."""
+    texts = docs.where(F.length("text") > 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     parts = F.split("text", r"[.!?]+(?=\s|$)")
-    e = docs.where(F.length("text") > 0).select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("s"))
-    return e.select(_tail(F.col("s")).alias("tail")).where(F.col("tail") != "").groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    e = texts.select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("s"))
+    e = e.select(_tail(F.col("s")).alias("tail")).where(F.col("tail") != "").groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+    words = F.filter(F.split(F.col("s"), r"\s+"), lambda w: w != "")
+    last = F.size("w") - F.when(F.col("open"), 2).otherwise(1)  # the end of a text without a stop is what is asked about
+    inside = texts.select(F.posexplode(parts).alias("i", "s"), (F.size(parts) - 1).alias("at")).select((F.col("i") == F.col("at")).alias("open"), words.alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
+    two = inside.where(last >= 1).select(F.explode(pairs).alias("two")).groupBy("two").agg(F.count(F.lit(1)).alias("m"))
+    every = two.select(_shape(F.right("two", F.lit(80))).alias("tail"), "m").groupBy("tail").agg(F.sum("m").alias("n_all"))
+    return e.join(every, "tail", "left").select("tail", "n", F.greatest(F.coalesce("n_all", "n"), "n").alias("n_all"))
 
 
 def endings(docs: DataFrame) -> DataFrame:
@@ -154,7 +163,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     hit = (F.col("lengths")[F.col("f")] <= F.col("c")) & (F.col("lengths")[F.col("f")] >= F.col("c") - slack)
     at = m.where(hit).select("doc_id", F.xxhash64("text").alias("h")).distinct().withColumn("at_limit", F.lit(True))
     e = endings(docs.withColumn("h", F.xxhash64("text")))
-    known = sentence_ends(docs).where(F.col("n") >= ends_least).select("tail", F.lit(True).alias("ends"))
+    known = sentence_ends(docs).where((F.col("n") >= ends_least) & (2 * F.col("n") > F.col("n_all"))).select("tail", F.lit(True).alias("ends"))
     e = e.select("doc_id", "h", "source", "text", "body", "marked", "closing", "stopped", "tail", F.size(F.split("body", r"\s+")).alias("n_words"))
     open_end = ~F.col("stopped") & (F.length(F.trim("body")) > 0)
     rest = e.join(known, "tail", "left").join(at, ["doc_id", "h"], "left")
