@@ -17,8 +17,8 @@ Texts with few triples get sketches of their global minima in text order besides
    Texts of less than ``SHORT`` triples, of which few samples are left after edits, ask with their rarest runs of seven
    words, too.
 3. Pairs that a sample of the triples shows to be far below ``share`` are dropped.
-4. The rest is verified. A banded alignment of the two sequences (the shared triples by diagonal) tells edits from
-   chance; the decision is the exact share of common triples.
+4. The rest is verified by the exact share of common triples. A banded alignment of the two sequences (the shared
+   triples by diagonal) is given with each pair and takes no part in the decision.
 
 Scale: sketches are rows of 20 bytes and are shuffled once; counting, asking and answering work on that one
 distribution. Sketches that make up more than 1/100,000 of all rows stay out of it: they are counted with partial
