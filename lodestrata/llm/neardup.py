@@ -1,30 +1,29 @@
 r"""Records that are edited versions of one another, and their groups.
 
-Two records of one table are linked if the triples of consecutive words that they share are at least ``share`` (0.70)
-of the triples of one of them: an edited copy, a reordered one, or one that holds the other.
+Two records of one table are linked if the triples of consecutive words that both have are at least ``share`` (0.70) of
+the triples that at least one of them has.
 
-Method: Order MinHash. The k-mers are the triples, labelled with their occurrence in the passage. A whole-text minimum would
-be lost in a longer text that holds a shorter one, so minima are taken by content: of all labelled triples those whose
-hash is below 1/``rate`` of the range are *samples*. A *sketch* is three consecutive samples in text order. A passage has
-the same sketches wherever it stands, and an edit spoils only those around it.
-Texts with few triples get sketches of their global minima in text order besides.
+Method: Order MinHash. The k-mers are the triples, labelled with their occurrence in the text. For each of ``TABLES``
+hash functions the ``MINIMA`` labelled triples with the least hashes, in the order in which they stand in the text, make
+a *sketch*. As the links count distinct triples, further occurrences of a triple take the upper sixteenth of the hashes:
+they are sampled where a text has little else.
 
 1. Records with the same text are one *class* (copies never meet each other). One pass over the distinct texts makes
-   the sketches and the sequence of triple hashes of each.
-2. Sketches are counted. Each class asks with about ``ask`` of its sketches, chosen by hash, for the classes that have
-   them. Sketches of more than ``HOT`` classes (legal notices, forms, families of edited versions) are asked with
-   like any other; their pairs are tried by step 3 where they meet, so that only promising ones move.
-   Texts of less than ``SHORT`` triples, of which few samples are left after edits, ask with their rarest runs of seven
-   words, too.
-3. Pairs that a sample of the triples shows to be far below ``share`` are dropped.
-4. The rest is verified by the exact share of common triples. A banded alignment of the two sequences (the shared
-   triples by diagonal) is given with each pair and takes no part in the decision.
-
-Scale: sketches are rows of 20 bytes and are shuffled once; counting, asking and answering work on that one
-distribution. Sketches that make up more than 1/100,000 of all rows stay out of it: they are counted with partial
-aggregation, and both sides of common sketches are salted by their count, so no group has more than about ``SALT`` rows
-of a side. Nothing is collected, and no bucket is cut; the work on a common sketch grows with its classes times those
-that ask with it. Triple sequences move only for promising pairs.
+   the sketches, a signature (the low byte of the least hash of ``WIDTH`` functions) and the sequence of distinct triples.
+2. Classes that have a sketch in common meet in its bucket. There pairs are dropped whose numbers of triples or whose
+   signatures are too far apart; a pair to be found is dropped by its signature with a probability of at most ``LOST``.
+3. Candidates are verified by banded alignment: the longest chain of common triples that ascends in both texts, within
+   the band of diagonals that ``share`` allows. It is a lower bound of what they share, so a chain that reaches
+   ``share`` decides. For the rest (moved passages) the exact number of common triples is taken.
+
+A pair at 0.70 has the same sketch in a table with a probability of about 0.34 if its order is kept, so it is missed by
+all ``TABLES`` with one of 1 in ten million; passages moved far apart keep the order of fewer minima. What is measured stands in the README.
+
+Scale: sketches are rows of 20 bytes; they are counted with partial aggregation, and only those that several classes
+have move on. A bucket over ``BLOCK`` classes is compared in pairs of blocks, each in its own group, so no task holds
+more than two blocks; nothing is collected, no bucket is cut, and of a bucket only pairs come out that pass step 2. The
+comparisons of a bucket grow with the square of its classes (not of its copies), 64 bytes each. Triples move for
+candidates only.
 
 Defined results: null and empty texts and texts with less than three words are in no pair and in no group; replayed
 records count once; a null key is ignored.
@@ -33,36 +32,31 @@ records count once; a null key is ignored.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK, DOCUMENT, materialise
 
 SHARE = 0.7
-RATE = 5
-ASK = 24
-#: Of the distinct triples one in so many is in the sample that candidates are tried by.
-SOME = 16
-#: A pair that is to be found is dropped by that sample with at most this probability.
+TABLES = 40
+MINIMA = 3
+#: Bytes of a signature.
+WIDTH = 64
+#: A pair that is to be found is dropped by its signature with at most this probability.
 LOST = 1e-4
-#: Up to so many sampled triples what is needed follows from LOST; of more it is half of the share, which loses far less.
-TABLED = 100
-#: So many runs of short texts are broadcast (16 bytes each); more are joined by a shuffle.
-MOST_KEYS = 1_000_000
-#: A sketch in more classes than this is common: its pairs are tried where they meet.
-HOT = 64
-SALT = 20_000
-SHORT = 64  # triples
-SHOWN = 8  # records of a class that others are paired with
-NEAR = 64  # occurrences of a triple are counted while they follow one another within so many triples
+BLOCK = 2048
+#: Each copy is paired with so many records of its class and of each linked class.
+SHOWN = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _AT_ONCE = 1 << 19  # code points
+_NEAR = 12  # labelled triples of a text that are looked at for its minima, on average
 
 
 @functools.cache
@@ -111,59 +105,98 @@ def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return t[same], of[:-2][same]
 
 
-def sketches(t: np.ndarray, of: np.ndarray, n: int, rate: int = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of distinct triples of each of n texts; the text of each sketch, and the sketch, each once in a text."""
-    order = np.lexsort((t, of))
-    s, o = t[order], of[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-    again = new.copy()
-    again[1:] |= np.diff(order) > NEAR
-    first = np.maximum.accumulate(np.where(again, np.arange(len(s)), 0))
-    nth = np.empty(len(s), np.uint64)
-    nth[order] = (np.arange(len(s)) - first).astype(np.uint64)
-    distinct = np.bincount(o[new], minlength=n)
+def occurrences(t: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each triple was in its text before; ``of`` ascends."""
+    key = (of.astype(np.uint64) << np.uint64(44)) | (t >> np.uint64(20))
+    order = np.argsort(key)
+    same = np.flatnonzero(np.diff(key[order].view(np.int64)) == 0)
+    nth = np.zeros(len(t), np.uint64)
+    if len(same):
+        at = np.unique(np.concatenate((same, same + 1)))
+        x = np.sort(order[at])
+        x = x[np.argsort(key[x], kind="stable")]
+        k = key[x]
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(x)), 0))
+        nth[x] = (np.arange(len(x)) - first).astype(np.uint64)
+    return nth
+
+
+@functools.cache
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches(t: np.ndarray, of: np.ndarray, nth: np.ndarray, tables: int = TABLES, minima: int = MINIMA) -> np.ndarray:
+    """One row of ``tables`` sketches for each text that has triples, in the order of ``of``."""
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    size = np.diff(np.concatenate((starts, [len(t)])))
+    place = np.repeat(np.arange(len(starts)), size)
     label = _mix(t + nth * _C)
-    at = np.flatnonzero(label < np.uint64((1 << 64) // rate))
-    x, xo = label[at], of[at]
-    ok = xo[:-2] == xo[2:]
-    keys, owner = [_mix(_mix(x[:-2][ok] * _A + x[1:-1][ok] * _B) + x[2:][ok] * _C)], [xo[:-2][ok]]
-    for i in np.flatnonzero((distinct > 0) & (distinct < SHORT)):
-        lo, hi = np.searchsorted(of, (i, i + 1))
-        own = label[lo:hi]
-        for salt in range(6):
-            m = np.sort(np.argsort(_mix(own ^ (_B >> np.uint64(salt + 1))))[:2])
-            k = own[m]
-            keys.append(_mix(k[:1] * _A + k[-1:] * _B + np.uint64(salt + 1))), owner.append(np.array([i]))
-    owner, keys = np.concatenate(owner), np.concatenate(keys)
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    once = np.ones(len(keys), bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-    return distinct, owner[once], keys[once]
-
-
-def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]).cast(kind))
-
-
-def sketched(df: DataFrame, rate: int = RATE) -> DataFrame:
-    """(rid, tables, n, keys, some, seq) of each row of ``df`` (rid, tables, text) that has triples: sketches, a sample of
-    the distinct triples, and all triples in text order."""
-
-    def part(rid, tables, texts) -> pa.RecordBatch:
+    again = nth > 0
+    firsts = np.bincount(place[~again], minlength=len(starts))
+    top = np.uint64(15) << np.uint64(60)
+    near = np.where(firsts <= _NEAR, np.uint64(2**64 - 1), (np.float64(2**63) * 2 * (_NEAR / np.maximum(firsts, _NEAR + 1))).astype(np.uint64))[place]
+    out = np.empty((len(starts), tables), np.int64)
+    for i, odd in enumerate(_odd(tables, 5)):
+        h = label * odd
+        h[again] = (h[again] >> np.uint64(4)) | top
+        at = np.flatnonzero(h <= near)
+        few = np.flatnonzero(np.bincount(place[at], minlength=len(starts)) < np.minimum(minima, size))
+        if len(few):
+            more = np.concatenate([np.arange(starts[j], starts[j] + size[j]) for j in few])
+            at = np.union1d(at, more)
+        p = place[at]
+        by = np.lexsort((h[at], p))
+        p = p[by]
+        rank = np.arange(len(p)) - np.searchsorted(p, p)
+        chosen = np.sort(at[by[rank < minima]])  # in text order
+        p = place[chosen]
+        j = np.arange(len(p)) - np.searchsorted(p, p)
+        key = np.full(len(starts), i * int(_B) & (1 << 64) - 1, np.uint64)
+        for m in range(minima):
+            r = j == m
+            key[p[r]] = _mix(key[p[r]] * _A + label[chosen[r]] + np.uint64(m))
+        out[:, i] = key.view(np.int64)
+    return out
+
+
+def signatures(t: np.ndarray, of: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """A row of ``width`` bytes for each text that has triples: the low bytes of least hashes."""
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    small = (t >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), width), np.uint8)
+    for i, odd in enumerate((_odd(width, 3) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)):
+        h = small * odd
+        out[:, i] = np.minimum.reduceat(h ^ (h >> np.uint32(15)), starts) & np.uint32(255)
+    return out
+
+
+def _fixed(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(m))])
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values, kind))
+
+
+def sketched(df: DataFrame, tables: int = TABLES) -> DataFrame:
+    """(rid, tables, n, keys, signature, seq) of each row of ``df`` (rid, tables, text) that has triples: its sketches, and
+    its distinct triples (32 bits of their hashes) in the order of their first occurrences."""
+
+    def part(rid: pa.Array, bits: pa.Array, texts: list[str]) -> pa.RecordBatch | None:
         t, of = triples(texts)
-        n = len(texts)
-        distinct, owner, keys = sketches(t, of, n, rate)
-        few = t < np.uint64((1 << 64) // SOME)
-        small = (t >> np.uint64(20)).astype(np.uint32).view(np.int32)
-        out = pa.RecordBatch.from_arrays(
-            [rid, tables, pa.array(distinct.astype(np.int32)), _lists(owner, keys.view(np.int64), n, pa.int64()), _lists(of[few], small[few], n, pa.int32()), _lists(of, small, n, pa.int32())],
-            ["rid", "tables", "n", "keys", "some", "seq"],
-        )
-        return out.filter(pa.array(distinct > 0))
+        if not len(t):
+            return None
+        nth = occurrences(t, of)
+        has = pa.array(np.unique(of))
+        keys = sketches(t, of, nth, tables)
+        first = nth == 0
+        t, of = t[first], of[first]
+        n = np.bincount(of, minlength=len(texts))[has.to_numpy()]
+        seq = (t >> np.uint64(20)).astype(np.uint32).view(np.int32)
+        columns = [rid.take(has), bits.take(has), pa.array(n.astype(np.int32)), _lists(np.full(len(n), tables), keys.ravel(), pa.int64()), _fixed(signatures(t, of)), _lists(n, seq, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["rid", "tables", "n", "keys", "signature", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,219 +205,152 @@ def sketched(df: DataFrame, rate: int = RATE) -> DataFrame:
             for i, t in enumerate(texts):
                 size += len(t) + 1
                 if size >= _AT_ONCE or i + 1 == len(texts):
-                    yield part(b.column(0)[lo : i + 1], b.column(1)[lo : i + 1], texts[lo : i + 1])
+                    out = part(b.column(0)[lo : i + 1], b.column(1)[lo : i + 1], texts[lo : i + 1])
+                    if out is not None:
+                        yield out
                     lo, size = i + 1, 0
 
-    return df.select("rid", "tables", "text").mapInArrow(run, "rid long, tables int, n int, keys array<long>, some array<int>, seq array<int>")
-
-
-def frequent(rows: DataFrame, every: int = 32, share: float = 1e-5) -> DataFrame:
-    """(k): sketches that are likely to make more than ``share`` of all rows (k, rid), by a sample of the classes. They
-    are treated apart so that no task gets all their rows; results don't depend on the choice. At most about 1/share."""
-    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0)
-    counted = sample.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4)
-    total = sample.agg(F.count(F.lit(1)).alias("t"))
-    return counted.join(F.broadcast(total), F.col("n") >= F.col("t") * share).select("k")
-
-
-def _dense(of: np.ndarray, at: np.ndarray, rows: int, lo: int, hi: int) -> np.ndarray:
-    m = np.zeros((rows, hi - lo), np.float32)
-    here = (at >= lo) & (at < hi)
-    m[of[here], at[here] - lo] = 1
-    return m
-
-
-def _tried(asking: list[tuple], having: list[tuple], share: float, rows: int = 256, width: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Pairs of one common sketch, both lists of (rid, meta, some), that are in one table and that ``promising`` lets pass."""
-    ia, ma, ib, mb = (np.array([x[i] for x in side], np.int64) for side in (asking, having) for i in (0, 1))
-    size = np.array([len(x[2]) for x in asking], np.int64)
-    table = np.array(least_hits(share, TABLED))
-    for p in range(0, len(asking), rows):
-        q = slice(p, p + rows)
-        voc, xa = np.unique(np.concatenate([x[2] for x in asking[q]]), return_inverse=True)
-        oa = np.repeat(np.arange(len(ia[q])), size[q])
-        for r in range(0, len(having), rows):
-            h = slice(r, r + rows)
-            na, nb = ma[q, None] >> 4, mb[None, h] >> 4
-            ok = ((na < nb) | ((na == nb) & (ia[q, None] < ib[None, h]))) & (((ma[q, None] & mb[None, h]) >> 2) & 3 != 0)
-            if not ok.any():
-                continue
-            ob = np.repeat(np.arange(len(ib[h])), [len(x[2]) for x in having[h]])
-            vb = np.concatenate([x[2] for x in having[h]])
-            at = np.searchsorted(voc, vb)
-            at[at == len(voc)] = 0
-            hit = voc[at] == vb if len(voc) else np.zeros(len(vb), bool)
-            used, at = np.unique(at[hit], return_inverse=True)  # only triples on both sides get a column
-            to = np.full(len(voc), -1)
-            to[used] = np.arange(len(used))
-            common = np.zeros(ok.shape, np.float32)
-            for lo in range(0, len(used), width):
-                hi = min(lo + width, len(used))
-                common += _dense(oa, to[xa], len(ia[q]), lo, hi) @ _dense(ob[hit], at, len(ib[h]), lo, hi).T
-            need = np.where(size[q] > TABLED, np.floor(size[q] * share / 2), table[np.minimum(size[q], TABLED)])
-            i, j = np.nonzero(ok & (common >= need[:, None]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ia[q][i]), pa.array(ib[h][j]), pa.array((ma[q][i] & 3).astype(np.int32))], ["a", "b", "need"])
-
-
-def met_often(many: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
-    """(a, b, need): for each common sketch of ``many`` (k, rid, meta, asks, df) the pairs of a class that asks with it and
-    one that has it, without those that ``promising`` would drop."""
+    return df.select("rid", "tables", "text").mapInArrow(run, "rid long, tables int, n int, keys array<long>, signature binary, seq array<int>")
+
+
+@functools.cache
+def least_equal(share: float = SHARE, width: int = WIDTH, lost: float = LOST) -> int:
+    """How many bytes of two signatures are equal at least, but for a probability of ``lost``, if the texts share ``share``."""
+    i = np.arange(width + 1)
+    log = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, width + 1)))))
+    p = np.exp(log[width] - log[i] - log[width - i] + i * np.log(share) + (width - i) * np.log1p(-share))
+    return int(np.searchsorted(np.cumsum(p), lost, side="right"))
+
+
+def met(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that meet in a group of ``rows`` (g, half, rid, meta, signature), are in one
+    table, and aren't too far apart in number of triples or in signature. ``half`` is -1 where all pairs of a group count,
+    else only those of different halves do."""
+    need = least_equal(share)
+
+    def pairs(g, half, rid, meta, sig) -> pa.RecordBatch:
+        bits, n = meta & 3, meta >> 2
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        at, d = np.arange(len(g)), 0
+        while len(at):  # rows that are d places apart
+            d += 1
+            at = at[at + d < len(g)]
+            at = at[g[at] == g[at + d]]
+            i, j = at, at + d
+            fits = ((bits[i] & bits[j]) != 0) & (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9) & ((half[i] < 0) | (half[i] != half[j]))
+            i, j = i[fits], j[fits]
+            close = (sig[i] == sig[j]).sum(axis=1) >= need
+            out.append((rid[i[close]], rid[j[close]]))
+        x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, asking, having = None, [], []  # the group that is open
+        open_: list[tuple] = []  # rows of the group that isn't complete
         for b in batches:
-            g, role, rid, meta = (b.column(i).to_numpy() for i in range(4))
-            some = b.column(4)
-            offsets, values = some.offsets.to_numpy(), some.values.to_numpy()
-            for i in range(len(b)):
-                if g[i] != here:
-                    if asking and having:
-                        yield from _tried(asking, having, share)
-                    here, asking, having = g[i], [], []
-                (having if role[i] else asking).append((rid[i], meta[i], values[offsets[i] : offsets[i + 1]].copy()))
-        if asking and having:
-            yield from _tried(asking, having, share)
-
-    salts = F.ceil(F.col("df") / SALT)
-    mine = F.pmod(F.xxhash64("rid"), salts)
-    every = F.sequence(F.lit(0).cast("long"), salts - 1)
-    asking = F.transform(every, lambda s: F.struct(F.lit(0).alias("role"), mine.alias("of"), s.alias("with")))
-    having = F.transform(every, lambda s: F.struct(F.lit(1).alias("role"), s.alias("of"), mine.alias("with")))
-    some = classes.select("rid", F.array_distinct("some").alias("some"))
-    x = many.join(some, "rid").select("k", "rid", "meta", "some", F.explode(F.when(F.col("asks"), F.concat(asking, having)).otherwise(having)).alias("r"))
-    x = x.select(F.xxhash64("k", "r.of", "r.with").alias("g"), "r.role", "rid", "meta", "some")
-    return x.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, need int")
-
-
-def candidates(classes: DataFrame, ask: int = ASK, share: float = SHARE) -> DataFrame:
-    """(a, b): pairs of classes (rid, tables, n, keys, some) that have records in one table and share sketches; a has the
-    fewer triples."""
-    nk = F.size("keys")
-    need = F.when(nk < 12, 1).otherwise(2)
-    meta = (F.shiftleft("n", 4) + F.shiftleft("tables", 2) + need).alias("meta")
-    rows = classes.select("rid", meta, nk.alias("nk"), F.explode("keys").alias("k"))
-    rows = rows.select("k", "rid", "meta", (F.pmod("k", F.lit(1 << 20)) * F.col("nk") < ask << 20).alias("asks"))
-    much = materialise(frequent(rows), "frequent")
-    df = F.count(F.lit(1)).over(Window.partitionBy("k")).cast("int").alias("df")
-    spread = rows.join(F.broadcast(much), "k", "left_anti").select("k", "rid", "meta", "asks", df).where(F.col("df") > 1)
-    held = rows.join(F.broadcast(much), "k", "left_semi")
-    held = held.join(F.broadcast(held.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("df"))), "k").select("k", "rid", "meta", "asks", "df").where(F.col("df") > 1)
-
-    def met(asking: DataFrame, having: DataFrame, on: list[str]) -> DataFrame:
-        a = asking.select(*on, F.col("rid").alias("a"), F.col("meta").alias("ma"))
-        b = having.select(*on, F.col("rid").alias("b"), F.col("meta").alias("mb"))
-        na, nb = F.shiftright("ma", 4), F.shiftright("mb", 4)
-        one_table = F.shiftright(F.col("ma").bitwiseAND(F.col("mb")), 2).bitwiseAND(3) != 0
-        smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
-        return a.join(b, on).where(smaller & one_table).select("a", "b", F.col("ma").bitwiseAND(3).alias("need"))
-
-    rare, common = F.col("df") <= HOT, F.col("df") > HOT
-    few = [met(x.where(rare & F.col("asks")), x.where(rare), ["k"]) for x in (spread, held)]
-    many = spread.where(common).unionByName(held.where(common))
-    both = few[0].unionByName(few[1]).unionByName(met_often(many, classes, share))
-    return both.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= F.col("need")).select("a", "b")
-
-
-def _runs(seq: str = "seq", gap: int = 4) -> Column:
-    """Of each triple the pair with the triple ``gap`` later, which stands for a run of gap + 3 words."""
-    n = F.greatest(F.size(seq) - gap, F.lit(0))
-    both = lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.zip_with(F.slice(seq, 1, n), F.slice(seq, gap + 1, n), both)
-
-
-def short_candidates(classes: DataFrame, short: int = SHORT, ask: int = 16) -> DataFrame:
-    """(a, b) as ``candidates`` for classes a of less than ``short`` triples, of which too few samples are left after edits.
-
-    They ask with their ``ask`` rarest runs of seven words, against all runs of all classes. Only runs that short texts
-    have are counted, and only rows of the rarest of them are joined.
+            if not len(b):
+                continue
+            sig = b.column(4)
+            lo, hi = (int(x) for x in np.frombuffer(sig.buffers()[1], np.int32)[[sig.offset, sig.offset + len(b)]])
+            now = (*(b.column(i).to_numpy() for i in range(4)), np.frombuffer(sig.buffers()[2], np.uint8)[lo:hi].reshape(len(b), -1))
+            if open_ and now[0][0] == now[0][-1] == open_[0][0][0]:
+                open_.append(tuple(x.copy() for x in now))
+                continue
+            held = [*open_, now]
+            now = tuple(np.concatenate(x) for x in zip(*held))
+            other = np.flatnonzero(now[0] != now[0][-1])
+            end = int(other[-1]) + 1 if len(other) else 0
+            open_ = [tuple(x[end:].copy() for x in now)]
+            if end:
+                yield pairs(*(x[:end] for x in now))
+        if open_:
+            yield pairs(*(np.concatenate(x) for x in zip(*open_)))
+
+    return rows.repartition("g").sortWithinPartitions("g").select("g", "half", "rid", "meta", "signature").mapInArrow(run, "a long, b long")
+
+
+def candidates(classes: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of classes (rid, tables, n, keys, signature) that have a sketch in common and pass ``met``."""
+    rows = classes.select("rid", F.explode("keys").alias("k"))
+    df = rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    meta = F.shiftleft(F.col("n").cast("long"), 2).bitwiseOR(F.col("tables").cast("long")).alias("meta")
+    rows = rows.join(df, "k").join(classes.select("rid", meta, "signature"), "rid")
+    blocks = F.ceil(F.col("df") / block)
+    mine = F.pmod(F.xxhash64("rid", "k"), blocks)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("x"), F.greatest(mine, o).alias("y"), F.when(mine == o, -1).when(mine < o, 0).otherwise(1).alias("half")))
+    x = rows.select("k", "rid", "meta", "signature", F.explode(every).alias("r"))
+    return met(x.select(F.xxhash64("k", "r.x", "r.y").alias("g"), "r.half", "rid", "meta", "signature"), share).distinct()
+
+
+def _chain(y: list[int]) -> int:
+    """Length of the longest strictly ascending subsequence."""
+    ends: list[int] = []
+    for v in y:
+        i = bisect_left(ends, v)
+        ends[i : i + 1] = [v]
+    return len(ends)
+
+
+def aligned_and_shared(va: np.ndarray, oa: np.ndarray, vb: np.ndarray, ob: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of sequences without repetition the longest common chain within the band, and the common elements.
+
+    Each diagonal is i - j of a common element. Texts that share ``share`` have at most 1 - share of their union
+    on one side only, and no diagonal of their alignment can be farther from 0.
     """
-    few = classes.where(F.col("n") < short).select(F.col("rid").alias("a"), F.col("tables").alias("ta"), F.col("n").alias("na"), F.explode(F.array_distinct(_runs())).alias("t"))
-    few = materialise(few, "short")
-    keys = few.select("t").distinct()
-    held = lambda x: F.broadcast(x) if x.count() <= MOST_KEYS else x
-    every = classes.select("rid", "tables", "n", F.explode(_runs()).alias("t"))
-    df = every.join(held(keys), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("a").orderBy("df", "t")
-    rare = few.join(df.where(F.col("df") > 1), "t").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= ask)
-    rare = materialise(rare.select("a", "ta", "na", "t"), "rare")
-    met = every.join(held(rare), "t")
-    smaller = (F.col("na") < F.col("n")) | ((F.col("na") == F.col("n")) & (F.col("a") < F.col("rid")))
-    return met.where(smaller & (F.col("ta").bitwiseAND(F.col("tables")) != 0)).select("a", F.col("rid").alias("b")).distinct()
-
-
-@functools.cache
-def least_hits(share: float = SHARE, most: int = 4096) -> tuple[int, ...]:
-    """How many of m sampled triples must be common, for m up to ``most``: as many as a pair that shares ``share`` of its
-    triples has with a probability of at least 1 - ``LOST``, if the sample is taken independently of them."""
-    out = []
-    log = [0.0, *np.cumsum(np.log(np.arange(1, most + 1)))]
-    for m in range(most + 1):
-        i = np.arange(m + 1)
-        p = np.exp(log[m] - np.array(log)[i] - np.array(log)[m - i] + i * np.log(share) + (m - i) * np.log1p(-share))
-        out.append(int(np.searchsorted(np.cumsum(p), LOST, side="right")))
-    return tuple(out)
-
-
-def promising(pairs: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
-    """The pairs of which a sample of a's triples is in b often enough (``least_hits``); small samples that can't tell pass."""
-    s = classes.select("rid", F.array_distinct("some").alias("some"))
-    p = pairs.join(s.select(F.col("rid").alias("a"), F.col("some").alias("sa")), "a")
-    need = F.get(F.array(*map(F.lit, least_hits(share, TABLED))), F.least(F.size("sa"), F.lit(TABLED)))
-    p = p.withColumn("need", F.when(F.size("sa") > TABLED, F.floor(F.size("sa") * share / 2)).otherwise(need))
-    small = F.col("need") == 0
-    rest = p.where(~small).join(s.select(F.col("rid").alias("b"), F.col("some").alias("sb")), "b")
-    rest = rest.where(F.size(F.array_intersect("sa", "sb")) >= F.col("need"))
-    return p.where(small).select("a", "b").unionByName(rest.select("a", "b"))
-
-
-def verified(pairs: DataFrame, classes: DataFrame, share: float = SHARE, band: int = 8) -> DataFrame:
-    """(a, b, na, nb, shared, aligned): pairs whose common triples are at least ``share`` of a's; ``aligned`` is the part
-    of them on the strongest bands of diagonals, at most 4."""
+    na, nb = np.diff(oa), np.diff(ob)
+    of_a, of_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    ka = (of_a.astype(np.uint64) << np.uint64(32)) | va.view(np.uint32)
+    kb = (of_b.astype(np.uint64) << np.uint64(32)) | vb.view(np.uint32)
+    _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
+    order = np.argsort(ia)
+    ia, ib = ia[order], ib[order]
+    pair = of_a[ia]
+    shared = np.bincount(pair, minlength=len(na))
+    x, y = ia - oa[pair], ib - ob[pair]
+    band = np.ceil((1 - share) * (na + nb - shared)).astype(np.int64)
+    inside = np.abs(x - y) <= band[pair]
+    pair, y = pair[inside], y[inside]
+    aligned = np.bincount(pair, minlength=len(na))
+    falls = np.unique(pair[1:][(pair[1:] == pair[:-1]) & (y[1:] < y[:-1])])
+    lo, hi = np.searchsorted(pair, falls), np.searchsorted(pair, falls, side="right")
+    for p, i, j in zip(falls, lo, hi):
+        aligned[p] = _chain(y[i:j].tolist())
+    return aligned, shared
+
+
+def verified(pairs: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
+    """(a, b, na, nb, aligned, shared): the pairs that share ``share``, by their alignment or else by their common triples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(i) for i in range(4)]
-            sa, sb = b.column(4), b.column(5)
-            oa, ob = sa.offsets.to_numpy(), sb.offsets.to_numpy()
-            va, vb = sa.values.to_numpy(), sb.values.to_numpy()
-            shared, aligned = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
-            need = cols[2].to_numpy() * share
-            for i in range(len(b)):
-                x, xi = np.unique(va[oa[i] : oa[i + 1]], return_index=True)
-                y, yi = np.unique(vb[ob[i] : ob[i + 1]], return_index=True)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                hit = y[at] == x
-                shared[i] = k = int(hit.sum())
-                if k >= need[i] - 1e-9 and k:
-                    d = (yi[at[hit]] - xi[hit] + len(va)) // band
-                    c = np.sort(np.bincount(d - d.min()))[::-1]
-                    aligned[i] = int(c[:4].sum())
-            keep = pa.array((shared >= need - 1e-9) & (shared > 0))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(shared), pa.array(aligned)], ["a", "b", "na", "nb", "shared", "aligned"]).filter(keep)
+            for lo in range(0, len(b), 1024):
+                c = b.slice(lo, 1024)
+                (va, oa), (vb, ob) = ((x.flatten().to_numpy(), x.offsets.to_numpy().astype(np.int64)) for x in (c.column(4), c.column(5)))
+                n = c.column(2).to_numpy() + c.column(3).to_numpy()
+                aligned, shared = aligned_and_shared(va, oa - oa[0], vb, ob - ob[0], share)
+                reaches = lambda k: (k > 0) & (k >= share * (n - k) - 1e-9)  # noqa: E731,B023
+                keep = reaches(aligned)
+                keep[~keep] = reaches(shared)[~keep]
+                yield pa.RecordBatch.from_arrays([*(c.column(i) for i in range(4)), pa.array(aligned.astype(np.int32)), pa.array(shared.astype(np.int32))], ["a", "b", "na", "nb", "aligned", "shared"]).filter(pa.array(keep))
 
     s = classes.select("rid", "n", "seq")
     both = pairs.join(s.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("seq").alias("sa")), "a")
     both = both.join(s.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("seq").alias("sb")), "b")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na int, nb int, shared int, aligned int")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na int, nb int, aligned int, shared int")
 
 
 class Similar:
     """Links between the records of ``df`` (tbl, record_key, text): classes of equal texts and verified pairs of them."""
 
-    def __init__(self, df: DataFrame, share: float = SHARE, rate: int = RATE, ask: int = ASK, tables: tuple[str, ...] = (DOCUMENT, CHUNK)):
+    def __init__(self, df: DataFrame, share: float = SHARE, tables: tuple[str, ...] = (DOCUMENT, CHUNK)):
         r = df.where((F.length("text") > 0) & F.col("record_key").isNotNull()).select("tbl", F.col("record_key").cast("long").alias("record_key"), "text", F.xxhash64("text").alias("rid"))
         bit = F.lit(0)
         for i, name in enumerate(tables):
             bit = F.when(F.col("tbl") == name, 1 << i).otherwise(bit)
         texts = r.groupBy("rid").agg(F.bit_or(bit).alias("tables"), F.first("text").alias("text"))
-        self.classes = materialise(sketched(texts, rate), "sketches")
+        self.classes = materialise(sketched(texts), "sketches")
         self.members = r.select("tbl", "record_key", "rid").distinct()
-        found = candidates(self.classes.select("rid", "tables", "n", "keys", "some"), ask, share).unionByName(short_candidates(self.classes)).distinct()
-        self.found = materialise(found, "candidates")
-        self.likely = materialise(promising(self.found, self.classes, share), "promising")
-        self.pairs = materialise(verified(self.likely, self.classes, share), "pairs")
+        self.found = materialise(candidates(self.classes, share), "candidates")
+        self.pairs = materialise(verified(self.found, self.classes, share), "pairs")
 
     def heads(self) -> DataFrame:
         """(tbl, rid, head): the least key of each class in each table, for classes whose text has triples."""
