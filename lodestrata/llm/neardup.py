@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, DOCUMENT, materialise
+from .common import CHUNK, DOCUMENT, code_points, letters, materialise, mix64, powers
 
 SHARE = 0.7
 TABLES = 40
@@ -52,55 +52,26 @@ LOST = 1e-4
 BLOCK = 2048
 #: Each copy is paired with so many records of its class and of each linked class.
 SHOWN = 16
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _AT_ONCE = 1 << 19  # code points
 _NEAR = 12  # labelled triples of a text that are looked at for its minima, on average
 
 
-@functools.cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point whether it is a letter or digit, and its lower case."""
-    word, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
-    for i in range(0x110000):
-        if 0xD800 <= i < 0xE000:
-            continue
-        c = chr(i)
-        if c.isalpha() or c.isdecimal():
-            word[i] = True
-            lower[i] = ord(c.lower()[0])
-    return word, lower
-
-
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _P), np.full(n, _P_INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
-
-
 def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all triples of consecutive words, and the text each lies in."""
-    word, lower = _characters()
-    a = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word, lower, _ = letters()
+    a = code_points("\n".join(texts))
     starts_of = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])).astype(np.int64)
-    up, down = _powers(max(_AT_ONCE, 1 << (len(a) + 1).bit_length()))
+    up, down = powers(max(_AT_ONCE, 1 << (len(a) + 1).bit_length()))
     w = word[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], w, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(w, lower[a] + np.uint32(1), 0).astype(np.uint64) * up[: len(a)])))
-    words = _mix((sums[end] - sums[start]) * down[start])
+    words = mix64((sums[end] - sums[start]) * down[start])
     of = np.searchsorted(starts_of, start, side="right") - 1
     if len(words) < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    t = _mix(words[:-2] * _A + words[1:-1] * _B + words[2:] * _C + np.uint64(1))
+    t = mix64(words[:-2] * _A + words[1:-1] * _B + words[2:] * _C + np.uint64(1))
     same = of[:-2] == of[2:]
     return t[same], of[:-2][same]
 
@@ -131,7 +102,7 @@ def sketches(t: np.ndarray, of: np.ndarray, nth: np.ndarray, tables: int = TABLE
     starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     size = np.diff(np.concatenate((starts, [len(t)])))
     place = np.repeat(np.arange(len(starts)), size)
-    label = _mix(t + nth * _C)
+    label = mix64(t + nth * _C)
     again = nth > 0
     firsts = np.bincount(place[~again], minlength=len(starts))
     top = np.uint64(15) << np.uint64(60)
@@ -155,7 +126,7 @@ def sketches(t: np.ndarray, of: np.ndarray, nth: np.ndarray, tables: int = TABLE
         key = np.full(len(starts), i * int(_B) & (1 << 64) - 1, np.uint64)
         for m in range(minima):
             r = j == m
-            key[p[r]] = _mix(key[p[r]] * _A + label[chosen[r]] + np.uint64(m))
+            key[p[r]] = mix64(key[p[r]] * _A + label[chosen[r]] + np.uint64(m))
         out[:, i] = key.view(np.int64)
     return out
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import code_points
+
 LEVELS = ("forced", "space", "clause", "sentence", "line", "paragraph")
 _FORCED, _SPACE, _CLAUSE, _SENTENCE, _LINE, _PARAGRAPH = range(6)
 _END = np.array([ord(c) for c in ".!?…。"], dtype=np.uint32)
@@ -28,10 +30,6 @@ _PAUSE = np.array([ord(c) for c in ",;:)–—"], dtype=np.uint32)
 _CLOSING = np.array([ord(c) for c in "\"'”’»)]"], dtype=np.uint32)
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
 def boundaries(a: np.ndarray) -> list[np.ndarray]:
     """For each level the sorted cut positions of at least that level; a cut at p parts a[:p] from a[p:]."""
     n = len(a)

@@ -2,17 +2,21 @@ r"""Texts that lack their end, and how often each source cuts them off.
 
 Method:
 
-1. *Hidden limits.* The length of each text is recomputed under alternative storage forms (code points, UTF-8 bytes,
-   UTF-16 units, entity or JSON escaping, other line ends). Lengths are counted by source and form; a limit is a
-   greatest length at which far more texts lie than at the lengths just below, and of several forms that show a spike
-   the one that explains most texts counts.
-2. *Endings.* All sentence ends of the corpus (last two words before a full stop and the like) are counted. A text whose
-   end has no stop is complete if its last two words end a sentence in most places where the corpus has them, or with a list item, link, table row, name or
-   closing line; else it is cut. At a storage limit only a full stop (or a closing bracket after one) makes it complete.
-   What was put after a cut (dots, ``<cut>``, notes of the transfer) is taken off first.
-
-Everything is counted over all texts, in the JVM, with partial aggregation before each shuffle. What is broadcast is
-the table of limits: at most one row for a source.
+1. *Lengths.* One pass over the distinct texts gives the length of each under alternative storage forms (code points,
+   UTF-8 bytes, UTF-16 units, entity or JSON escaping, other line ends), its ending, and the pairs of neighbouring words
+   with how many of them end a sentence.
+2. *Endings.* A text whose end has no stop is complete if its last two words end a sentence in most places where the
+   corpus has them, or with a list item, link, table row, name or closing line; else it looks cut. What was put after a
+   cut (dots, ``<cut>``, notes of the transfer) is taken off first.
+3. *Hidden limits.* Distinct texts are counted by source, form and length. A limit is a length, anywhere in the
+   histogram, that has far more texts than the lengths around it and most of whose texts look cut. A text that lies on
+   several such spikes counts for the strongest; spikes that are left with few are the shadow of another form's limit.
+4. At a limit of its source only a full stop (or a closing mark after one) makes a text complete; elsewhere what looks cut
+   is.
+
+Scale: texts are shuffled once, to take copies together; everything after that is narrow (hashes, lengths, endings of at
+most ``END_CHARS``), is aggregated partially before each shuffle, and is joined on equal keys. Nothing is collected and no
+broadcast is forced.
 
 Defined results: null, empty and blank texts are complete; a null source forms a group of its own, for which the limits
 of all sources count; repeated rows count once by document id in ``truncated``.
@@ -20,9 +24,15 @@ of all sources count; repeated rows count once by document id in ``truncated``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import code_points, letters, materialise, mix64, powers
+
 #: What transfers and exports put after a cut.
 MARKS = r"(?:\s|\.\.\.|…|\[…\]|\[\.\.\.\]|�|=|<[A-Za-z][^<>\n]{0,24}>|\[[^\[\]\n]{3,40}\]|-{2,}[ \t]*[^\n]{3,40}?[ \t]*-{2,}|\(\.\.\.\)|>>+)+$"
 #: Lines that printing or scanning adds below a text, complete or not.
@@ -37,93 +47,136 @@ _PART = r"(?:\p{Lu}[\p{L}\p{M}'’.-]*|v[ao]n|de[rnl]?|la|da|di|y|el)"
 NAME = _PART + r"(?:[ \t]+" + _PART + r")*"
 
 
-def _count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def stored_lengths(text: Column) -> dict[str, Column]:
-    """Length of a text under each storage form."""
-    chars, octets = F.length(text), F.octet_length(text)
-    feeds = chars - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    pairs = (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2
-    pairs = pairs.cast("int")
-    entities = 4 * _count_of(text, "&") + 3 * _count_of(text, "[<>]")
-    quotes = 5 * _count_of(text, "[\"']")
-    escapes = _count_of(text, r'["\\\n\r\t]')
-    astral = _count_of(text, r"[\x{10000}-\x{10FFFF}]")
-    return {
-        "code_points": chars,
-        "utf8": octets,
-        "utf16": chars + astral,
-        "entities": chars + entities + quotes,
-        "entities_utf8": octets + entities + quotes,
-        "json": chars + escapes,
-        "json_utf8": octets + escapes,
-        "json_ascii": chars + escapes + 5 * _count_of(text, r"[^\x00-\x7f]") + 6 * astral,
-        "crlf": chars + feeds - pairs,
-        "crlf_utf8": octets + feeds - pairs,
-        "lf": chars - pairs,
-        "lf_utf8": octets - pairs,
-    }
-
-
-def storage_limits(docs: DataFrame, least: int = 5, contrast: float = 8.0) -> DataFrame:
-    """(source, form, cap, n_at) of each source that cuts at a length; docs has (source, text).
-
-    A spike needs ``least`` texts and ``contrast`` times what the 40 lengths below it hold on average. Forms measured in
-    bytes take the three lengths below the limit with it, as a character may not fit.
+#: The storage forms in which lengths are counted; those in bytes may fall short of a limit by part of a character.
+FORMS = ("code_points", "utf8", "utf16", "entities", "entities_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8", "lf", "lf_utf8")
+SLACK = 3
+_SPACES = " \t\n\x0b\f\r\x85\xa0"
+_AT_ONCE = 1 << 20  # code points
+
+
+def stored_lengths(texts: list[str]) -> np.ndarray:
+    """A row for each text, none of them empty, with its length under each of ``FORMS``."""
+    a = code_points("".join(texts))
+    starts = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    count = lambda m: np.add.reduceat(m, starts, dtype=np.int32)
+    chars = np.diff([*starts, len(a)]).astype(np.int32)
+    feed = a == 10
+    pair = np.concatenate(([False], feed[1:] & (a[:-1] == 13)))
+    pair[starts] = False
+    wide, astral = count(a >= 0x80), count(a >= 0x10000)
+    octets = chars + wide + count(a >= 0x800) + astral
+    feeds, pairs = count(feed), count(pair)
+    quote = a == 34
+    entities = 4 * count(a == 38) + 3 * count((a == 60) | (a == 62)) + 5 * count(quote | (a == 39))
+    escapes = feeds + count(quote | (a == 92) | (a == 13) | (a == 9))
+    return np.stack([
+        chars, octets, chars + astral, chars + entities, octets + entities, chars + escapes, octets + escapes,
+        chars + escapes + 5 * wide + 6 * astral, chars + feeds - pairs, octets + feeds - pairs, chars - pairs, octets - pairs,
+    ], axis=1)
+
+
+def _sets(chars: str) -> np.ndarray:
+    m = np.zeros(0x110000, bool)
+    m[[ord(c) for c in chars]] = True
+    return m
+
+
+_STOPS, _CLOSERS, _LEFT_OUT = ".!?。！？", "\"'”’»)]", "()[]\"'“”„«»’,;:.!?。！？…"
+_tables: list[np.ndarray] = []
+
+
+def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all pairs of neighbouring words, the text of each, and whether it ends a sentence.
+
+    Words are in lower case, without brackets, quotes and stops; all words with a digit are one.
     """
-    lengths = stored_lengths(F.col("text"))
-    forms = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.cast("long").alias("len")) for k, v in lengths.items()))).alias("x")
-    n = docs.where(F.length("text") > 0).select(F.coalesce("source", F.lit("\0")).alias("source"), forms).select("source", "x.form", "x.len").groupBy("source", "form", "len").agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy("source", "form").agg(F.max("len").alias("cap"))
-    near = (
-        n.join(F.broadcast(top), ["source", "form"])
-        .where(F.col("len") > F.col("cap") - 44)
-        .groupBy("source", "form", "cap")
-        .agg(
-            F.sum(F.when((F.col("len") == F.col("cap")) | (F.col("form").contains("utf8") & (F.col("len") > F.col("cap") - 4)), F.col("n")).otherwise(0)).alias("n_at"),
-            F.sum(F.when(F.col("len") <= F.col("cap") - 4, F.col("n")).otherwise(0)).alias("n_below"),
-        )
-    )
-    spikes = near.where((F.col("n_at") >= least) & (F.col("n_at") > contrast * F.col("n_below") / 40))
-    best = spikes.groupBy("source").agg(F.max(F.struct("n_at", F.when(F.col("form") == "code_points", 1).otherwise(0).alias("plain"), "form", "cap")).alias("b"))
-    return best.select("source", "b.form", "b.cap", "b.n_at")
-
-
-def _shape(c: Column) -> Column:
-    """Lower case, codes and numbers as #, without brackets and quotes."""
-    c = F.regexp_replace(F.lower(c), r"[\p{L}]{0,3}-?\d[\d.,/-]*", "#")
-    return F.trim(F.regexp_replace(c, r"[()\[\]\"“”«»,;:\s]+", " "))
-
-
-def _tail(c: Column) -> Column:
-    """Last two words of a text as shapes."""
-    return _shape(F.regexp_extract(F.right(c, F.lit(80)), r"(\S+\s+\S+)$", 1))
-
-
-def sentence_ends(docs: DataFrame) -> DataFrame:
-    """(tail, n, n_all): last two words (as shapes) of all sentences of the corpus, how often they end one and how often
-    they stand anywhere before the end of a text, each distinct text once."""
-    texts = docs.where(F.length("text") > 0).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    parts = F.split("text", r"[.!?]+(?=\s|$)")
-    e = texts.select(F.explode(F.slice(parts, 1, F.size(parts) - 1)).alias("s"))
-    e = e.select(_tail(F.col("s")).alias("tail")).where(F.col("tail") != "").groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
-    words = F.filter(F.split(F.col("s"), r"\s+"), lambda w: w != "")
-    last = F.size("w") - F.when(F.col("open"), 2).otherwise(1)  # the end of a text without a stop is what is asked about
-    inside = texts.select(F.posexplode(parts).alias("i", "s"), (F.size(parts) - 1).alias("at")).select((F.col("i") == F.col("at")).alias("open"), words.alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
-    two = inside.where(last >= 1).select(F.explode(pairs).alias("two")).groupBy("two").agg(F.count(F.lit(1)).alias("m"))
-    every = two.select(_shape(F.right("two", F.lit(80))).alias("tail"), "m").groupBy("tail").agg(F.sum("m").alias("n_all"))
-    return e.join(every, "tail", "left").select("tail", "n", F.greatest(F.coalesce("n_all", "n"), "n").alias("n_all"))
-
-
-def endings(docs: DataFrame) -> DataFrame:
-    """Adds what the end of each text tells: ``body`` (without added marks), ``stopped``, ``marked``, ``closing``, ``tail``."""
-    d = docs.withColumn("whole", F.right(F.rtrim("text", F.lit(" \t\n\x0b\f\r\x85\xa0")), F.lit(END_CHARS)))
-    t = F.regexp_replace(F.regexp_replace("whole", FOOTERS, ""), r"\s+$", "")
-    d = d.withColumn("body", F.regexp_replace(t, MARKS, "")).withColumn("marked", F.col("body") != t)
-    d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("whole").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
+    if not _tables:
+        _tables.extend((_sets(" \t\n\x0b\x0c\r\x85\xa0\u2007\u202f\u3000"), _sets(_STOPS), _sets(_CLOSERS), _sets(_LEFT_OUT)))
+    space, stop, closer, left_out = _tables
+    _, lower, digit = letters()
+    a = code_points("\n".join(texts))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    solid = ~space[a]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    at = np.flatnonzero(solid & ~closer[a])
+    k = np.searchsorted(at, last) - 1
+    end = at[np.maximum(k, 0)] if len(at) else np.zeros(len(last), np.int64)
+    ends = (k >= 0) & (end >= first) & stop[a[end]] if len(at) else np.zeros(len(last), bool)
+    kept = np.flatnonzero(solid & ~left_out[a])
+    up, down = powers(max(_AT_ONCE, 1 << (len(kept) + 1).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((lower[a[kept]] + np.uint32(1)).astype(np.uint64) * up[: len(kept)])))
+    lo, hi = np.searchsorted(kept, first), np.searchsorted(kept, last)
+    numbers = np.concatenate(([0], np.cumsum(digit[a[kept]])))
+    words = np.where(numbers[hi] > numbers[lo], np.uint64(1), mix64((sums[hi] - sums[lo]) * down[lo]))
+    some = hi > lo
+    ends_after = ends.copy()  # a stop of its own ends the word before
+    ends_after[:-1] |= ends[1:] & ~some[1:]
+    words, ends, of = words[some], ends_after[some], (np.searchsorted(starts, first, side="right") - 1)[some]
+    two = mix64(words[:-1] * np.uint64(0xBF58476D1CE4E5B9) + words[1:])
+    same = of[:-1] == of[1:]
+    return two[same], of[1:][same], ends[1:][same]
+
+
+def measured(texts: DataFrame) -> DataFrame:
+    """(h, lengths, ending, pair, n, n_all) of distinct texts (h, text), none of them empty. The word pairs of a batch, how
+    often they end a sentence and how often they stand elsewhere but at the end of a text, are in its first row."""
+
+    def part(h: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        two, of, ends = word_pairs(texts)
+        final = np.concatenate((of[1:] != of[:-1], [True])) if len(of) else np.zeros(0, bool)
+        counts = ends | ~final
+        pair, inverse = np.unique(two[counts], return_inverse=True)
+        n = np.bincount(inverse, ends[counts], len(pair)).astype(np.int32)
+        first = np.concatenate(([0], np.full(len(texts), len(pair)))).astype(np.int32)
+        of_batch = lambda x, kind: pa.ListArray.from_arrays(pa.array(first), pa.array(x, kind))
+        lengths = stored_lengths(texts)
+        columns = [
+            h, pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(FORMS)), pa.array(lengths.ravel().astype(np.int32))), pa.array([t.rstrip(_SPACES)[-END_CHARS:] for t in texts], pa.string()),
+            of_batch(pair.view(np.int64), pa.int64()), of_batch(n, pa.int32()), of_batch(np.bincount(inverse, minlength=len(pair)).astype(np.int32), pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["h", "lengths", "ending", "pair", "n", "n_all"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            lo, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= _AT_ONCE or i + 1 == len(texts):
+                    yield part(b.column(0)[lo : i + 1], texts[lo : i + 1])
+                    lo, size = i + 1, 0
+
+    return texts.select("h", "text").mapInArrow(run, "h long, lengths array<int>, ending string, pair array<long>, n array<int>, n_all array<int>")
+
+
+def sentence_ends(m: DataFrame) -> DataFrame:
+    """(pair, n, n_all): how often each pair of words of the measured texts ends a sentence, and how often it stands anywhere
+    but at the open end of a text."""
+    z = m.where(F.size("pair") > 0).select(F.explode(F.arrays_zip("pair", "n", "n_all")).alias("z"))
+    return z.groupBy("z.pair").agg(F.sum("z.n").alias("n"), F.sum("z.n_all").alias("n_all"))
+
+
+def last_pairs(e: DataFrame) -> DataFrame:
+    """Adds ``pair``, the last two words of ``body``, to (h, body, ...)."""
+    names = [f.name for f in e.schema.fields]
+    k = names.index("body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            two, of, _ = word_pairs(b.column(k).to_pylist())
+            last = np.zeros(len(b), np.uint64)
+            last[of] = two  # the last one stays
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last.view(np.int64))], [*names, "pair"])
+
+    return e.mapInArrow(run, e.withColumn("pair", F.lit(0).cast("long")).schema)
+
+
+def endings(m: DataFrame) -> DataFrame:
+    """Adds what ``ending`` tells: ``body`` (without added marks), ``stopped``, ``marked``, ``closing``."""
+    d = m.withColumn("t", F.regexp_replace(F.regexp_replace("ending", FOOTERS, ""), r"\s+$", ""))
+    d = d.withColumn("body", F.regexp_replace("t", MARKS, "")).withColumn("marked", F.col("body") != F.col("t"))
+    d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("ending").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
     lines = F.when(F.col("stopped"), F.array(F.lit(""))).otherwise(F.filter(F.split("body", r"\r?\n"), lambda x: x.rlike(r"\S")))
     d = d.withColumn("lines", lines)
     d = d.withColumn("last", F.trim(F.regexp_replace(F.coalesce(F.get("lines", F.size("lines") - 1), F.lit("")), r"^[>|\s]+", "")))
@@ -148,36 +201,91 @@ def endings(docs: DataFrame) -> DataFrame:
         | titled
         | line.rlike(r",$") & (words <= 5)
     )
-    d = d.withColumn("closing", F.when(F.col("stopped"), False).otherwise(F.coalesce(closing, F.lit(False))))
-    return d.withColumn("tail", F.when(F.col("stopped"), "").otherwise(_tail(F.col("body"))))
-
-
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ends_least: int = 3) -> DataFrame:
-    """(doc_id, source, at_limit, marked, truncated) for every document."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    limits = storage_limits(docs).select(F.col("source").alias("s"), F.col("form").alias("f"), F.col("cap").alias("c"))
-    lengths = F.create_map(*(x for k, v in stored_lengths(F.col("text")).items() for x in (F.lit(k), v.cast("long"))))
-    mine = F.col("source").isNull() | (F.col("source") == F.col("s"))
-    slack = F.when(F.col("f").contains("utf8"), 3).otherwise(0)
-    m = docs.withColumn("lengths", lengths).join(F.broadcast(limits), mine, "left")
-    hit = (F.col("lengths")[F.col("f")] <= F.col("c")) & (F.col("lengths")[F.col("f")] >= F.col("c") - slack)
-    at = m.where(hit).select("doc_id", F.xxhash64("text").alias("h")).distinct().withColumn("at_limit", F.lit(True))
-    e = endings(docs.withColumn("h", F.xxhash64("text")))
-    known = sentence_ends(docs).where((F.col("n") >= ends_least) & (2 * F.col("n") > F.col("n_all"))).select("tail", F.lit(True).alias("ends"))
-    e = e.select("doc_id", "h", "source", "text", "body", "marked", "closing", "stopped", "tail", F.size(F.split("body", r"\s+")).alias("n_words"))
-    open_end = ~F.col("stopped") & (F.length(F.trim("body")) > 0)
-    rest = e.join(known, "tail", "left").join(at, ["doc_id", "h"], "left")
-    at_limit, ends = F.coalesce("at_limit", F.lit(False)), F.coalesce("ends", F.lit(False))
-    cut = F.coalesce(open_end & F.when(at_limit, F.lit(True)).otherwise(~F.col("closing") & ~ends & (F.col("n_words") > 3)), F.lit(False))
-    return rest.select("doc_id", "source", at_limit.alias("at_limit"), F.coalesce("marked", F.lit(False)).alias("marked"), cut.alias("truncated"))
+    return d.withColumn("closing", F.when(F.col("stopped"), False).otherwise(F.coalesce(closing, F.lit(False)))).drop("t")
+
+
+class Corpus:
+    """What ``docs`` (doc_id, source, text) tell about their texts' ends; all tables are in the shared folder.
+
+    ``rows`` (doc_id, source, h) are the documents with a text, ``open`` (h, marked, looks_cut, lengths) the distinct
+    texts that end without a stop, ``limits`` (source, form, cap, n_at) the storage limits.
+    """
+
+    def __init__(self, docs: DataFrame, ends_least: int = 3, least: int = 5, contrast: float = 8.0):
+        docs = docs.where(F.length("text") > 0)
+        h = F.xxhash64("text").alias("h")
+        self.rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), h), "rows")
+        m = materialise(measured(docs.select(h, "text").groupBy("h").agg(F.first("text").alias("text"))), "measured")
+        e = endings(m.where(~_plain(F.col("ending"))).select("h", "ending", "lengths"))
+        e = e.where(~F.col("stopped") & (F.length(F.trim("body")) > 0)).select("h", "lengths", "marked", "closing", F.size(F.split("body", r"\s+")).alias("n_words"), "body")
+        e = last_pairs(e).drop("body")
+        known = sentence_ends(m).where((F.col("n") >= ends_least) & (2 * F.col("n") > F.col("n_all"))).select("pair", F.lit(True).alias("ends"))
+        e = e.join(known, "pair", "left").select("h", "lengths", "marked", (~F.col("closing") & F.col("ends").isNull() & (F.col("n_words") > 3)).alias("looks_cut"))
+        self.open = materialise(e, "open")
+        self.limits = materialise(self._limits(m, least, contrast), "limits")
+
+    def _held(self, texts: DataFrame) -> DataFrame:
+        """``texts`` by source and storage form: (source, h, form, len, ...), each text once for a source."""
+        z = F.explode(F.arrays_zip(F.array(*map(F.lit, FORMS)).alias("form"), F.col("lengths").alias("len"))).alias("z")
+        x = self.rows.select("source", "h").distinct().join(texts, "h")
+        return x.select("source", "h", *(c for c in texts.columns if c not in ("h", "lengths")), z).select("*", "z.form", "z.len").drop("z")
+
+    def _limits(self, m: DataFrame, least: int, contrast: float) -> DataFrame:
+        cut = self.open.where("looks_cut").select("h", F.lit(1).alias("cut"))
+        n = self._held(m.select("h", "lengths").join(cut, "h", "left")).groupBy("source", "form", "len").agg(F.count(F.lit(1)).alias("n"), F.count("cut").alias("n_cut"))
+        by = Window.partitionBy("source", "form").orderBy("len")
+        octets = F.col("form").contains("utf8")
+        over = lambda c, lo, hi: F.coalesce(F.sum(c).over(by.rangeBetween(lo, hi)), F.lit(0))
+        at = lambda c: F.when(octets, over(c, -SLACK, 0)).otherwise(F.col(c))
+        near = n.select("source", "form", F.col("len").alias("cap"), at("n").alias("n_at"), at("n_cut").alias("n_cut"), ((over("n", -44, -4) + over("n", 1, 44)) / 85 * F.when(octets, SLACK + 1).otherwise(1)).alias("mean"))
+        spike = (F.col("n_at") >= least + 6 * F.sqrt("mean")) & (F.col("n_at") > contrast * F.col("mean")) & (2 * F.col("n_cut") > F.col("n_at"))
+        spikes = materialise(near.where(spike).select("source", "form", "cap", "n_at"), "spikes")
+        on = self._held(self.open.where("looks_cut").select("h", "lengths")).join(_each_length(spikes), ["source", "form", "len"])
+        best = F.max(F.struct("n_at", (F.col("form") == "code_points").alias("plain"), (-F.col("cap")).alias("low"), "form", "cap")).alias("b")
+        mine = on.groupBy("source", "h").agg(best).groupBy("source", "b.form", "b.cap", "b.n_at").agg(F.count(F.lit(1)).alias("own"))
+        return mine.where((F.col("own") >= least) & (2 * F.col("own") > F.col("n_at"))).select("source", "form", "cap", "n_at")
+
+    def judged(self) -> DataFrame:
+        """(doc_id, source, at_limit, marked, truncated) of every row; at_limit is given of texts that end without a stop."""
+        x = self._held(self.open.select("h", "lengths"))
+        limits = _each_length(self.limits)
+        own = x.join(limits, ["source", "form", "len"]).select("source", "h")
+        none = x.where(F.col("source") == NO_SOURCE).join(limits.drop("source"), ["form", "len"]).select("source", "h")
+        at = own.unionByName(none).distinct().withColumn("at_limit", F.lit(True))
+        r = self.rows.join(self.open.select("h", "marked", "looks_cut"), "h", "left").join(at, ["source", "h"], "left")
+        at_limit, cut = F.coalesce("at_limit", F.lit(False)), F.coalesce("looks_cut", F.lit(False))
+        return r.select("doc_id", F.nullif("source", F.lit(NO_SOURCE)).alias("source"), at_limit.alias("at_limit"), F.coalesce("marked", F.lit(False)).alias("marked"), (at_limit | cut).alias("truncated"))
+
+
+#: Stands for a null source.
+NO_SOURCE = "\0"
+
+
+def _plain(ending: Column) -> Column:
+    """Whether an ending has one stop and at most quotes after it: nothing was added, nothing is missing."""
+    return F.right(ending, F.lit(12)).rlike(r"[^.…\s][.!?。！？][\"'”’»]*$")
+
+
+def _each_length(limits: DataFrame) -> DataFrame:
+    """A row for each length that counts as being at a limit."""
+    slack = F.when(F.col("form").contains("utf8"), SLACK).otherwise(0)
+    return limits.select("source", "form", "cap", "n_at", F.explode(F.sequence(F.col("cap") - slack, F.col("cap"))).alias("len"))
+
+
+def _corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Corpus:
+    return Corpus(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")))
+
+
+def storage_limits(df: DataFrame, **columns: str) -> DataFrame:
+    """(source, form, cap, n_at) of each length at which a source cuts."""
+    return _corpus(df, **columns).limits.select(F.nullif("source", F.lit(NO_SOURCE)).alias("source"), "form", F.col("cap").cast("long").alias("cap"), "n_at")
 
 
 def truncated(df: DataFrame, **columns: str) -> DataFrame:
-    return judge(df, **columns).where("truncated").select("doc_id").distinct()
+    return _corpus(df, **columns).judged().where("truncated").select("doc_id").distinct()
 
 
 def report(df: DataFrame, **columns: str) -> DataFrame:
     """(source, n_texts, n_truncated, share) over the texts that aren't null or empty."""
-    j = judge(df.where(F.length(columns.get("text_col", "text")) > 0), **columns)
-    n = j.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("truncated").alias("n_truncated"))
+    n = _corpus(df, **columns).judged().groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("truncated").alias("n_truncated"))
     return n.withColumn("share", F.col("n_truncated") / F.col("n_texts"))

@@ -1,3 +1,5 @@
+import html
+import json
 import random
 
 from lodestrata.llm import truncation
@@ -27,16 +29,35 @@ def test_limits_are_found_in_the_right_form(spark):
     assert got == {"bytes": ("utf8", 300)}
 
 
-def test_lengths(spark):
-    t = 'a&<"\n\r\né😀\\'
-    d = spark.createDataFrame([(t,)], "text string")
-    got = d.select(*(c.alias(k) for k, c in truncation.stored_lengths(d["text"]).items())).first().asDict()
-    import html
-    import json
+def test_lengths():
+    texts = ['a&<"\n\r\né😀\\', "\n", "\r", "\n\n'ü>\t", "x", "😀\r\n"]
+    for t, row in zip(texts, truncation.stored_lengths(texts)):
+        got = dict(zip(truncation.FORMS, row.tolist()))
+        octets = len(t.encode()) - len(t)
+        want = {"code_points": len(t), "utf8": len(t.encode()), "utf16": len(t.encode("utf-16-le")) // 2, "entities": len(html.escape(t)), "json": len(json.dumps(t, ensure_ascii=False)) - 2, "json_ascii": len(json.dumps(t)) - 2}
+        want |= {"crlf": len(t.replace("\r\n", "\n").replace("\n", "\r\n")), "lf": len(t.replace("\r\n", "\n"))}
+        assert got == want | {f"{k}_utf8": want[k] + octets for k in ("entities", "json", "crlf", "lf")}
 
-    assert got["utf8"] == len(t.encode()) and got["utf16"] == len(t.encode("utf-16-le")) // 2 and got["code_points"] == len(t)
-    assert got["entities"] == len(html.escape(t)) and got["json"] == len(json.dumps(t, ensure_ascii=False)) - 2 and got["json_ascii"] == len(json.dumps(t)) - 2
-    assert got["crlf"] == len(t.replace("\r\n", "\n").replace("\n", "\r\n")) and got["lf"] == len(t.replace("\r\n", "\n"))
+
+def test_longer_texts_hide_no_limit(spark):
+    rnd = random.Random(4)
+    rows = corpus() + [(7000 + i, full(rnd, 60 + i), "bytes") for i in range(9)] + [(7100, full(rnd, 3000), "bytes")]
+    got = {(r.source, r.form, r.cap) for r in truncation.storage_limits(docs(spark, rows)).collect()}
+    assert got == {("bytes", "utf8", 300)}
+
+
+def test_a_length_that_complete_texts_have_is_no_limit(spark):
+    rnd = random.Random(6)
+    rows = corpus() + [(8000 + i, full(rnd, 3)[:90] + f" number {i:04d} was sent. It was read by all.", "free") for i in range(50)]
+    rows += [(8100, "Ask the carrier about", "free")] * 40  # copies are one text
+    got = {(r.source, r.form, r.cap) for r in truncation.storage_limits(docs(spark, rows)).collect()}
+    assert got == {("bytes", "utf8", 300)}
+
+
+def test_word_pairs():
+    two, of, ends = truncation.word_pairs(['He said "go on." Then (12) left!', "", "one", "GO ON"])
+    assert of.tolist() == [0] * 6 + [3] and ends.tolist() == [False, False, True, False, False, True, False]
+    assert two[2] == two[6]
 
 
 def test_endings(spark):
