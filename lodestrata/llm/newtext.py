@@ -1,22 +1,26 @@
 r"""E-mails reduced to the lines that their senders newly wrote.
 
-Method: the mails are exploded into normalised lines, and windows over the lines of a mail, of a thread and of a sender
-tell what is new.
-
-1. *Mail window* (lines of one mail in order). The header block ends at the first empty line. A line that opens an
-   earlier message (separator or header lines without quote marks) makes everything after it old. Lines with quote
-   marks (``>``, ``|``, initials and ``>``) are old, as are the lines that introduce them and, after an introduction
-   that is followed by indented lines, those that are indented. What stands between quoted passages without a mark is a
-   reply in place, so it is new.
-2. *Signature.* In each stretch between quoted passages everything from the closing formula, the signature mark, the
-   sender's name, a device line or a legal notice on is left out.
-3. *Thread window.* A longer line that somebody else wrote in an earlier message of the same thread isn't new.
-4. *Sender window.* A short line that the same sender has at the end of several of their mails, though no closing formula
-   comes before, is part of a signature.
-
-Scale: a mail's lines are one window, bounded by the mail. The thread and the sender step work on hashes of lines: they
-aggregate by (thread, line) and (sender, line), partially before the shuffle, so neither a busy sender nor a subject that
-many mails share brings its lines into one task.
+Method: every line of every mail is exploded and normalised (quote marks, soft breaks, spaces and case taken off), and
+windows over the lines of a thread, of a sender and of a mail tell what is new.
+
+1. *Thread window.* The mails of a thread (same subject without reply prefixes) are ranked by date; of equal lines the one
+   in the first mail is the authored one. In other mails such a line is retold: if it has a quote mark or stands in an
+   older message, whoever wrote it; if it stands free, when somebody else wrote it first and it is long enough
+   (``FREE`` characters) not to be a greeting or a phrase.
+2. *Sender window.* A line of the closing part of a mail is recurrent if the same sender has it in ``THREADS`` threads or
+   more. Closing parts begin at a closing formula, signature mark, device line, legal notice or the sender's name (mail
+   window); besides, a short last line without one of these is recurrent if it ends mails of the sender in three threads.
+3. *Mail window*, for lines whose earlier mail or recurrence isn't in the collection. The header block ends at the first
+   empty line. A line that opens an earlier message (separator or header lines without quote marks) makes everything
+   after it old. Lines with quote marks (``>``, ``|``, initials and ``>``) are old, as are the lines that introduce them
+   and, after an introduction that is followed by indented lines, those that are indented. What stands between quoted
+   passages without a mark is a reply in place, so it is new. Closing parts are left out, whether recurrent or not.
+
+``reasons`` gives for each line the first of these that applies, so the share of each step can be counted.
+
+Scale: a mail's lines are one window, bounded by the mail. The ranks within a thread and the recurrence of a sender are
+least values and counts of (thread, line) and (sender, line), which are aggregated partially before the shuffle, so neither
+a busy sender nor a subject that many mails share brings its lines into one task. Lines move as hashes.
 
 Defined results: null and empty texts give no line; lines of white space are never given; CR at a line's end doesn't
 count; replayed mails count once by key; in a mail without an empty line only lines that look like header lines are such.
@@ -29,12 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: A free line of at least so many characters can be known as somebody else's.
+FREE = 40
+#: Threads in which a sender has a line of a closing part that is recurrent.
+THREADS = 2
 #: Words of four languages that mail programs use.
 HEADER = r"^\W{0,3}(?:From|Von|De|Sent|Gesendet|Envoy[ée]|Enviado(?: el)?|To|An|À|A|Para|Cc|Kopie|Subject|Betreff|Objet|Asunto|Date|Datum|Fecha)\*?\s?:"
 SENDER = r"^\W{0,3}(?:From|Von|De)\*?\s?:"
 SEPARATOR = r"(?i)^\s*(?:[-_=*]{3,}[ \t]*(?:original message|forwarded message|forwarded by .{1,40}|urspr[üu]ngliche nachricht|weitergeleitete nachricht|message d.origine|message transf[ée]r[ée]|mensaje original|mensaje reenviado)[ \t]*[-_=*]{3,}|begin forwarded message:|d[ée]but du message (?:transf[ée]r[ée]|r[ée]exp[ée]di[ée]).*|anfang der weitergeleiteten nachricht:?|inicio del mensaje reenviado:?)\s*$"
 RULE = r"^\s*_{10,}\s*$"
 QUOTE = r"^[ \t]{0,12}(?:\p{Lu}\p{L}{0,2}>|[>|])"
+#: All quote marks of a line.
+MARKS = r"^(?:[ \t]{0,12}(?:\p{Lu}\p{L}{0,2}>|[>|])[ \t]?)+"
 DATE = r"(?:\d{1,2}\.?[ \t]+\p{L}{3,10}\.?[ \t]+\d{4}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2})"
 TIME = r"\d{1,2}[:h]\d{2}"
 WROTE = r"(?:wrote|schrieb|a écrit|escribió)"
@@ -60,9 +70,8 @@ def mails(df: DataFrame) -> DataFrame:
 
 
 def lines(m: DataFrame) -> DataFrame:
-    """(artifact_id, line_no, line, thread, sender, who, sent) with one row for each line without a quote mark; soft breaks
-    of transfers at a line's end (``=20``, ``=``) are taken off. Quoted lines need no further look: that some stood between
-    two lines is seen by their numbers."""
+    """(artifact_id, line_no, line, marked, h, thread, sender, who, sent) with one row for each line; ``h`` is the hash of
+    the normalised line. Soft breaks of transfers at a line's end (``=20``, ``=``) are taken off."""
     head = F.substring_index(F.regexp_replace(F.substring_index("text", "\n\n", 1), r"\r", ""), "\n\n", 1)
     field = lambda name: F.trim(F.regexp_extract(head, rf"(?im)^{name}[ \t]*:[ \t]*(.*)$", 1))
     m = m.select("artifact_id", "text", *(field(k).alias(k) for k in ("Subject", "From", "Date")))
@@ -80,13 +89,17 @@ def lines(m: DataFrame) -> DataFrame:
         display.alias("who"),
         F.unix_timestamp(F.try_to_timestamp(day, F.lit("d MMM yyyy H:mm"))).alias("sent"),
         F.posexplode(F.split("text", "\n")).alias("p", "line"),
-    ).where(~_re(F.col("line"), QUOTE))
+    )
     line = F.regexp_replace("line", r"(?:=20)?[ \t]*=?[ \t\r]*$", "")
-    return x.select("artifact_id", (F.col("p") + 1).alias("line_no"), line.alias("line"), "thread", "sender", "who", "sent")
+    x = x.select("artifact_id", (F.col("p") + 1).alias("line_no"), line.alias("line"), _re(F.col("line"), QUOTE).alias("marked"), "thread", "sender", "who", "sent")
+    bare = F.when(F.col("marked"), F.regexp_replace("line", MARKS, "")).otherwise(F.col("line"))
+    return x.withColumn("h", F.xxhash64(F.trim(F.lower(F.regexp_replace(bare, r"\s+", " ")))))
 
 
 def structure(x: DataFrame) -> DataFrame:
-    """Adds ``fresh`` (neither header, quote, introduction nor older message) and ``signed`` (from a signature on)."""
+    """Adds ``body``, ``old`` (of an older message), ``quoted`` (introduction or indented quote), ``fresh`` (none of these) and
+    ``signed`` (from a closing on) to lines without a quote mark. That some with a mark stood between two of them is seen
+    by their numbers."""
     line, size = F.col("line"), F.length("line")
     w = Window.partitionBy("artifact_id").orderBy("line_no")
     dated = _re(line, DATE) & _re(line, TIME)
@@ -118,13 +131,13 @@ def structure(x: DataFrame) -> DataFrame:
     body = F.when(F.col("head_end").isNull(), ~F.col("header")).otherwise(no > F.col("head_end"))
     opens = body & ((F.col("separator") & (F.col("headers_ahead") >= 1)) | ((F.col("headers_ahead") >= 2) & (_re(line, RULE) | _re(line, SENDER))))
     intro = body & (F.col("intro_whole") | (F.col("intro_first") & next_last) | (F.col("intro_last") & prev_first))
-    x = x.select("artifact_id", "line_no", "line", "thread", "sender", "who", "sent", "blank", "indent", "gone", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), indented_ahead).alias("style"))
+    x = x.select("artifact_id", "line_no", "line", "h", "thread", "sender", "who", "sent", "blank", "indent", "gone", body.alias("body"), opens.alias("opens"), intro.alias("intro"), F.when(intro & ~F.col("indent"), indented_ahead).alias("style"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", F.max("opens").over(upto).alias("old"), F.coalesce(F.last("style", ignorenulls=True).over(upto), F.lit(False)).alias("indented_quotes"))
     quoted = F.col("intro") | (F.col("indented_quotes") & F.col("indent"))
     x = x.withColumn("quoted", quoted).withColumn("fresh", F.col("body") & ~F.col("blank") & ~F.col("old") & ~quoted)
-    x = x.withColumn("stretch", F.col("gone") + F.sum((quoted & ~F.col("blank")).cast("int")).over(upto)).where(F.col("body") & ~F.col("old") & ~F.col("quoted"))
-    one = Window.partitionBy("artifact_id", "stretch").orderBy("line_no")
+    x = x.withColumn("stretch", F.col("gone") + F.sum((quoted & ~F.col("blank")).cast("int")).over(upto)).withColumn("apart", ~F.col("body") | F.col("old") | F.col("quoted"))
+    one = Window.partitionBy("artifact_id", "apart", "stretch").orderBy("line_no")
     who, low = F.col("who"), F.lower(F.trim(line))
     x = x.select(
         "*",
@@ -155,25 +168,43 @@ def structure(x: DataFrame) -> DataFrame:
     return x.withColumn("signed", F.max("starts").over(one.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def reasons(df: DataFrame) -> DataFrame:
+    """(artifact_id, line_no, why) of each line with text of the e-mails in ``df`` (search_context_document): ``header``,
+    ``thread`` (retold), ``sender`` (recurrent closing), ``mark``, ``older`` (message or introduction), ``closing``, ``new``."""
+    every = lines(mails(df))
+    filled = F.col("line").rlike(r"\S")
+    x = structure(every.where(~F.col("marked"))).where(~F.col("blank"))
+    rule = F.when(~F.col("body"), "header").when(F.col("apart"), "older").when(F.col("signed"), "closing").otherwise("new")
+    last = Window.partitionBy("artifact_id", "apart", "stretch").orderBy(F.desc("line_no"))
+    tail = (rule == "new") & (F.length("line") < 60) & ~_re(F.col("line"), r"[.!?,:;)–-]\s*$")
+    place = F.sum(F.when(rule == "new", 1).otherwise(0)).over(last)
+    free = x.select("artifact_id", "line_no", "h", "thread", "sender", "sent", rule.alias("rule"), (F.length("line") >= FREE).alias("long"), (tail & (place <= 3)).alias("tail"))
+    marked = every.where(F.col("marked") & filled).select("artifact_id", "line_no", "h", "thread", "sender", "sent", F.lit("mark").alias("rule"), F.lit(True).alias("long"), F.lit(False).alias("tail"))
+    x = materialise(free.unionByName(marked), "lines")
+    body = x.where(F.col("rule") != "header")
+    # Thread window: the first mail of each line of a thread. Rank 1 is a least value, so a hot line is aggregated where it lies.
+    rank = F.struct(F.coalesce("sent", F.lit(1 << 62)).alias("sent"), "artifact_id", "sender")
+    authored = body.groupBy("thread", "h").agg(F.min(rank).alias("first"), F.max("artifact_id").alias("b"), F.min("artifact_id").alias("a"))
+    authored = authored.where(F.col("a") != F.col("b")).select("thread", "h", F.col("first.sent").alias("first_sent"), F.col("first.artifact_id").alias("first_id"), F.col("first.sender").alias("first_sender"))
+    # Sender window: closing lines by the threads that the sender has them in.
+    ending = body.where((F.col("rule") == "closing") | F.col("tail"))
+    recurrent = ending.groupBy("sender", "h", "thread").agg(F.lit(1).alias("one")).groupBy("sender", "h").agg(F.count("one").alias("threads")).where(F.col("threads") >= THREADS)
+    y = x.join(authored, ["thread", "h"], "left").join(recurrent, ["sender", "h"], "left")
+    other = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("artifact_id"))
+    told = F.when(F.col("rule").isin("mark", "older"), other).when(F.col("rule") == "new", other & F.col("long") & (F.col("sender") != F.col("first_sender")) & (F.col("sent") > F.col("first_sent"))).otherwise(False)
+    again = F.when(F.col("rule") == "closing", F.col("threads").isNotNull()).when(F.col("tail"), F.col("threads") >= 3).otherwise(False)
+    why = F.when(F.coalesce(told, F.lit(False)), "thread").when(F.coalesce(again, F.lit(False)), "sender").otherwise(F.col("rule"))
+    return y.select("artifact_id", F.col("line_no").cast("int").alias("line_no"), why.alias("why"))
+
+
 def newly_written(df: DataFrame) -> DataFrame:
-    """(artifact_id, line_no) of each newly written line of the e-mails in ``df`` (search_context_document)."""
-    x = structure(lines(mails(df)))
-    kept = materialise(x.where(F.col("fresh") & ~F.col("signed")).select(
-        "artifact_id", "line_no", "thread", "sender", "sent", F.length("line").alias("size"), F.xxhash64(F.lower(F.regexp_replace("line", r"\s+", " "))).alias("h"), "stretch",
-        ((F.length("line") < 60) & ~_re(F.col("line"), r"[.!?,:;)–-]\s*$")).alias("short"),
-    ), "new-lines")
-    long = kept.where(F.col("size") >= 40)
-    # Thread window: the earliest author of each longer line, with the partial aggregate before the shuffle.
-    authors = long.groupBy("thread", "h").agg(F.min(F.struct("sent", "sender")).alias("first"), F.min("sender").alias("a"), F.max("sender").alias("b")).where(F.col("a") != F.col("b"))
-    authors = authors.select("thread", "h", F.col("first.sent").alias("first_sent"), F.col("first.sender").alias("first_sender"))
-    copied = long.join(authors, ["thread", "h"]).where((F.col("sender") != F.col("first_sender")) & (F.col("sent") > F.col("first_sent"))).select("artifact_id", "line_no")
-    # Sender window: short last lines of a mail that recur in the sender's mails.
-    last = Window.partitionBy("artifact_id", "stretch").orderBy(F.desc("line_no"))
-    tail = kept.withColumn("r", F.row_number().over(last)).where((F.col("r") <= 3) & F.col("short"))
-    recurring = tail.groupBy("sender", "h").agg(F.count_distinct("artifact_id").alias("mails"), F.min("r").alias("r")).where(F.col("mails") >= 3)
-    closers = tail.select("artifact_id", "line_no", "sender", "h").join(recurring.select("sender", "h"), ["sender", "h"]).select("artifact_id", "line_no")
-    out = copied.unionByName(closers).distinct()
-    return kept.select("artifact_id", "line_no").join(out, ["artifact_id", "line_no"], "left_anti").select("artifact_id", F.col("line_no").cast("int").alias("line_no"))
+    """(artifact_id, line_no) of each newly written line of the e-mails in ``df``."""
+    return reasons(df).where(F.col("why") == "new").select("artifact_id", "line_no")
+
+
+def steps(df: DataFrame) -> DataFrame:
+    """(why, n_lines): how many lines each step of the method leaves out, or keeps (``new``)."""
+    return reasons(df).groupBy("why").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def new_texts(df: DataFrame) -> DataFrame:

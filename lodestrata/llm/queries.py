@@ -47,6 +47,10 @@ def p4_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newtext.new_texts(table(spark, sf_dir, "search_context_document"))
 
 
+def p4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newtext.steps(table(spark, sf_dir, "search_context_document"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pii.lexicon(table(spark, sf_dir, "search_context_document"))
     return pii.spans(records(spark, sf_dir), names).select("tbl", "record_key", "start_char", "kind")

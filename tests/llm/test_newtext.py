@@ -76,3 +76,32 @@ def test_edge_cases(spark):
     d = spark.createDataFrame([(*r, "l", 1) for r in rows], SCHEMA)
     assert {r.artifact_id for r in newtext.new_texts(d).collect() if r.new_text} == {4, 6, 8}
     assert newtext.newly_written(d.limit(0)).count() == 0
+
+
+def test_reasons_of_lines(spark):
+    e = "EmailToSearchContextExpert"
+    text = "The first message says something that is long enough to be known again.\n"
+    foot = "\nKind regards\nOwen Moor\n+44 20 7946 0000\n"
+    owen, jana = "Owen Moor <o@b.example>", "Jana <jana@a.example>"
+    rows = [
+        (1, e, mail("Hi,\n" + text + foot, s="Thing 12", f=owen, d="Sat, 1 Jun 2024 09:00 +0000")),
+        (2, e, mail("My answer.\n\n> Hi,\n> " + text + "> A line of a mail that is gone.\n", f=jana, d="Sun, 2 Jun 2024 09:00 +0000")),
+        (3, e, mail("Again.\n" + foot + "\n-----Original Message-----\nFrom: Jana\nSent: Sunday\n\nMy answer.\n>> " + text, f=owen, d="Mon, 3 Jun 2024 09:00 +0000")),
+        (4, e, mail("Other matter.\n" + foot, s="Another", f=owen, d="Tue, 4 Jun 2024 09:00 +0000")),
+    ]
+    d = spark.createDataFrame([(*r, "l", 1) for r in rows], SCHEMA)
+    got = {(r.artifact_id, r.line_no): r.why for r in newtext.reasons(d).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {1: "header", 2: "header", 3: "header", 4: "header", 6: "new", 8: "thread", 9: "thread", 10: "mark"}
+    third = {rows[2][2].split("\n")[n - 1]: v for (i, n), v in got.items() if i == 3}
+    assert third["Again."] == "new" and third["My answer."] == "thread" and third[">> " + text.strip()] == "thread" and third["From: Jana"] == "older" and third["Owen Moor"] == "sender"
+    assert {v for k, v in got.items() if k[0] == 4 and k[1] > 8} == {"sender"}
+    n = {r.why: r.n_lines for r in newtext.steps(d).collect()}
+    assert sum(n.values()) == len(got) and n["new"] == 5
+
+
+def test_a_line_that_many_mails_of_a_thread_share(spark):
+    e = "EmailToSearchContextExpert"
+    line = "This notice about the house is sent to everyone who works on the ground floor.\n"
+    rows = [(i, e, mail(line + f"Number {i}.\n", s="Notice", f=f"P{i} <p{i}@a.example>", d=f"Sat, {1 + i // 24} Jun 2024 {i % 24:02d}:00 +0000")) for i in range(300)]
+    got = new(spark, rows)
+    assert sum(6 in v for v in got.values()) == 1 and 6 in got[0] and all(7 in v for v in got.values())
