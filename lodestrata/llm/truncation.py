@@ -24,6 +24,7 @@ of all sources count; repeated rows count once by document id in ``truncated``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ FOOTERS = r"(?i)\s*\n[ \t]*(?:(?:page|seite|página|pagina)\s+\d+\s*(?:of|von|de
 STOP = r"[.!?。！？][\"'”’»)\]]*$"
 #: Code points that the inspection of an ending looks at, counted from the last that isn't white space.
 END_CHARS = 800
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\s*$"
+EMOJI = "[\U0001f300-\U0001faff\u2600-\u27bf]\\s*$"
 
 
 _PART = r"(?:\p{Lu}[\p{L}\p{M}'’.-]*|v[ao]n|de[rnl]?|la|da|di|y|el)"
@@ -157,28 +158,42 @@ def sentence_ends(m: DataFrame) -> DataFrame:
     return z.groupBy("z.pair").agg(F.sum("z.n").alias("n"), F.sum("z.n_all").alias("n_all"))
 
 
-def last_pairs(e: DataFrame) -> DataFrame:
-    """Adds ``pair``, the last two words of ``body``, to (h, body, ...)."""
-    names = [f.name for f in e.schema.fields]
-    k = names.index("body")
+@functools.cache
+def _patterns():
+    import regex
+
+    return tuple(regex.compile(p) for p in (FOOTERS, "(?r)" + MARKS, STOP, EMOJI))
+
+
+def without_marks(ending: str) -> tuple[str, bool, bool]:
+    """An ending without footers and what was added after a cut, whether something was, and whether it has a stop."""
+    footers, marks, stop, emoji = _patterns()
+    t = footers.sub("", ending).rstrip()
+    body = marks.sub("", t)
+    return body, body != t, bool(stop.search(body[-40:])) or (body == t and bool(emoji.search(ending[-8:])))
+
+
+def open_endings(m: DataFrame) -> DataFrame:
+    """(h, lengths, body, marked, pair) of the measured texts (h, lengths, ending) that end without a stop; ``pair`` is that of
+    the last two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            two, of, _ = word_pairs(b.column(k).to_pylist())
-            last = np.zeros(len(b), np.uint64)
+            ends = [without_marks(t) for t in b.column(2).to_pylist()]
+            at = [i for i, (body, _, stopped) in enumerate(ends) if not stopped and body.strip()]
+            bodies = [ends[i][0] for i in at]
+            two, of, _ = word_pairs(bodies) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
+            last = np.zeros(len(at), np.uint64)
             last[of] = two  # the last one stays
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(last.view(np.int64))], [*names, "pair"])
+            k = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), pa.array(bodies, pa.string()), pa.array([ends[i][1] for i in at], pa.bool_()), pa.array(last.view(np.int64))], ["h", "lengths", "body", "marked", "pair"])
 
-    return e.mapInArrow(run, e.withColumn("pair", F.lit(0).cast("long")).schema)
+    return m.where(~_plain(F.col("ending"))).select("h", "lengths", "ending").mapInArrow(run, "h long, lengths array<int>, body string, marked boolean, pair long")
 
 
-def endings(m: DataFrame) -> DataFrame:
-    """Adds what ``ending`` tells: ``body`` (without added marks), ``stopped``, ``marked``, ``closing``."""
-    d = m.withColumn("t", F.regexp_replace(F.regexp_replace("ending", FOOTERS, ""), r"\s+$", ""))
-    d = d.withColumn("body", F.regexp_replace("t", MARKS, "")).withColumn("marked", F.col("body") != F.col("t"))
-    d = d.withColumn("stopped", F.coalesce(F.col("body").rlike(STOP) | (F.col("ending").rlike(EMOJI) & ~F.col("marked")), F.lit(False)))
-    lines = F.when(F.col("stopped"), F.array(F.lit(""))).otherwise(F.filter(F.split("body", r"\r?\n"), lambda x: x.rlike(r"\S")))
-    d = d.withColumn("lines", lines)
+def closings(e: DataFrame) -> DataFrame:
+    """Adds ``closing`` to open endings: whether ``body`` ends with a list item, link, table row, name or closing line."""
+    d = e.withColumn("lines", F.filter(F.split("body", r"\r?\n"), lambda x: x.rlike(r"\S")))
     d = d.withColumn("last", F.trim(F.regexp_replace(F.coalesce(F.get("lines", F.size("lines") - 1), F.lit("")), r"^[>|\s]+", "")))
     d = d.withColumn("above", F.trim(F.coalesce(F.get("lines", F.size("lines") - 2), F.lit("")))).drop("lines")
     line = F.col("last")
@@ -201,7 +216,7 @@ def endings(m: DataFrame) -> DataFrame:
         | titled
         | line.rlike(r",$") & (words <= 5)
     )
-    return d.withColumn("closing", F.when(F.col("stopped"), False).otherwise(F.coalesce(closing, F.lit(False)))).drop("t")
+    return d.withColumn("closing", F.coalesce(closing, F.lit(False)))
 
 
 class Corpus:
@@ -216,9 +231,7 @@ class Corpus:
         h = F.xxhash64("text").alias("h")
         self.rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), h), "rows")
         m = materialise(measured(docs.select(h, "text").groupBy("h").agg(F.first("text").alias("text"))), "measured")
-        e = endings(m.where(~_plain(F.col("ending"))).select("h", "ending", "lengths"))
-        e = e.where(~F.col("stopped") & (F.length(F.trim("body")) > 0)).select("h", "lengths", "marked", "closing", F.size(F.split("body", r"\s+")).alias("n_words"), "body")
-        e = last_pairs(e).drop("body")
+        e = closings(open_endings(m)).select("h", "lengths", "marked", "closing", F.size(F.split("body", r"\s+")).alias("n_words"), "pair")
         known = sentence_ends(m).where((F.col("n") >= ends_least) & (2 * F.col("n") > F.col("n_all"))).select("pair", F.lit(True).alias("ends"))
         e = e.join(known, "pair", "left").select("h", "lengths", "marked", (~F.col("closing") & F.col("ends").isNull() & (F.col("n_words") > 3)).alias("looks_cut"))
         self.open = materialise(e, "open")
