@@ -120,9 +120,9 @@ class Mixture:
         spark = docs.sparkSession
         self.targets = {r["source"]: (max(r["target_share"] or 0.0, 0.0), max(r["max_repeats"] or 0, 0)) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").limit(MOST_PATTERNS).collect()}
         d = docs.where((F.length("text") > 0) & F.col("source").isin(list(self.targets))).select("doc_id", "text", "source")
-        counts = encoding.token_counts(d, tokenizer=tokenizer, folder=folder).withColumnRenamed("doc_id", "doc")
+        counts = encoding.Encoded(d, tokenizer=tokenizer, folder=folder).counts().groupBy("h").agg(F.max("n_tokens").alias("n_tokens"))
         one = d.select(F.col("doc_id").cast("long").alias("doc"), "source", F.xxhash64("text").alias("h"))
-        held = one.join(counts, "doc").groupBy("h", "source").agg(F.min("doc").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
+        held = one.groupBy("h", "source").agg(F.min("doc").alias("doc_id")).join(counts, "h")
         texts = held.groupBy("h").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("docs"))
         texts = texts.select("h", "n_tokens", "docs", F.col("docs.source").alias("pattern"), F.xxhash64("h", F.lit(seed)).alias("place"))
         self.texts = materialise(texts.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")), "texts")

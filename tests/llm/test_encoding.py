@@ -1,4 +1,7 @@
+import random
+
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from lodestrata.llm import encoding
@@ -29,3 +32,27 @@ def test_empty_table(spark):
 def test_one_word_in_a_third_of_all_rows(spark, truth):
     d = spark.range(300).selectExpr("id as doc_id", "case when id % 3 = 0 then 'Hello world' else concat('w', id) end as text")
     assert encoding.encode(d).where("doc_id % 3 = 0").select("ids").distinct().collect()[0].ids == truth[3]
+
+
+def test_words_are_those_of_the_pattern():
+    rnd = random.Random(2)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\xa0", "\u3000", "'", "'s", "'re", "'ll", "'LL", "'l", "'d", "don", "t", "x", "é", "日", "12", "½", "-", "!?", "_", "\x1c", "\u200b", "e\u0301", "😀"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 12))) for _ in range(4000)]
+    whole, start, size = encoding.words_of(texts)
+    ends = [*start[1:], len(whole)]
+    words = iter([whole[a:b] for a, b in zip(start, ends)])
+    for t, n in zip(texts, size):
+        assert [next(words) for _ in range(n)] == regex.findall(encoding.PATTERN, t)
+
+
+def test_pages_and_shared_hashes(spark, truth, monkeypatch):
+    """Small pages give the same ids, and so do words that share a hash with the first seed."""
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string")
+    monkeypatch.setattr(encoding, "PAGE", 7)
+    assert sorted((r.doc_id, r.ids) for r in encoding.encode(d).collect()) == sorted(truth.items())
+    seen = []
+    table = encoding.word_table
+    monkeypatch.setattr(encoding, "word_table", lambda p, path: seen.append(1) or (table(p, path) if len(seen) > 1 else None))
+    assert sorted((r.doc_id, r.ids) for r in encoding.encode(d).collect()) == sorted(truth.items()) and len(seen) == 2
+    w = spark.createDataFrame([([1, 1], ["a", "b"])], "hash array<long>, word array<string>")
+    assert table(w, encoding.rank_file()) is None
