@@ -69,9 +69,20 @@ def mails(df: DataFrame) -> DataFrame:
     return m.select(F.col("artifact_id").cast("long").alias("artifact_id"), F.col("text_content").alias("text")).dropDuplicates(["artifact_id"])
 
 
+def _without_breaks(line: Column) -> Column:
+    """A line without white space at its end and soft breaks of transfers (``=20``, ``=``) there."""
+    x = F.rtrim(line, F.lit(" \t\r"))
+    x = F.when(x.endswith("="), F.rtrim(F.left(x, F.length(x) - 1), F.lit(" \t"))).otherwise(x)
+    return F.when(x.endswith("=20"), F.left(x, F.length(x) - 3)).otherwise(x)
+
+
+def _hash(line: Column) -> Column:
+    """Hash of a line without spaces, in lower case."""
+    return F.xxhash64(F.lower(F.replace(F.replace(line, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))))
+
+
 def lines(m: DataFrame) -> DataFrame:
-    """(artifact_id, line_no, line, marked, h, thread, sender, who, sent) with one row for each line; ``h`` is the hash of
-    the normalised line. Soft breaks of transfers at a line's end (``=20``, ``=``) are taken off."""
+    """(artifact_id, line_no, line, thread, sender, who, sent) with one row for each line as it stands."""
     head = F.substring_index(F.regexp_replace(F.substring_index("text", "\n\n", 1), r"\r", ""), "\n\n", 1)
     field = lambda name: F.trim(F.regexp_extract(head, rf"(?im)^{name}[ \t]*:[ \t]*(.*)$", 1))
     m = m.select("artifact_id", "text", *(field(k).alias(k) for k in ("Subject", "From", "Date")))
@@ -90,10 +101,19 @@ def lines(m: DataFrame) -> DataFrame:
         F.unix_timestamp(F.try_to_timestamp(day, F.lit("d MMM yyyy H:mm"))).alias("sent"),
         F.posexplode(F.split("text", "\n")).alias("p", "line"),
     )
-    line = F.regexp_replace("line", r"(?:=20)?[ \t]*=?[ \t\r]*$", "")
-    x = x.select("artifact_id", (F.col("p") + 1).alias("line_no"), line.alias("line"), _re(F.col("line"), QUOTE).alias("marked"), "thread", "sender", "who", "sent")
-    bare = F.when(F.col("marked"), F.regexp_replace("line", MARKS, "")).otherwise(F.col("line"))
-    return x.withColumn("h", F.xxhash64(F.trim(F.lower(F.regexp_replace(bare, r"\s+", " ")))))
+    return x.select("artifact_id", (F.col("p") + 1).alias("line_no"), "line", "thread", "sender", "who", "sent")
+
+
+def marked_lines(x: DataFrame) -> DataFrame:
+    """(artifact_id, line_no, h, thread, sender, sent) of the lines with quote marks; ``h`` is the hash without them."""
+    bare = _without_breaks(F.regexp_replace("line", MARKS, ""))
+    return x.where(_re(F.col("line"), QUOTE) & F.col("line").rlike(r"\S")).select("artifact_id", "line_no", _hash(bare).alias("h"), "thread", "sender", "sent")
+
+
+def free_lines(x: DataFrame) -> DataFrame:
+    """(artifact_id, line_no, line, h, thread, sender, who, sent) of the lines without."""
+    x = x.where(~_re(F.col("line"), QUOTE)).select("artifact_id", "line_no", _without_breaks(F.col("line")).alias("line"), "thread", "sender", "who", "sent")
+    return x.withColumn("h", _hash(F.col("line")))
 
 
 def structure(x: DataFrame) -> DataFrame:
@@ -172,14 +192,13 @@ def reasons(df: DataFrame) -> DataFrame:
     """(artifact_id, line_no, why) of each line with text of the e-mails in ``df`` (search_context_document): ``header``,
     ``thread`` (retold), ``sender`` (recurrent closing), ``mark``, ``older`` (message or introduction), ``closing``, ``new``."""
     every = lines(mails(df))
-    filled = F.col("line").rlike(r"\S")
-    x = structure(every.where(~F.col("marked"))).where(~F.col("blank"))
+    x = structure(free_lines(every)).where(~F.col("blank"))
     rule = F.when(~F.col("body"), "header").when(F.col("apart"), "older").when(F.col("signed"), "closing").otherwise("new")
     last = Window.partitionBy("artifact_id", "apart", "stretch").orderBy(F.desc("line_no"))
     tail = (rule == "new") & (F.length("line") < 60) & ~_re(F.col("line"), r"[.!?,:;)–-]\s*$")
     place = F.sum(F.when(rule == "new", 1).otherwise(0)).over(last)
     free = x.select("artifact_id", "line_no", "h", "thread", "sender", "sent", rule.alias("rule"), (F.length("line") >= FREE).alias("long"), (tail & (place <= 3)).alias("tail"))
-    marked = every.where(F.col("marked") & filled).select("artifact_id", "line_no", "h", "thread", "sender", "sent", F.lit("mark").alias("rule"), F.lit(True).alias("long"), F.lit(False).alias("tail"))
+    marked = marked_lines(every).select("*", F.lit("mark").alias("rule"), F.lit(True).alias("long"), F.lit(False).alias("tail"))
     x = materialise(free.unionByName(marked), "lines")
     body = x.where(F.col("rule") != "header")
     # Thread window: the first mail of each line of a thread. Rank 1 is a least value, so a hot line is aggregated where it lies.
@@ -210,6 +229,6 @@ def steps(df: DataFrame) -> DataFrame:
 def new_texts(df: DataFrame) -> DataFrame:
     """(artifact_id, new_text): the newly written lines of each e-mail; an empty text where nothing is left."""
     m = mails(df)
-    kept = newly_written(df).join(lines(m).select("artifact_id", "line_no", "line"), ["artifact_id", "line_no"])
+    kept = newly_written(df).join(lines(m).select("artifact_id", "line_no", _without_breaks(F.col("line")).alias("line")), ["artifact_id", "line_no"])
     g = kept.groupBy("artifact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("new_text"))
     return m.select("artifact_id").join(g, "artifact_id", "left").select("artifact_id", F.coalesce("new_text", F.lit("")).alias("new_text"))
