@@ -1,22 +1,26 @@
 r"""The k most similar vectors of a collection for every one of its vectors, by cross-polytope hashing.
 
 Method: three rounds of random signs and a fast Hadamard transform rotate a unit vector; its hash is the nearest signed
-axis. ``depth`` such hashes make the bucket of a table; each vector looks into its own bucket of every table and, for
-``probes`` more, into those that differ in the hash whose second-best axis is nearest. Within buckets cosines are
-exact, and the k best of all tables are kept. Vectors whose list isn't full of near ones are compared with all.
+axis. ``depth`` such hashes make the bucket of a table; each vector lies in its own bucket of every table and, for
+``probes`` more, looks into those that differ in the hash whose second-best axis is nearest. A pair that meets counts for
+the lists of both. In buckets cosines are estimated from four bits for each component, and pairs that are clearly too far
+apart are left out; for the rest they are exact, and the k best of all tables are kept. Vectors whose list isn't full of
+near ones are compared with all.
 
 Scale:
 
 * Exact copies of a vector are searched as one and expanded afterwards, with at most k + 1 members of a class as
   partners of each vector; a class of any size costs work in proportion to its size.
-* ``depth`` follows the number of vectors, so a bucket keeps about 32 by chance. A bucket with more than ``block``
-  vectors is compared in blocks, each of them against all that look into the bucket, in its own group. No candidate is
-  dropped, no task holds more than a block; a bucket costs work in proportion to the square of its vectors.
+* ``depth`` follows the number of vectors, so a bucket keeps about 32 by chance. Of a row in a bucket 40 bytes move: the
+  vector's number and its components in four bits each. Whole vectors move once to be made distinct, and once for the
+  pairs that are left.
+* A bucket with more than ``block`` vectors is compared in pairs of blocks, each in its own group, and of each look into
+  a block the ``SPARE`` * k best come out. No task holds more than two blocks; such a bucket costs work in proportion to the
+  square of its vectors.
 * From the third hash on there are more tables and probes (``tables_for``), so that near pairs meet as they do at two.
-* Buckets are streams: rows are distributed and sorted by bucket, and a task holds one block of one bucket.
 
 Defined results: vectors that are null, of another length, all zero or not finite take no part, nor do those without
-key. A key counts once; if it comes with several vectors, the least counts. Ties at rank k go to the smaller key. Other
+key. A key counts once; if it comes with several vectors, the one with the least hash counts. Ties at rank k go to the smaller key. Other
 columns are not read. An empty table gives an empty result.
 """
 
@@ -35,7 +39,16 @@ from .common import materialise
 DIM = 64
 MAX_DEPTH = 6
 _BITS = 7  # of a hash: 64 axes, two signs
-BLOCK = 512
+BLOCK = 8192
+#: Groups of up to so many rows are compared row by row at once, larger ones as matrices.
+SMALL = 64
+#: How many times k of a large group come out for each look, as their order is estimated.
+SPARE = 4
+TABLES = 10
+#: Four bits stand for components within this range. The cosine of a pair at 0.90 is estimated too low by more than
+#: ``SLACK`` with a probability of less than 1 in 100,000.
+RANGE = 0.32
+SLACK = 0.06
 TIMES = 1.8
 #: Neighbours from this cosine on are left to the tables; lists that need farther ones are made by comparing with all.
 SURE = 0.9
@@ -44,11 +57,20 @@ EXACT_LOOKS = 65_536
 
 
 def valid_vectors(batches: DataFrame, dim: int = DIM, keys: str = "chunk_keys", vectors: str = "embeddings") -> DataFrame:
-    """(chunk_key, vid, vec): vid is the same for exact copies."""
+    """(chunk_key, vid, vec) of each valid vector of each row; vid is the same for exact copies."""
     z = batches.select(F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(vectors).alias("v"))).alias("z")).select(F.col("z.k").cast("long").alias("chunk_key"), F.col("z.v").cast("array<float>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     z = z.where(F.col("chunk_key").isNotNull() & F.col("vec").isNotNull()).where(F.size("vec") == dim).where(fine)
-    return z.groupBy("chunk_key").agg(F.min("vec").alias("vec")).select("chunk_key", F.xxhash64("vec").alias("vid"), "vec")
+    return z.select("chunk_key", F.xxhash64("vec").alias("vid"), "vec")
+
+
+class Vectors:
+    """``members`` (chunk_key, vid), each key once, and ``classes`` (vid, vec), the distinct vectors that a key counts with."""
+
+    def __init__(self, batches: DataFrame, dim: int = DIM):
+        v = valid_vectors(batches, dim)
+        self.members = materialise(v.groupBy("chunk_key").agg(F.min("vid").alias("vid")), "members")
+        self.classes = materialise(v.join(self.members, ["chunk_key", "vid"], "left_semi").groupBy("vid").agg(F.first("vec").alias("vec")), "classes")
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,12 +110,10 @@ def _packed(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
 
 
-def _unpacked(b: pa.Array, dim: int) -> np.ndarray:
-    start = b.offset
-    offsets = np.frombuffer(b.buffers()[1], np.int32)[start : start + len(b) + 1]
-    if not len(b):
-        return np.zeros((0, dim), np.float32)
-    return np.frombuffer(b.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, dim)
+def _unpacked(b: pa.Array) -> np.ndarray:
+    """The bytes of binary values of one length, a row for each; there is at least one."""
+    offsets = np.frombuffer(b.buffers()[1], np.int32)[b.offset : b.offset + len(b) + 1]
+    return np.frombuffer(b.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(b), -1)
 
 
 def depth_for(n: int) -> int:
@@ -106,53 +126,152 @@ def tables_for(depth: int, tables: int, probes: int) -> tuple[int, int]:
     return math.ceil(tables * TIMES**more), probes + more
 
 
+def coded(vid: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The number of a vector (8 bytes) and its components, four bits each."""
+    q = np.clip(np.rint(unit * (7.5 / RANGE) + 7.5), 0, 15).astype(np.uint8)
+    return np.concatenate((np.ascontiguousarray(vid).view(np.uint8).reshape(-1, 8), q[:, ::2] | (q[:, 1::2] << 4)), axis=1)
+
+
+def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, and unit vectors near those that were coded."""
+    q = code[:, 8:]
+    x = np.empty((len(q), 2 * q.shape[1]), np.float32)
+    x[:, ::2], x[:, 1::2] = q & 15, q >> 4
+    x -= np.float32(7.5)
+    return np.ascontiguousarray(code[:, :8]).view(np.int64).ravel(), x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def signatures(classes: DataFrame, tables: int, probes: int, depth: int, dim: int = DIM, seed: int = 7) -> DataFrame:
-    """(vid, t, sig, probe, unit): a row for each table and, with probe set, for each further bucket looked into."""
-    signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, MAX_DEPTH, 3, dim))
+    """(vid, code, keys): the buckets in which each vector lies, one for each table, then those into which it looks."""
+    signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, depth, 3, dim))
+    spread = np.random.default_rng(seed + 1).choice(np.array([-1.0, 1.0], np.float32), (3, dim))
+    probes = min(probes, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vid = b.column(0).to_numpy()
             x = unit_rows(b.column(1), dim)
+            own, looks = [], []
+            shifts = _BITS * (depth - 1 - np.arange(depth, dtype=np.int64))
+            rows = np.arange(len(x))
             for t in range(tables):
-                best, second, gap = (np.stack(c, axis=1) for c in zip(*(hashes(x, signs[t, d]) for d in range(MAX_DEPTH))))
-                shifts = _BITS * (MAX_DEPTH - 1 - np.arange(MAX_DEPTH, dtype=np.int64))
-                base = (best.astype(np.int64) << shifts).sum(axis=1)
-                sigs, flags = [base], [np.zeros(len(x), bool)]
-                order = np.argsort(gap[:, :depth], axis=1)
-                for p in range(min(probes, depth)):
+                best, second, gap = (np.stack(c, axis=1) for c in zip(*(hashes(x, signs[t, d]) for d in range(depth))))
+                base = (best.astype(np.int64) << shifts).sum(axis=1) + (t << _BITS * depth)
+                own.append(base)
+                order = np.argsort(gap, axis=1)
+                for p in range(probes):
                     d = order[:, p]
-                    rows = np.arange(len(x))
-                    sigs.append(base + ((second[rows, d] - best[rows, d]).astype(np.int64) << shifts[d]))
-                    flags.append(np.ones(len(x), bool))
-                k = len(sigs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(vid, k)), pa.array(np.full(k * len(x), t, np.int32)), pa.array(np.concatenate(sigs)), pa.array(np.concatenate(flags)), _packed(np.tile(x, (k, 1)))],
-                    ["vid", "t", "sig", "probe", "unit"],
-                )
-
-    return classes.select("vid", "vec").mapInArrow(run, "vid long, t int, sig long, probe boolean, unit binary")
-
+                    looks.append(base + ((second[rows, d] - best[rows, d]).astype(np.int64) << shifts[d]))
+            y = x
+            for s in spread:  # so that no component is much larger than the others
+                y = hadamard(y * s) / np.float32(np.sqrt(dim))
+            n = tables * (1 + probes)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.stack([*own, *looks], axis=1).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(coded(vid, y)), keys], ["vid", "code", "keys"])
+
+    return classes.select("vid", "vec").mapInArrow(run, "vid long, code binary, keys array<long>")
+
+
+def placed(sig: DataFrame, tables: int, block: int) -> DataFrame:
+    """(g, role, code): the rows of each group. Roles 0 and 1 lie in the bucket, 2 and 3 look into it; those of an odd role
+    are of another block, and are compared with the other block only."""
+    keys = sig.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialise(keys.where(F.col("n") > block), "hot-buckets")
+    n_hot = hot.count()
+    rows = sig.select("vid", "code", F.posexplode("keys").alias("at", "key"))
+    look = F.when(F.col("at") >= tables, 2).otherwise(0)
+    if not n_hot:
+        return rows.select(F.col("key").alias("g"), look.alias("role"), "code")
+    held = F.broadcast(hot) if n_hot <= 100_000 else hot  # 2 MB
+    out = rows.join(held, "key", "left_anti").select(F.col("key").alias("g"), look.alias("role"), "code")
+    rows = rows.join(held, "key").withColumn("blocks", F.ceil(F.col("n") / block))
+    mine = F.pmod(F.xxhash64("vid"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    parts = F.transform(every, lambda j: F.struct(F.least(mine, j).alias("x"), F.greatest(mine, j).alias("y"), (look + F.when(mine <= j, 0).otherwise(1)).alias("role")))
+    hot_rows = rows.select("key", "code", F.explode(parts).alias("r"))
+    return out.unionByName(hot_rows.select(F.xxhash64("key", "r.x", "r.y").alias("g"), "r.role", "code"))
+
+
+def _best(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of x the k most similar of y, by their numbers."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(x), 1024):
+        s = x[lo : lo + 1024] @ y.T
+        s[xi[lo : lo + 1024, None] == yi[None, :]] = -2
+        at = s >= least
+        if s.shape[1] > k:
+            at &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        r, c = np.nonzero(at)
+        out.append((xi[lo + r], yi[c]))
+    return tuple(np.concatenate(o) for o in zip(*out))
+
+
+def near_pairs(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b), a < b: pairs that meet in a group of ``rows`` (g, role, code) and whose estimated cosine may reach ``least``."""
+    bound = least - SLACK
+
+    def pairs(g: np.ndarray, role: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        vid, x = decoded(code)
+        edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        size = np.diff(edges)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.flatnonzero(np.repeat(size <= SMALL, size) & (role < 2))
+        d = 0
+        while len(at):  # rows that are d places apart
+            d += 1
+            at = at[at + d < len(g)]
+            at = at[g[at] == g[at + d]]
+            for lo in range(0, len(at), 1 << 16):
+                i = at[lo : lo + (1 << 16)]
+                i = i[(vid[i] != vid[i + d]) & (np.einsum("ij,ij->i", x[i], x[i + d]) >= bound)]
+                out.append((vid[i], vid[i + d]))
+        for e in np.flatnonzero(size > SMALL):
+            lo, hi = edges[e], edges[e + 1]
+            cuts = [lo + int(c) for c in np.searchsorted(role[lo:hi], range(5))]
+            here, there, look, look_there = ((vid[u:v], x[u:v]) for u, v in zip(cuts[:-1], cuts[1:]))
+            if len(there[0]) or len(look_there[0]):
+                met = [(here, there), (there, here), (look, there), (there, look), (look_there, here), (here, look_there)]
+            else:
+                met = [(here, here), (look, here), (here, look)]
+            out += [_best(*u, *v, SPARE * k, bound) for u, v in met if len(u[0]) and len(v[0])]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(o[n] for o in out)]) for n in (0, 1))
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-def _prefix(depth) -> F.col:
-    return F.expr(f"shiftright(sig, {_BITS} * ({MAX_DEPTH} - {depth}))")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple] = []  # rows of the group that isn't complete
+        for b in batches:
+            if not len(b):
+                continue
+            now = (b.column(0).to_numpy(), b.column(1).to_numpy(), _unpacked(b.column(2)))
+            if open_ and now[0][0] == now[0][-1] == open_[0][0][0]:
+                open_.append(tuple(x.copy() for x in now))
+                continue
+            now = tuple(np.concatenate(x) for x in zip(*open_, now))
+            other = np.flatnonzero(now[0] != now[0][-1])
+            end = int(other[-1]) + 1 if len(other) else 0
+            open_ = [tuple(x[end:].copy() for x in now)]
+            if end:
+                yield pairs(*(x[:end] for x in now))
+        if open_:
+            yield pairs(*(np.concatenate(x) for x in zip(*open_)))
+
+    streams = rows.repartition("g").sortWithinPartitions("g", "role").select("g", "role", "code")
+    return streams.mapInArrow(run, "a long, b long").distinct()
+
+
+def exact(pairs: DataFrame, classes: DataFrame, least: float, dim: int = DIM) -> DataFrame:
+    """(a, b, sim) of the pairs with a cosine of at least ``least``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (unit_rows(b.column(i), dim).astype(np.float64) for i in (2, 3))
+            sim = np.einsum("ij,ij->i", x, y)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], ["a", "b", "sim"]).filter(pa.array(sim >= least - 1e-7))
 
-def placed(sig: DataFrame, depth: int, block: int) -> DataFrame:
-    """(g, role, vid, unit): role 0 is in the bucket, 1 looks into it. Buckets over ``block`` come in blocks."""
-    own = sig.where(~F.col("probe")).select("t", _prefix(depth).alias("key"))
-    hot = own.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    hot = materialise(hot, "hot-buckets")
-    n_hot = hot.count()
-    rows = sig.withColumn("key", _prefix(depth)).withColumn("blocks", F.lit(1).cast("long"))
-    if n_hot:
-        rows = rows.drop("blocks").join(F.broadcast(hot) if n_hot <= 100_000 else hot, ["t", "key"], "left")  # 3 MB
-        rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)))
-    home = F.struct(F.lit(0).alias("role"), F.pmod("vid", "blocks").alias("blk"))
-    looks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("role"), i.alias("blk")))
-    roles = F.when(F.col("probe"), looks).otherwise(F.concat(F.array(home), looks))
-    out = rows.select("vid", "unit", "t", "key", F.explode(roles).alias("r"))
-    return out.select(F.xxhash64("t", "key", "r.blk").alias("g"), F.col("r.role").alias("role"), "vid", "unit")
+    c = classes.select("vid", "vec")
+    both = pairs.join(c.select(F.col("vid").alias("a"), F.col("vec").alias("x")), "a").join(c.select(F.col("vid").alias("b"), F.col("vec").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, sim double")
 
 
 def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame:
@@ -162,7 +281,7 @@ def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame
         here, ids, vecs = None, [], []  # the bucket that is open
         for b in batches:
             g, role, vid = (b.column(i).to_numpy() for i in range(3))
-            x = _unpacked(b.column(3), dim)
+            x = _unpacked(b.column(3)).view(np.float32) if len(b) else np.zeros((0, dim), np.float32)
             out: tuple[list, list, list] = ([], [], [])
             edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, int)
             for lo, hi in zip(edges[:-1], edges[1:]):
@@ -224,8 +343,11 @@ def nearest_classes(classes: DataFrame, k: int, least: float, tables: int, probe
     """
     depth = depth_for(classes.count())
     tables, probes = tables_for(depth, tables, probes)
-    sig = signatures(classes, tables, probes, depth, dim)
-    pairs = compared(placed(sig, depth, block), k, max(least, SURE), dim).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    sig = materialise(signatures(classes, tables, probes, depth, dim), "signatures")
+    met = materialise(near_pairs(placed(sig, tables, block), k, max(least, SURE)), "met")
+    half = exact(met, classes, max(least, SURE), dim)
+    pairs = half.select("a", "b", F.explode(F.array(F.lit(True), F.lit(False))).alias("f"), "sim")
+    pairs = pairs.select(F.when(F.col("f"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("f"), F.col("b")).otherwise(F.col("a")).alias("b"), "sim")
     if least < SURE:
         pairs = materialise(pairs, "near")
         full = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("a").alias("vid"))
@@ -236,9 +358,8 @@ def nearest_classes(classes: DataFrame, k: int, least: float, tables: int, probe
     return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
-def expand(vectors: DataFrame, near: DataFrame, k: int) -> DataFrame:
+def expand(members: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """(chunk_key, rank, neighbour, sim) from the neighbours of the distinct vectors: copies are each other's nearest."""
-    members = vectors.select("chunk_key", "vid")
     w = Window.partitionBy("vid").orderBy("chunk_key")
     shown = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     own = shown.where(F.col("r") == 2).select(F.col("vid").alias("a"), F.col("vid").alias("b"), F.lit(1.0).alias("sim"))
@@ -251,66 +372,30 @@ def expand(vectors: DataFrame, near: DataFrame, k: int) -> DataFrame:
     return mine.select("chunk_key", F.posexplode(others).alias("p", "x")).select("chunk_key", (F.col("p") + 1).alias("rank"), "x.neighbour", "x.sim")
 
 
-def most_similar(batches: DataFrame, k: int = 10, least: float = -1.0, tables: int = 10, probes: int = 1, dim: int = DIM) -> DataFrame:
+def most_similar(batches: DataFrame, k: int = 10, least: float = -1.0, tables: int = TABLES, probes: int = 1, dim: int = DIM) -> DataFrame:
     """(chunk_key, rank, neighbour, sim) of every valid vector of ``batches`` (chunk_keys, embeddings)."""
-    v = materialise(valid_vectors(batches, dim), "vectors")
-    classes = v.groupBy("vid").agg(F.min("vec").alias("vec"))
-    return expand(v, nearest_classes(classes, k, least, tables, probes, dim=dim), k)
+    v = Vectors(batches, dim)
+    return expand(v.members, nearest_classes(v.classes, k, least, tables, probes, dim=dim), k)
 
 
-def similar_pairs(batches: DataFrame, k: int = 10, least: float = 0.9, tables: int = 10, probes: int = 1, dim: int = DIM) -> DataFrame:
+def similar_pairs(batches: DataFrame, k: int = 10, least: float = 0.9, tables: int = TABLES, probes: int = 1, dim: int = DIM) -> DataFrame:
     """(chunk_key_a, chunk_key_b): pairs with a cosine of at least ``least``, one among the k nearest of the other."""
     n = most_similar(batches, k, least, tables, probes, dim)
     return n.select(F.least("chunk_key", "neighbour").alias("chunk_key_a"), F.greatest("chunk_key", "neighbour").alias("chunk_key_b")).distinct()
 
 
-def brute_force(v: DataFrame, queries: DataFrame, k: int, dim: int = DIM, least: float = -1.0, at_once: int = 32_768) -> DataFrame:
-    """(chunk_key, neighbour, sim): exact, for a stated set of queries against all rows, ``at_once`` queries a pass."""
-    spark = v.sparkSession
-    rows = queries.select("chunk_key", "vec")
-    n = rows.count()
-    passes = max(1, math.ceil(n / at_once))
-    out = None
-    for i in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("chunk_key"), F.lit(passes)) == i).toPandas()
-        if not len(part):
-            continue
-        q = unit_rows(pa.array(list(part["vec"]), pa.list_(pa.float32())), dim)
-        held = spark.sparkContext.broadcast((part["chunk_key"].to_numpy(), q))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            keys, q = held.value
-            for b in batches:
-                ids, x = b.column(0).to_numpy(), unit_rows(b.column(1), dim)
-                m = min(k + 1, len(x))  # the query itself may be among them
-                for lo in range(0, len(q), 1024):
-                    s = q[lo : lo + 1024] @ x.T
-                    if least > 0:
-                        r, c = np.nonzero(s >= least)
-                    else:
-                        c = np.argpartition(-s, m - 1, axis=1)[:, :m].ravel()
-                        r = np.repeat(np.arange(len(s)), m)
-                    other = keys[lo + r] != ids[c]
-                    r, c = r[other], c[other]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + r]), pa.array(ids[c]), pa.array(s[r, c].astype(np.float64))], ["chunk_key", "neighbour", "sim"])
-
-        got = v.select("chunk_key", "vec").mapInArrow(run, "chunk_key long, neighbour long, sim double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = spark.createDataFrame([], "chunk_key long, neighbour long, sim double")
-    w = Window.partitionBy("chunk_key").orderBy(F.desc("sim"), "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def recall(batches: DataFrame, k: int = 10, least: float = 0.9, every: int = 100, tables: int = 10, probes: int = 1, dim: int = DIM) -> DataFrame:
-    """(n_queries, n_true, n_found, recall) of the neighbours with a cosine of at least ``least`` that are among the k
-    nearest, for the vectors whose key is divisible by ``every``, against all vectors."""
-    v = materialise(valid_vectors(batches, dim), "vectors")
-    classes = v.groupBy("vid").agg(F.min("vec").alias("vec"))
-    found = expand(v, nearest_classes(classes, k, least, tables, probes, dim=dim), k)
-    asked = v.where(F.col("chunk_key") % every == 0)
-    true = brute_force(v, asked, k, dim, least).where(F.col("sim") >= least)
-    hit = true.join(found.select("chunk_key", "neighbour", F.lit(1).alias("hit")), ["chunk_key", "neighbour"], "left").select("chunk_key", "neighbour", "hit")
+def recall(batches: DataFrame, k: int = 10, least: float = 0.9, every: int = 100, tables: int = TABLES, probes: int = 1, dim: int = DIM) -> DataFrame:
+    """(n_queries, n_true, n_found, recall, n_near, n_near_found, near_recall) of the neighbours with a cosine of at least
+    ``least`` that are among the k nearest, for the vectors whose key is divisible by ``every``, against all vectors; near
+    ones are those with a cosine of at least ``SURE``, which only the tables find."""
+    v = Vectors(batches, dim)
+    found = expand(v.members, nearest_classes(v.classes, k, least, tables, probes, dim=dim), k)
+    asked = v.members.where(F.col("chunk_key") % every == 0)
+    every_one = compared_with_all(v.classes.join(asked, "vid", "left_semi"), v.classes, k, least, dim)
+    w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    true = expand(v.members, every_one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r"), k).where(F.col("chunk_key") % every == 0)
+    hit = true.select("chunk_key", "neighbour", (F.col("sim") >= SURE).alias("near")).join(found.select("chunk_key", "neighbour", F.lit(1).alias("hit")), ["chunk_key", "neighbour"], "left")
     all_asked = asked.select("chunk_key").join(hit, "chunk_key", "left")
-    n = all_asked.agg(F.count_distinct("chunk_key").alias("n_queries"), F.count("neighbour").alias("n_true"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
-    return n.withColumn("recall", F.col("n_found") / F.greatest("n_true", F.lit(1)))
+    n = all_asked.agg(F.count_distinct("chunk_key").alias("n_queries"), F.count("neighbour").alias("n_true"), F.count("hit").alias("n_found"), F.count_if("near").alias("n_near"), F.count_if(F.col("near") & F.col("hit").isNotNull()).alias("n_near_found"))
+    share = lambda a, b: F.col(a) / F.greatest(b, F.lit(1))
+    return n.select("n_queries", "n_true", "n_found", share("n_found", "n_true").alias("recall"), "n_near", "n_near_found", share("n_near_found", "n_near").alias("near_recall"))

@@ -85,6 +85,18 @@ def test_recall_report(spark):
     assert r.n_queries == 40 and r.recall >= 0.9
 
 
+def test_estimates_of_cosines():
+    rnd = np.random.default_rng(2)
+    x, e = rnd.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e -= (e * x).sum(axis=1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    both = np.concatenate((x, 0.9 * x + np.sqrt(1 - 0.9**2) * e)).astype(np.float32)
+    vid, y = vectors.decoded(vectors.coded(np.arange(len(both)) - 9, both))
+    assert vid.tolist() == list(range(-9, len(both) - 9))
+    assert (y[:20_000] * y[20_000:]).sum(axis=1).min() > 0.9 - vectors.SLACK
+
+
 def test_dense_group_of_different_vectors_loses_no_pair(spark):
     rnd = np.random.default_rng(12)
     axis = rnd.normal(size=64) * 3
