@@ -192,16 +192,31 @@ def placed(sig: DataFrame, tables: int, block: int) -> DataFrame:
     return out.unionByName(hot_rows.select(F.xxhash64("key", "r.x", "r.y").alias("g"), "r.role", "code"))
 
 
+def _k_best(s: np.ndarray, k: int, least: float, some: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest of each row (more where they are equal) that are at least ``least``.
+
+    Of wide rows the k-th greatest of the first columns leaves few of the others.
+    """
+    if s.shape[1] <= k:
+        return np.nonzero(s >= least)
+    some = max(some, k)
+    cut = -np.partition(-s[:, :some], k - 1, axis=1)[:, k - 1]
+    r, c = np.nonzero(s >= np.maximum(cut, least)[:, None])
+    if s.shape[1] > some:
+        order = np.lexsort((-s[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[keep], c[keep]
+    return r, c
+
+
 def _best(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """For each of x the k most similar of y, by their numbers."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, len(x), 1024):
         s = x[lo : lo + 1024] @ y.T
         s[xi[lo : lo + 1024, None] == yi[None, :]] = -2
-        at = s >= least
-        if s.shape[1] > k:
-            at &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-        r, c = np.nonzero(at)
+        r, c = _k_best(s, k, least)
         out.append((xi[lo + r], yi[c]))
     return tuple(np.concatenate(o) for o in zip(*out))
 
@@ -298,11 +313,7 @@ def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame
                     qi = vid[q : min(q + 1024, hi)]
                     s = x[q : q + len(qi)] @ v.T
                     s[qi[:, None] == i[None, :]] = -2
-                    if s.shape[1] > k:
-                        cut = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                        r, c = np.nonzero((s >= cut[:, None]) & (s >= least - 1e-5))
-                    else:
-                        r, c = np.nonzero(s >= max(least - 1e-5, -1.5))
+                    r, c = _k_best(s, k, max(least - 1e-5, -1.5))
                     if len(r):
                         exact = np.einsum("ij,ij->i", x[q + r].astype(np.float64), v[c].astype(np.float64))
                         keep = exact >= least - 1e-7
