@@ -5,19 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 
-
+from .operators import lexical, stats, vector
 from .operators import query as q
-from .operators import stats, vector
 from .plans import ingestion, retrieval
 from .session import session, ship
 from .sources import files
 
 
 def _query(spark, a) -> None:
-    chunks = spark.read.parquet(a.chunks)
     queries = spark.createDataFrame([(1, a.query)], "query_id long, query_text string")
     s = retrieval.Settings(ranker=a.ranker, per_source=a.max_chunks_per_source, allowed=a.allowed_file_types)
-    context = retrieval.contexts(queries, chunks, s)
+    context = retrieval.contexts(queries, lexical.index_of(spark, a.chunks), s)
     answer = {r["query_id"]: r["answer_text"] for r in retrieval.context.answer(context).collect()}
     for r in context.collect():
         print(json.dumps({"query": a.query, "expanded": [v["variant_text"] for v in q.variants(queries).collect()], "sources": [x.asDict() for x in r["sources"]], "context": r["context_text"], "answer": answer[1]}, ensure_ascii=False))

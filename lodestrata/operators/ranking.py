@@ -137,18 +137,22 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
 def fuse(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 0.7, vector_weight: float = 0.3, floor: float = 0.6, k: int | None = None) -> DataFrame:
     """Lexical and vector results (query_id, chunk_key, logical_path, chunk_index, rank, score) of each query in one list.
 
-    Scores are brought to 0..1 within each list; rows found by vectors only need a cosine of ``floor``.
+    Scores are brought to 0..1 within each list. A row that a list lacks has the score 0 there and is scaled like the
+    others, so it may go below 0; of a query without such a list it counts 0. Rows found by vectors only need a cosine of
+    ``floor``.
     """
+    cols = ["query_id", "chunk_key", "logical_path", "chunk_index"]
+    a = lexical.select(*cols, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
+    b = vector.select(*cols, F.col("rank").alias("vector_rank"), F.col("score").alias("vector_score"))
+    x = a.join(b, cols, "full_outer")
+    w = Window.partitionBy("query_id")
 
-    def scaled(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id")
-        lo, hi = F.min("score").over(w), F.max("score").over(w)
-        return df.withColumn("norm", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0))
+    def scaled(c: str) -> Column:
+        lo, hi = F.min(c).over(w), F.max(c).over(w)  # nulls don't count
+        return F.when(hi > lo, (F.coalesce(c, F.lit(0.0)) - lo) / (hi - lo)).otherwise(0.0)
 
-    cols = ["query_id", "chunk_key", "logical_path", "chunk_index"]
-    a = scaled(lexical).select(*cols, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"), F.col("norm").alias("ln"))
-    b = scaled(vector).select(*cols, F.col("rank").alias("vector_rank"), F.col("score").alias("vector_score"), F.col("norm").alias("vn"))
-    x = a.join(b, cols, "full_outer").where(F.col("lexical_rank").isNotNull() | (F.col("vector_score") >= floor))
+    x = x.withColumn("ln", scaled("lexical_score")).withColumn("vn", scaled("vector_score"))
+    x = x.where(F.col("lexical_rank").isNotNull() | (F.col("vector_score") >= floor))
     origin = F.when(F.col("vector_rank").isNull(), "lexical_only").when(F.col("lexical_rank").isNull(), "vector_only").otherwise("both")
     score = lexical_weight * F.coalesce("ln", F.lit(0.0)) + vector_weight * F.coalesce("vn", F.lit(0.0))
     x = x.withColumn("match_origin", origin).withColumn("fusion_score", F.round(score, 6)).drop("ln", "vn")

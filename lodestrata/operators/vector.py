@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +45,49 @@ def index(batches: DataFrame) -> DataFrame:
 
 
 AT_ONCE = 4096
+BLOCK = 16_384
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
-    """(query_id, chunk_key, rank, score): exact cosines of queries (query_id, vector) with all vectors.
+def _units(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    Queries are broadcast in blocks of about ``AT_ONCE`` (1 MB at 64 components), one pass over the vectors each; a task
-    keeps k rows of a query before the shuffle.
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, at_once: int = AT_ONCE, block: int = BLOCK) -> DataFrame:
+    """(query_id, chunk_key, rank, score): exact cosines of queries (query_id, vector) with all vectors of their length.
+
+    Queries in parts of ``at_once`` and vectors in blocks of ``block`` meet in groups, each of them one matrix product of
+    which the k best of a query are kept. A task holds a part and a block; what is ranked afterwards grows with queries and
+    blocks. Invalid vectors take no part; ties go to the smaller key.
     """
-    blocks = max(1, -(-queries.count() // AT_ONCE))
-    q = queries.select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), F.size("vector").alias("dim"))
-    v = vectors.withColumn("dim", F.size("vector")).withColumn("vn", norm(F.col("vector")))
-    out = None
-    for i in range(blocks):
-        x = v.join(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), "dim")
-        x = x.select("query_id", "chunk_key", F.round(dot(F.col("vector"), F.col("qv")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
-        out = x if out is None else out.unionByName(x)
+    side = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector")).where(is_valid("vector"))
+    q, v = side(queries, "query_id"), side(vectors, "chunk_key")
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((q, at_once), (v, block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    q = q.select("*", F.size("vector").alias("dim"), mine("query_id", parts).alias("part"), every(blocks).alias("block"))
+    v = v.select("*", F.size("vector").alias("dim"), mine("chunk_key", blocks).alias("block"), every(parts).alias("part"))
+
+    def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, keys = left["query_id"].to_numpy(), right["chunk_key"].to_numpy()
+        out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if len(ids) and len(keys):
+            x, y = (_units(t["vector"], key[0].as_py()) for t in (left, right))
+            for lo in range(0, len(ids), 256):
+                s = np.round(x[lo : lo + 256] @ y.T, 6)
+                cut = np.full(len(s), -2.0) if s.shape[1] <= k else -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                r, c = np.nonzero(s >= cut[:, None])
+                order = np.lexsort((keys[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c = r[first], c[first]
+                out[0].append(ids[lo + r]), out[1].append(keys[c]), out[2].append(s[r, c])
+        return pa.table(dict(zip(("query_id", "chunk_key", "score"), map(np.concatenate, out))))
+
+    on = ["dim", "part", "block"]
+    x = q.groupBy(*on).cogroup(v.groupBy(*on)).applyInArrow(best, "query_id long, chunk_key long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_key", "rank", "score")
 
 
 def coverage(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

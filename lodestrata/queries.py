@@ -41,6 +41,10 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "search_context_chunk").dropDuplicates(["chunk_key"])
 
 
+def index(s: SparkSession, d: str) -> lexical.Index:
+    return lexical.index_of(s, f"{d}/search_context_chunk.parquet")
+
+
 def titles(s: SparkSession, d: str) -> DataFrame:
     """The batch of queries: all titles of the documents table."""
     x = table(s, d, "documents").where(F.trim("title") != "").select(F.col("title").alias("query_text")).distinct()
@@ -174,31 +178,31 @@ def lexical_postings(s, d):
 
 @register(f"with {_CH}, p as (select unnest({_ix('text')}) as term from ch) select count(distinct document_hash) as doc_count, count(*) as chunk_count, (select count(distinct term) from p) as term_count, (select count(*) from p) as posting_count from ch")
 def lexical_index_stats(s, d):
-    return lexical.index_stats(chunks(s, d))
+    return lexical.index_stats(index(s, d))
 
 
 @register(f"with {_CH}, p as (select distinct unnest({_ix('text')}) as term from ch) select term, (('0x' || substr(sha256(term), 15, 2))::int % 64)::int as shard from p")
 def term_shard(s, d):
-    return lexical.postings(chunks(s, d)).select("term").distinct().select("term", T.term_shard("term").alias("shard"))
+    return index(s, d).postings.select("term", F.col("shard").cast("int").alias("shard")).distinct()
 
 
 @register(f"with {_CAND} select term, count(*) as df, min(chunk_key) as first_chunk from p where term in (select term from qt) group by term")
 def postings_lookup(s, d):
     q = lexical.query_terms(titles(s, d)).select("term").distinct()
-    return lexical.postings(chunks(s, d)).join(q, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("chunk_key").alias("first_chunk"))
+    return lexical.lookup(q, index(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("chunk_key").alias("first_chunk"))
 
 
 @register(f"with {_CAND} select query_id, chunk_key, width::int as width, array_to_string(mt, ',') as matched_terms from f join cand using (query_id, chunk_key)")
 def candidate_retrieval(s, d):
-    c, q = chunks(s, d), titles(s, d)
-    found = materialise(lexical.candidates(q, c), "found")
-    x = lexical.hydrate(found, q, c).join(found.select("query_id", "chunk_key", "width"), ["query_id", "chunk_key"])
+    ix, q = index(s, d), titles(s, d)
+    found = materialise(lexical.candidates(q, ix), "found")
+    x = lexical.hydrate(found, q, ix).join(found.select("query_id", "chunk_key", "width"), ["query_id", "chunk_key"])
     return x.select("query_id", "chunk_key", "width", F.array_join("matched_terms", ",").alias("matched_terms"))
 
 
 @register(f"with {_CAND} select query_id, chunk_key from cand join ch using (chunk_key) where lower(regexp_extract(logical_path, '\\.([^./]+)$', 1)) in ('pdf', 'docx')")
 def file_type_filter(s, d):
-    return lexical.candidates(titles(s, d), chunks(s, d), allowed=[".PDF", "docx "]).select("query_id", "chunk_key")
+    return lexical.candidates(titles(s, d), index(s, d), allowed=[".PDF", "docx "]).select("query_id", "chunk_key")
 
 
 # Queries
@@ -241,8 +245,8 @@ def query_variants(s, d):
 
 
 def _candidates(s, d):
-    c, q = chunks(s, d), titles(s, d)
-    return materialise(lexical.hydrate(lexical.candidates(q, c), q, c), "candidates")
+    ix, q = index(s, d), titles(s, d)
+    return materialise(lexical.hydrate(lexical.candidates(q, ix), q, ix), "candidates")
 
 
 @register(f"with {_CAND} select query_id, chunk_key, score, row_number() over (partition by query_id order by score desc, chunk_index, logical_path, chunk_key) as rank from (select *, (len(mt) + case when contains(lower(text), lower(trim(query_text))) then 3 else 0 end)::double as score from f) qualify rank <= 50")
@@ -287,7 +291,7 @@ def retrieval_trace(s, d):
 
 @register()
 def mmr_rerank(s, d):
-    x = ranking.mmr(lexical.add_text(ranking.score_gap(ranking.bm25(_candidates(s, d), 100)), chunks(s, d)))
+    x = ranking.mmr(lexical.add_text(ranking.score_gap(ranking.bm25(_candidates(s, d), 100)), index(s, d)))
     return x.withColumn("mmr_score", F.round("mmr_score", 6))
 
 
@@ -323,7 +327,7 @@ def variant_summary(s, d):
 _EM = """ez as (select batch_id, embedding_model, embedding_dim, unnest(chunk_keys) as chunk_key, unnest(embeddings) as vector from embedding_vector_batch),
 es as (select * from ez where chunk_key is not null and vector is not null and len(vector) > 0),
 ev as (select chunk_key, min(vector) as vector from es where len(vector) = embedding_dim and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by 1)"""
-_QV = "qv as (select vec_id as query_id, embedding as v from embeddings where vec_id < 20)"
+_QV = "qv as (select vec_id as query_id, embedding as v from embeddings where vec_id % 100 = 0)"
 _VK = f"{_EM}, {_QV}, vs as (select query_id, chunk_key, round(list_dot_product(list_transform(vector, lambda x: x::double), list_transform(v, lambda x: x::double)) / (sqrt(list_dot_product(list_transform(vector, lambda x: x::double), list_transform(vector, lambda x: x::double))) * sqrt(list_dot_product(list_transform(v, lambda x: x::double), list_transform(v, lambda x: x::double)))), 6) as score from ev, qv where len(v) = len(vector)), vk as (select query_id, chunk_key, row_number() over (partition by query_id order by score desc, chunk_key) as rank, score from vs qualify rank <= 50)"
 
 
@@ -332,8 +336,8 @@ def _vectors(s, d):
 
 
 def _vector_queries(s, d):
-    """Twenty query vectors: the batch at hand."""
-    return table(s, d, "embeddings").where(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The batch of query vectors: every one whose id is divisible by 100."""
+    return table(s, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @register(f"with {_EM} select len(vector)::int as dim, count(*) as n_vectors, count(distinct chunk_key) as n_keys from es group by 1")
@@ -351,22 +355,26 @@ def vector_topk(s, d):
     return vector.top_k(_vector_queries(s, d), _vectors(s, d), 50).select("query_id", "chunk_key", "rank", "score")
 
 
-@register(f"""with {_VK}, {_CH}, nq as (select query_id, row_number() over (order by query_id) - 1 as i from (select distinct query_id from ({'select query_id from qv'}))),
-lex as (select query_id, chunk_key, rank, (len(text) / 100)::int::double as score, logical_path, chunk_index from (select q.query_id, c.*, row_number() over (partition by q.query_id order by (len(text) / 100)::int desc, c.chunk_key) as rank from qv q join ch c on c.chunk_key % 20 = q.query_id) where rank <= 100),
-vec as (select vk.*, logical_path, chunk_index from vk join ch using (chunk_key)),
-ls as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0.0 end as norm from lex window w as (partition by query_id)),
-vs2 as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 0.0 end as norm from vec window w as (partition by query_id)),
-j as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_key, b.chunk_key) as chunk_key, coalesce(a.logical_path, b.logical_path) as logical_path, coalesce(a.chunk_index, b.chunk_index) as chunk_index, case when b.rank is null then 'lexical_only' when a.rank is null then 'vector_only' else 'both' end as match_origin, round(0.7 * coalesce(a.norm, 0) + 0.3 * coalesce(b.norm, 0), 6) as fusion_score from ls a full join vs2 b on a.query_id = b.query_id and a.chunk_key = b.chunk_key where a.rank is not null or b.score >= 0.6)
-select query_id, chunk_key, match_origin, fusion_score, row_number() over (partition by query_id order by fusion_score desc, logical_path desc, chunk_index desc, chunk_key) as rank from j""")
-def hybrid_fusion(s, d):
-    c = chunks(s, d).select("chunk_key", "logical_path", "chunk_index", "text")
-    q = _vector_queries(s, d)
-    lex = c.withColumn("query_id", F.col("chunk_key") % 20).join(q.select("query_id"), "query_id", "left_semi").withColumn("score", F.bround(F.length("text") / 100).cast("double"))
-    from pyspark.sql import Window
+_COS = "round(list_dot_product(list_transform({0}, lambda x: x::double), list_transform({1}, lambda x: x::double)) / (sqrt(list_dot_product(list_transform({0}, lambda x: x::double), list_transform({0}, lambda x: x::double))) * sqrt(list_dot_product(list_transform({1}, lambda x: x::double), list_transform({1}, lambda x: x::double)))), 6)"
 
-    lex = lex.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_key"))).where(F.col("rank") <= 100)
-    vec = vector.top_k(q, _vectors(s, d), 50).join(c, "chunk_key")
-    return ranking.fuse(lex, vec).select("query_id", "chunk_key", "match_origin", "fusion_score", "rank")
+
+@register(f"""with {_BM25}, {_EM}, lx as (select query_id, chunk_key, logical_path, chunk_index, rank, score from rk where rank <= 100),
+fv as (select query_id, vector as v from lx join ev using (chunk_key) qualify row_number() over (partition by query_id order by rank) = 1),
+vx as (select query_id, chunk_key, row_number() over (partition by query_id order by score desc, chunk_key) as rank, score from (select query_id, chunk_key, {_COS.format("vector", "v")} as score from ev join fv on len(v) = len(vector)) qualify rank <= 50),
+j as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_key, b.chunk_key) as chunk_key, a.score as ls, b.score as vs from lx a full join vx b on a.query_id = b.query_id and a.chunk_key = b.chunk_key),
+jc as (select j.*, ch.logical_path, ch.chunk_index from j join ch using (chunk_key)),
+bounds as (select query_id, min(ls) as ll, max(ls) as lh, min(vs) as vl, max(vs) as vh from jc group by 1),
+o as (select query_id, chunk_key, logical_path, chunk_index, case when vs is null then 'lexical_only' when ls is null then 'vector_only' else 'both' end as match_origin,
+ round(0.7 * case when lh > ll then (coalesce(ls, 0) - ll) / (lh - ll) else 0 end + 0.3 * case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end, 6) as fusion_score from jc join bounds using (query_id) where ls is not null or vs >= 0.6)
+select query_id, chunk_key, match_origin, fusion_score, row_number() over (partition by query_id order by fusion_score desc, logical_path desc, chunk_index desc, chunk_key) as rank from o""")
+def hybrid_fusion(s, d):
+    """BM25 of the titles fused with vectors. As the titles have no vector here, each asks with that of its first chunk
+    that has one (feedback from the lexical list)."""
+    lex = materialise(ranking.bm25(_candidates(s, d), 100), "lexical")
+    v = materialise(_vectors(s, d), "vectors")
+    asked = retrieval.feedback(lex, v)
+    near = vector.top_k(asked, v, 50).join(index(s, d).chunks.select("chunk_key", "logical_path", "chunk_index"), "chunk_key")
+    return ranking.fuse(lex, near).select("query_id", "chunk_key", "match_origin", "fusion_score", "rank")
 
 
 @register(f"with {_EM}, {_CH}, a as (select distinct chunk_key from ch), b as (select chunk_key from ev) select count(a.chunk_key) as chunk_count, count(b.chunk_key) as embedding_count, count(*) filter (a.chunk_key is not null and b.chunk_key is not null) as covered, count(*) filter (b.chunk_key is null) as missing, count(*) filter (a.chunk_key is null) as orphaned, round(100.0 * count(*) filter (a.chunk_key is not null and b.chunk_key is not null) / count(a.chunk_key), 6)::double as coverage_pct from a full join b on a.chunk_key = b.chunk_key")
@@ -392,7 +400,7 @@ t4 as (select *, case when rank > stop then 'beyond' when rank = stop then 'max_
 
 
 def _top(s, d):
-    return lexical.add_text(ranking.bm25(_candidates(s, d), 20), chunks(s, d))
+    return lexical.add_text(ranking.bm25(_candidates(s, d), 20), index(s, d))
 
 
 @register(f"with {_CTX} select query_id, count(*)::int as n_sources, array_to_string(list(chunk_key order by rank), ',') as chunk_keys from t4 where verdict = 'included' group by 1")
@@ -415,7 +423,7 @@ def answer_extract(s, d):
 @register()
 def retrieve_end_to_end(s, d):
     """Titles as queries, with variants, score gap, both diversities and the context of each."""
-    return retrieval.contexts(_variant_queries(s, d), chunks(s, d)).drop("sources")
+    return retrieval.contexts(_variant_queries(s, d), index(s, d)).drop("sources")
 
 
 # Registries

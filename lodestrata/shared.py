@@ -4,35 +4,72 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[str, list[str]] = {}
+_lock = threading.Lock()
+_writing: dict[str, list] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``. A local one is made only if none is set."""
+    """Folder that all executors share: ``spark.checkpoint.dir``. Only a local session may do without, and gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+class _Cleaning:
+    """While tables are written, Spark removes the shuffle files of finished queries; the last writer restores the setting."""
 
+    def __init__(self, spark: SparkSession):
+        self.conf, self.key = spark.conf, spark.sparkContext.applicationId
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps columns prunable, outlives executors.
+    def __enter__(self) -> None:
+        with _lock:
+            held = _writing.setdefault(self.key, [0, self.conf.get(_CLEANUP, None)])
+            held[0] += 1
+            self.conf.set(_CLEANUP, "true")
 
-    The shuffle files of the write aren't needed afterwards; they are removed where Spark offers it.
-    """
+    def __exit__(self, *_: object) -> None:
+        with _lock:
+            held = _writing[self.key]
+            held[0] -= 1
+            if not held[0]:
+                self.conf.unset(_CLEANUP) if held[1] is None else self.conf.set(_CLEANUP, held[1])
+                del _writing[self.key]
+
+
+def write_table(df: DataFrame, at: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet and read it back. The shuffle files of the write aren't needed afterwards."""
     spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    before = spark.conf.get(_CLEANUP, None)
-    try:
-        spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(at)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    with _Cleaning(spark):
+        w = df.write.mode("overwrite").option("compression", "zstd")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps columns prunable, outlives executors."""
+    spark = df.sparkSession
+    at = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return write_table(df, at)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote for this application, once no DataFrame needs them; their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for at in made:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
