@@ -18,6 +18,16 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def cast_or(c: Column | str, kind: str, default: object) -> Column:
+    """The value as another type, or ``default`` where it is null or can't be cast."""
+    return F.coalesce(_c(c).try_cast(kind), F.lit(default).cast(kind))
+
+
+def day(utc: Column | str) -> Column:
+    """Date of epoch seconds, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(utc) / 86400).cast("int"))
+
+
 def index_bag(text: Column | str) -> Column:
     """Words of at least three characters, lower case, repeated as they occur."""
     return F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0)), lambda x: F.length(x) >= 3)

@@ -42,6 +42,14 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return x.withColumn("status", status)
 
 
+def source_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, added, removed): sources that only the later and only the earlier results (query_id, source) have."""
+    a, b = (x.groupBy("query_id").agg(F.collect_set("source").alias(n)) for x, n in ((before, "before"), (after, "after")))
+    none = F.array().cast("array<string>")
+    x = a.join(b, "query_id", "full_outer").select("query_id", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    return x.select("query_id", F.array_sort(F.array_except("after", "before")).alias("added"), F.array_sort(F.array_except("before", "after")).alias("removed"))
+
+
 def pattern_hits(texts: DataFrame, good: tuple[str, ...], bad: tuple[str, ...]) -> DataFrame:
     """(query_id, good_hits, bad_hits): how many of the patterns a query's text (query_id, text) contains."""
     count = lambda ps: sum((F.coalesce(F.lower("text").contains(p.lower()), F.lit(False)).cast("int") for p in ps), F.lit(0))

@@ -36,10 +36,12 @@ class Index:
 
 
 def _open(spark: SparkSession, at: str) -> Index:
-    return Index(*(spark.read.parquet(f"{at}/{n}") for n in ("postings", "terms", "chunks")))
+    chunks, terms = (spark.read.parquet(f"{at}/{n}") for n in ("chunks", "terms"))
+    key = chunks.schema["chunk_key"].dataType.simpleString()  # an index without postings has no file to tell
+    return Index(spark.read.schema(f"term string, chunk_key {key}, tf int, shard int").parquet(f"{at}/postings"), terms, chunks)
 
 
-def build_index(chunks: DataFrame, at: str, shards: int = T.SHARDS) -> Index:
+def build_index(chunks: DataFrame, at: str) -> Index:
     """Write the index of ``chunks`` below ``at``. A chunk_key counts once; null texts have no terms.
 
     Texts move once, to make chunks distinct. Postings are counted where they are made and spread over files by shard;
@@ -53,7 +55,7 @@ def build_index(chunks: DataFrame, at: str, shards: int = T.SHARDS) -> Index:
     c = c.select(*cols, F.coalesce(T.index_bag("text"), F.array().cast("array<string>")).alias("bag"))
     c = write_table(c.select("*", F.size(counted).alias("dl"), intent_bonus(counted).alias("intent_bonus")), f"{at}/chunks")
     p = c.select("chunk_key", F.explode("bag").alias("term")).groupBy("term", "chunk_key").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    p = p.select("*", T.term_shard("term", shards).alias("shard")).hint("rebalance", "shard").sortWithinPartitions("shard", "term", "chunk_key")
+    p = p.select("*", T.term_shard("term").alias("shard")).hint("rebalance", "shard").sortWithinPartitions("shard", "term", "chunk_key")
     p = write_table(p.select("term", "chunk_key", "tf", "shard"), f"{at}/postings", ("shard",))
     write_table(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{at}/terms")  # last: an index that has it is complete
     return _open(chunks.sparkSession, at)

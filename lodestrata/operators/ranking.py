@@ -155,12 +155,34 @@ def fuse(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 0.7, vec
     x = x.where(F.col("lexical_rank").isNotNull() | (F.col("vector_score") >= floor))
     origin = F.when(F.col("vector_rank").isNull(), "lexical_only").when(F.col("lexical_rank").isNull(), "vector_only").otherwise("both")
     score = lexical_weight * F.coalesce("ln", F.lit(0.0)) + vector_weight * F.coalesce("vn", F.lit(0.0))
-    x = x.withColumn("match_origin", origin).withColumn("fusion_score", F.round(score, 6)).drop("ln", "vn")
+    x = x.withColumn("match_origin", origin).withColumn("fusion_score", F.round(score, 6)).withColumnsRenamed({"ln": "lexical_score_normalized", "vn": "vector_score_normalized"})
     w = Window.partitionBy("query_id").orderBy(F.desc("fusion_score"), F.desc("logical_path"), F.desc("chunk_index"), "chunk_key")
     x = x.withColumn("rank", F.row_number().over(w))
     return x if k is None else x.where(F.col("rank") <= k)
 
 
+def variant_summary(rows: DataFrame) -> DataFrame:
+    """(query_id, variant_ord, n_rows, top_hit): merged rows (query_id, variant_ord, rank) of each variant, and whether the
+    first row of the query is one of them."""
+    return rows.groupBy("query_id", "variant_ord").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.col("rank") == 1).alias("top_hit"))
+
+
+def full_trace(final: DataFrame) -> DataFrame:
+    """One row per result with all that the stages say of it: ranks and scores before fusion, raw and scaled, origin, fused
+    score, and what the diversity of sources made of it. Rows of ``fuse`` after ``source_diversity``, with query_text."""
+    has = lambda c: F.col(c).isNotNull()
+    return final.select(
+        "query_id", F.col("rank").alias("final_rank"), "chunk_key", "logical_path", "chunk_index", "chunk_id",
+        F.col("lexical_rank").alias("lexical_rank_before_fusion"), F.col("vector_rank").alias("vector_rank_before_fusion"),
+        has("lexical_rank").alias("present_in_lexical"), has("vector_rank").alias("present_in_vector"), has("lexical_rank").alias("seen_in_lexical"), has("vector_rank").alias("seen_in_vector"), "match_origin",
+        "lexical_score", "vector_score", "lexical_score_normalized", "vector_score_normalized",
+        F.col("fusion_score").alias("fusion_score_pre_doc_boost"), F.col("fusion_score").alias("fusion_score_post_doc_boost"),
+        F.col("score").alias("pre_diversity_score"), F.col("diversity_score").alias("final_score_after_diversity"), F.col("diversity_score").alias("final_score"),
+        F.col("fusion_score").alias("raw_score"), F.coalesce("weight", F.lit(1.0)).alias("expansion_weight"), F.col("query_text").alias("matched_query"), F.coalesce("variant_kind", F.lit("original")).alias("query_variant_kind"),
+        F.col("diversity_weight").alias("source_diversity_weight"), F.max("source_occurrence").over(Window.partitionBy("query_id", "logical_path")).alias("source_occurrence_count"),
+    )
+
+
 def trace(final: DataFrame) -> DataFrame:
     """One row per result with what each stage said of it."""
     return final.select("query_id", F.col("rank").alias("final_rank"), "chunk_key", "chunk_id", "logical_path", "chunk_index", "score", "source_occurrence", "diversity_weight", "diversity_score", F.array_join("matched_terms", ",").alias("matched_terms"))

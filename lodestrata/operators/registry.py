@@ -100,15 +100,24 @@ def override_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     return latest_by(existing.unionByName(new), ["artifact_id"], [F.desc("created_utc"), F.desc("redacted_artifact_id")])
 
 
-def active_truth(artifacts: DataFrame, overrides: DataFrame, registry: DataFrame) -> DataFrame:
-    """(artifact_id, origin, truth_path): override, else registry by path and hash, else registry by path, else none."""
-    r = registry.where(F.col("artifact_type") == DOCUMENT).select("source_path", "source_hash", "artifact_path")
-    exact = r.groupBy(F.col("source_path").alias("logical_path"), F.col("source_hash").alias("sha256")).agg(F.min("artifact_path").alias("exact_path"))
-    any_ = r.groupBy(F.col("source_path").alias("logical_path")).agg(F.min("artifact_path").alias("any_path"))
+def active_truth(artifacts: DataFrame, overrides: DataFrame, registry: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
+    """(artifact_id, origin, truth_path): override, else registry by path and hash, else registry by path, else documents
+    ``on_disk`` (source_path, source_hash, artifact_path) by path and hash, else by path (the first), else none."""
+    sources = [("registry", registry.where(F.col("artifact_type") == DOCUMENT))] + ([("disk", on_disk)] if on_disk is not None else [])
     x = artifacts.select("artifact_id", "logical_path", "sha256").join(overrides.select("artifact_id", "override_path"), "artifact_id", "left")
-    x = x.join(exact, ["logical_path", "sha256"], "left").join(any_, "logical_path", "left")
-    origin = F.when(F.col("override_path").isNotNull(), "override").when(F.col("exact_path").isNotNull(), "registry_exact").when(F.col("any_path").isNotNull(), "registry_path").otherwise("none")
-    return x.select("artifact_id", origin.alias("origin"), F.coalesce("override_path", "exact_path", "any_path").alias("truth_path"))
+    origin, paths = F.when(F.col("override_path").isNotNull(), "override"), ["override_path"]
+    for name, r in sources:
+        r = r.select(F.col("source_path").alias("logical_path"), F.col("source_hash").alias("sha256"), "artifact_path")
+        for kind, keys in (("exact", ["logical_path", "sha256"]), ("path", ["logical_path"])):
+            found = f"{name}_{kind}"
+            x = x.join(r.groupBy(*keys).agg(F.min("artifact_path").alias(found)), keys, "left")
+            origin, paths = origin.when(F.col(found).isNotNull(), found), [*paths, found]
+    return x.select("artifact_id", origin.otherwise("none").alias("origin"), F.coalesce(*paths).alias("truth_path"))
+
+
+def from_sources(df: DataFrame, part: str, column: str = "source_path") -> DataFrame:
+    """Rows whose source path contains ``part``."""
+    return df.where(F.col(column).contains(part))
 
 
 def effective_texts(documents: DataFrame, redacted: DataFrame) -> DataFrame:

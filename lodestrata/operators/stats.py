@@ -52,6 +52,14 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).withColumn("excess", F.col("copies") - 1)
 
 
+def duplicate_summary(df: DataFrame, key: str, examples: int = 25) -> DataFrame:
+    """(duplicate_keys, excess, examples): how many keys occur more than once, by how much, and the first of them."""
+    d = duplicates(df, key)
+    first = d.orderBy(key).limit(examples).agg(F.array_sort(F.collect_list(key)).alias("examples"))
+    n = d.agg(F.count(F.lit(1)).alias("duplicate_keys"), F.coalesce(F.sum("excess"), F.lit(0)).cast("long").alias("excess"))
+    return n.join(F.broadcast(first))  # one row each
+
+
 def dataset_summary(tables: dict[str, DataFrame]) -> DataFrame:
     """(dataset, n_rows) of named tables."""
     out = None

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import json
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunking, context, evaluation, lexical, query, ranking, redaction, registry, stats, validation, vector
+from .operators import chunking, context, evaluation, lexical, lifecycle, query, ranking, redaction, registry, stats, validation, vector
 from .plans import retrieval
-from .shared import materialise
+from .shared import materialise, shared_dir
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +172,29 @@ def artifact_naming(s, d):
     return titles(s, d).select("query_id", T.safe_stem("query_text", "bm25").alias("stem"), T.safe_id("query_text").alias("safe_id"))
 
 
+_MAILDIR = "(list_has_any(list_slice(string_split(lower(logical_path), '/'), 1, len(string_split(logical_path, '/')) - 1), ['maildir','inbox','sent','sent_items','_sent_mail','deleted_items','discussion_threads','all_documents']) and regexp_matches(regexp_extract(lower(logical_path), '([^/]*)$', 1), '^[^.]*$|^\\.[^.]*$|\\.$'))"
+
+
+@register(f"select artifact_id, 'context' as mode from source_artifacts where regexp_matches(lower(logical_path), '\\.(docx|doc|rtf|pdf)$') or {_MAILDIR} union all select artifact_id, 'pdf' from source_artifacts where regexp_matches(lower(logical_path), '\\.(docx|doc|rtf|odt)$')")
+def mode_filter(s, d):
+    a = table(s, d, "source_artifacts")
+    both = [registry.mode_filter(a, m).select("artifact_id", F.lit(m).alias("mode")) for m in ("context", "pdf")]
+    return both[0].unionByName(both[1])
+
+
+@register("select artifact_id, created_utc, coalesce(try_cast(run_id as bigint), -1) as run_no from search_context_document")
+def cast_with_default(s, d):
+    """Runs that are written in several ways, as numbers."""
+    return table(s, d, "search_context_document").select("artifact_id", "created_utc", T.cast_or("run_id", "bigint", -1).alias("run_no"))
+
+
+@register("select run_id, (date '1970-01-01' + (started_utc // 86400)::int)::varchar as started_on, finished_utc - started_utc as seconds, files_converted as n_converted, greatest(files_converted, files_skipped, files_failed) as most from runs")
+def run_times(s, d):
+    n = F.create_map(*(x for k in ("converted", "skipped", "failed") for x in (F.lit(k), F.col(f"files_{k}"))))
+    r = table(s, d, "runs").withColumn("counts", n)
+    return r.select("run_id", T.day("started_utc").cast("string").alias("started_on"), (F.col("finished_utc") - F.col("started_utc")).alias("seconds"), F.col("counts")["converted"].alias("n_converted"), F.array_max(F.map_values("counts")).alias("most"))
+
+
 # Index
 
 
@@ -205,6 +232,17 @@ def file_type_filter(s, d):
     return lexical.candidates(titles(s, d), index(s, d), allowed=[".PDF", "docx "]).select("query_id", "chunk_key")
 
 
+@register(f"with {_CAND}, k as (select query_id, coalesce(lower(regexp_extract(logical_path, '\\.([^./]+)$', 1)) in ('pdf', 'docx'), false) as yes from cand join ch using (chunk_key)) select query_id, count(*) filter (yes) as candidate_count, count(*) filter (not yes) as filtered_out_by_file_type from k group by 1")
+def file_type_rejected(s, d):
+    ix = index(s, d)
+    return lexical.filter_counts(lexical.candidates(titles(s, d), ix), ix, [".PDF", "docx "])
+
+
+@register(f"with {_CH} select chunk_key, source_path from ch where contains(source_path, '/contracts/')")
+def source_filter(s, d):
+    return registry.from_sources(chunks(s, d), "/contracts/").select("chunk_key", "source_path")
+
+
 # Queries
 
 
@@ -283,13 +321,19 @@ def source_diversity(s, d):
     return x.select("query_id", "chunk_key", "source_occurrence", F.round("diversity_score", 6).alias("diversity_score"), "rank")
 
 
-@register(f"with {_DIV} select query_id, nr as final_rank, chunk_key, chunk_id, logical_path, chunk_index, score, occ as source_occurrence, w::double as diversity_weight, round(ds, 6)::double as diversity_score, array_to_string(mt, ',') as matched_terms from dr where nr <= 10")
-def retrieval_trace(s, d):
-    x = ranking.source_diversity(ranking.score_gap(ranking.bm25(_candidates(s, d), 100))).where(F.col("rank") <= 10)
-    return ranking.trace(x).withColumn("diversity_score", F.round("diversity_score", 6))
+def _mmr_sql(most: int = 5) -> str:
+    """The greedy choice, one step after the other: what was chosen so far, how near the others are to it, the best of them."""
+    words = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+')))"
+    sql = f"""{_GAP}, m0 as (select query_id, chunk_key, logical_path, rank, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as rel, {words} as words from gap where rank <= 100),
+p1 as (select *, 1 as pos, 0.5::double * rel - 0.5::double * 0.0::double as val from m0 qualify row_number() over (partition by query_id order by rank) = 1)"""
+    for i in range(2, most + 1):
+        sql += f""", n{i - 1} as (select m.query_id, m.chunk_key, case when len(m.words) = 0 or len(c.words) = 0 then 0.0 else len(list_intersect(m.words, c.words)) / len(list_distinct(list_concat(m.words, c.words))) end::double as near, m.logical_path = c.logical_path as same from m0 m join p{i - 1} c using (query_id) where m.chunk_key <> c.chunk_key),
+g{i} as (select query_id, chunk_key, max(near) as near, bool_or(same) as same, count(*) as k from ({" union all ".join(f"select * from n{j}" for j in range(1, i))}) group by 1, 2),
+p{i} as (select m0.*, {i} as pos, 0.5::double * rel - 0.5::double * near - case when same then 0.2::double else 0.0::double end as val from m0 join g{i} using (query_id, chunk_key) where k = {i - 1} and near < 0.85 qualify row_number() over (partition by query_id order by val desc, rank) = 1)"""
+    return sql
 
 
-@register()
+@register(f"with {_mmr_sql()} {' union all '.join(f'select query_id, chunk_key, pos as rank, round(val, 6) as mmr_score from p{i}' for i in range(1, 6))}")
 def mmr_rerank(s, d):
     x = ranking.mmr(lexical.add_text(ranking.score_gap(ranking.bm25(_candidates(s, d), 100)), index(s, d)))
     return x.withColumn("mmr_score", F.round("mmr_score", 6))
@@ -317,9 +361,9 @@ def variant_merge(s, d):
     return _merged(s, d).select("query_id", "chunk_key", F.round("score", 6).alias("score"), "variant_ord", "rank")
 
 
-@register(f"with {_MERGE} select variant_ord, count(*) as n_rows, count(distinct query_id) as n_queries from best group by 1")
+@register(f"with {_MERGE}, mr as (select *, row_number() over (partition by query_id order by score desc, seen, chunk_key) as nr from best) select query_id, variant_ord, count(*) as n_rows, max(nr = 1) as top_hit from mr group by all")
 def variant_summary(s, d):
-    return _merged(s, d).groupBy("variant_ord").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("query_id").alias("n_queries"))
+    return ranking.variant_summary(_merged(s, d))
 
 
 # Vectors
@@ -358,23 +402,45 @@ def vector_topk(s, d):
 _COS = "round(list_dot_product(list_transform({0}, lambda x: x::double), list_transform({1}, lambda x: x::double)) / (sqrt(list_dot_product(list_transform({0}, lambda x: x::double), list_transform({0}, lambda x: x::double))) * sqrt(list_dot_product(list_transform({1}, lambda x: x::double), list_transform({1}, lambda x: x::double)))), 6)"
 
 
-@register(f"""with {_BM25}, {_EM}, lx as (select query_id, chunk_key, logical_path, chunk_index, rank, score from rk where rank <= 100),
+_FUSED = f"""{_BM25}, {_EM}, lx as (select query_id, chunk_key, logical_path, chunk_index, rank, score from rk where rank <= 100),
 fv as (select query_id, vector as v from lx join ev using (chunk_key) qualify row_number() over (partition by query_id order by rank) = 1),
 vx as (select query_id, chunk_key, row_number() over (partition by query_id order by score desc, chunk_key) as rank, score from (select query_id, chunk_key, {_COS.format("vector", "v")} as score from ev join fv on len(v) = len(vector)) qualify rank <= 50),
-j as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_key, b.chunk_key) as chunk_key, a.score as ls, b.score as vs from lx a full join vx b on a.query_id = b.query_id and a.chunk_key = b.chunk_key),
-jc as (select j.*, ch.logical_path, ch.chunk_index from j join ch using (chunk_key)),
+j as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_key, b.chunk_key) as chunk_key, a.score as ls, b.score as vs, a.rank as lr, b.rank as vr from lx a full join vx b on a.query_id = b.query_id and a.chunk_key = b.chunk_key),
+jc as (select j.*, ch.logical_path, ch.chunk_index, ch.chunk_id from j join ch using (chunk_key)),
 bounds as (select query_id, min(ls) as ll, max(ls) as lh, min(vs) as vl, max(vs) as vh from jc group by 1),
-o as (select query_id, chunk_key, logical_path, chunk_index, case when vs is null then 'lexical_only' when ls is null then 'vector_only' else 'both' end as match_origin,
- round(0.7 * case when lh > ll then (coalesce(ls, 0) - ll) / (lh - ll) else 0 end + 0.3 * case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end, 6) as fusion_score from jc join bounds using (query_id) where ls is not null or vs >= 0.6)
-select query_id, chunk_key, match_origin, fusion_score, row_number() over (partition by query_id order by fusion_score desc, logical_path desc, chunk_index desc, chunk_key) as rank from o""")
+sn as (select jc.*, case when lh > ll then (coalesce(ls, 0) - ll) / (lh - ll) else 0 end::double as ln, case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end::double as vn from jc join bounds using (query_id) where ls is not null or vs >= 0.6),
+o as (select *, case when vs is null then 'lexical_only' when ls is null then 'vector_only' else 'both' end as match_origin,
+ round(0.7 * ln + 0.3 * vn, 6) as fusion_score from sn),
+fu as (select *, row_number() over (partition by query_id order by fusion_score desc, logical_path desc, chunk_index desc, chunk_key) as rank from o)"""
+
+
+def _fused(s, d):
+    lex = materialise(ranking.bm25(_candidates(s, d), 100), "lexical")
+    v = materialise(_vectors(s, d), "vectors")
+    near = vector.top_k(retrieval.feedback(lex, v), v, 50).join(index(s, d).chunks.select("chunk_key", "logical_path", "chunk_index"), "chunk_key")
+    return ranking.fuse(lex, near)
+
+
+@register(f"with {_FUSED} select query_id, chunk_key, match_origin, fusion_score, rank from fu")
 def hybrid_fusion(s, d):
     """BM25 of the titles fused with vectors. As the titles have no vector here, each asks with that of its first chunk
     that has one (feedback from the lexical list)."""
-    lex = materialise(ranking.bm25(_candidates(s, d), 100), "lexical")
-    v = materialise(_vectors(s, d), "vectors")
-    asked = retrieval.feedback(lex, v)
-    near = vector.top_k(asked, v, 50).join(index(s, d).chunks.select("chunk_key", "logical_path", "chunk_index"), "chunk_key")
-    return ranking.fuse(lex, near).select("query_id", "chunk_key", "match_origin", "fusion_score", "rank")
+    return _fused(s, d).select("query_id", "chunk_key", "match_origin", "fusion_score", "rank")
+
+
+_TRACE = f"""{_FUSED}, fd as (select *, row_number() over (partition by query_id, logical_path order by rank) as occ from fu where rank <= 20),
+fw as (select *, case occ when 1 then 1.0 when 2 then 0.92 else 0.80 end::double as w from fd), ft2 as (select *, fusion_score * w as ds, row_number() over (partition by query_id order by fusion_score * w desc, rank) as nr from fw)"""
+
+
+@register(f"""with {_TRACE} select ft2.query_id, nr as final_rank, chunk_key, logical_path, chunk_index, chunk_id, lr as lexical_rank_before_fusion, vr as vector_rank_before_fusion, lr is not null as present_in_lexical, vr is not null as present_in_vector,
+lr is not null as seen_in_lexical, vr is not null as seen_in_vector, match_origin, ls as lexical_score, vs as vector_score, round(ln, 6) as lexical_score_normalized, round(vn, 6) as vector_score_normalized, fusion_score as fusion_score_pre_doc_boost, fusion_score as fusion_score_post_doc_boost,
+fusion_score as pre_diversity_score, round(ds, 6) as final_score_after_diversity, round(ds, 6) as final_score, fusion_score as raw_score, 1.0::double as expansion_weight, q.query_text as matched_query, 'original' as query_variant_kind, w as source_diversity_weight, max(occ) over (partition by ft2.query_id, logical_path) as source_occurrence_count from ft2 join q using (query_id)""")
+def retrieval_trace(s, d):
+    """Fused results after the diversity of sources, with everything that led to their places."""
+    x = _fused(s, d).where(F.col("rank") <= 20).withColumn("score", F.col("fusion_score"))
+    x = x.join(index(s, d).chunks.select("chunk_key", "chunk_id"), "chunk_key").join(titles(s, d), "query_id")
+    t = ranking.full_trace(ranking.source_diversity(x).withColumns({"weight": F.lit(1.0), "variant_kind": F.lit("original")}))
+    return t.withColumns({c: F.round(c, 6) for c in ("lexical_score_normalized", "vector_score_normalized", "final_score_after_diversity", "final_score")})
 
 
 @register(f"with {_EM}, {_CH}, a as (select distinct chunk_key from ch), b as (select chunk_key from ev) select count(a.chunk_key) as chunk_count, count(b.chunk_key) as embedding_count, count(*) filter (a.chunk_key is not null and b.chunk_key is not null) as covered, count(*) filter (b.chunk_key is null) as missing, count(*) filter (a.chunk_key is null) as orphaned, round(100.0 * count(*) filter (a.chunk_key is not null and b.chunk_key is not null) / count(a.chunk_key), 6)::double as coverage_pct from a full join b on a.chunk_key = b.chunk_key")
@@ -529,12 +595,55 @@ def redaction_candidate_artifacts(s, d):
     return registry.candidate_artifacts(table(s, d, "source_artifacts"), _overrides(s, d), _registry(s, d))
 
 
+@register(f"""with {_TRUTH}, disk as (select logical_path, sha256, 'disk/' || artifact_id || '.json' as p from sa where artifact_id % 2 = 0 union all select logical_path, 'other', 'disk/a' || artifact_id || '.json' from sa where artifact_id % 3 = 0),
+de as (select logical_path, sha256, min(p) as dep from disk group by all), dp as (select logical_path, min(p) as dpp from disk group by all)
+select tr.artifact_id, case when origin <> 'none' then origin when dep is not null then 'disk_exact' when dpp is not null then 'disk_path' else 'none' end as origin, coalesce(truth_path, dep, dpp) as truth_path from tr join sa using (artifact_id) left join de on de.logical_path = sa.logical_path and de.sha256 = sa.sha256 left join dp on dp.logical_path = sa.logical_path""")
+def truth_with_disk(s, d):
+    a = table(s, d, "source_artifacts")
+    of = lambda k, h, folder: a.where(F.col("artifact_id") % k == 0).select(F.col("logical_path").alias("source_path"), h.alias("source_hash"), F.concat(F.lit(folder), F.col("artifact_id").cast("string"), F.lit(".json")).alias("artifact_path"))
+    return registry.active_truth(a, _overrides(s, d), _registry(s, d), of(2, F.col("sha256"), "disk/").unionByName(of(3, F.lit("other"), "disk/a")))
+
+
+@register("""with n as (select max(run_id) + 1 as id from runs), c as (select count(*) as found, count(*) filter (lower(source_type) in ('docx', 'doc', 'rtf')) as fit from source_artifacts)
+select run_id, started_utc, finished_utc, source_root, status, files_discovered, files_eligible, files_converted, files_skipped, files_failed, notes from runs union all select id, 1800000000, 1800000600, '/corpus', case when fit > 100 then 'FAILED' else 'SUCCESS' end, found, fit, fit - 3, 0, 3, 'three failed' from n, c""")
+def run_lifecycle(s, d):
+    """A run over all artifacts: created, then finalised."""
+    a = table(s, d, "source_artifacts")
+    found, fit = a.agg(F.count(F.lit(1)), F.count_if(F.lower("source_type").isin("docx", "doc", "rtf"))).first()
+    runs, run_id = lifecycle.create_run(table(s, d, "runs"), "/corpus", found, fit, 1_800_000_000)
+    return lifecycle.finalize_run(runs, run_id, fit - 3, 3, 1_800_000_600, "FAILED" if fit > 100 else "SUCCESS", "three failed")
+
+
+@register(f"""with {_REG}, cp as (select artifact_id, case when exists (select 1 from reg where source_path = logical_path and source_hash = sha256) then 'skip' else 'convert' end as action, case when sha256 is null then 'missing_source_hash' when exists (select 1 from reg where source_path = logical_path and source_hash = sha256) then 'unchanged_already_converted' else 'new_or_changed' end as reason, sha256 from sa)
+select 99::bigint as run_id, artifact_id, case when artifact_id % 5 = 0 then 'earlier' else action end as decision_type, case when artifact_id % 5 = 0 then 'earlier' else reason end as reason, case when artifact_id % 5 = 0 then null else sha256 end as source_hash, case when artifact_id % 5 = 0 then 1 else 2 end::bigint as created_utc from cp""")
+def conversion_decisions(s, d):
+    """Decisions of a run that was interrupted after a fifth of them, appended once."""
+    a = table(s, d, "source_artifacts")
+    new = lifecycle.decisions(registry.conversion_plan(a, _registry(s, d)), a, 99, 2)
+    had = a.where(F.col("artifact_id") % 5 == 0).select(F.lit(99).cast("long").alias("run_id"), "artifact_id", F.lit("earlier").alias("decision_type"), F.lit("earlier").alias("reason"), F.lit(None).cast("string").alias("source_hash"), F.lit(1).cast("long").alias("created_utc"))
+    return lifecycle.append_once(had, new, ["run_id", "artifact_id"])
+
+
+@register("select artifact_id, 99::bigint as run_id, case when artifact_id % 10 <> 3 then regexp_replace(regexp_extract(logical_path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') || '__' || substr(sha256(logical_path), 1, 12) || '.pdf' end as output_pdf_path, 'office' as converter_used, case when artifact_id % 10 = 3 then 'FAILED' else 'SUCCESS' end as conversion_status, case when artifact_id % 10 = 3 then 'timeout' end as error_message, 5::bigint as created_utc from source_artifacts where lower(source_type) in ('docx', 'doc', 'rtf')")
+def conversion_receipts(s, d):
+    done = registry.convertible(table(s, d, "source_artifacts")).select("artifact_id", "logical_path", F.when(F.col("artifact_id") % 10 == 3, "timeout").alias("error_message"))
+    return lifecycle.receipts(done, 99, "office", 5)
+
+
+@register("select run_id, count(*) as n, 'candidate' as kind from (select first_seen_run_id as run_id, artifact_id from source_artifacts where is_active = 1 and first_seen_run_id is not null) group by 1 union all select run_id, 0, 'plain' from runs where status = 'SUCCESS'")
+def candidate_fallback(s, d):
+    """Candidates where there are some, else the plain list: once each way."""
+    a = table(s, d, "source_artifacts").where((F.col("is_active") == 1) & F.col("first_seen_run_id").isNotNull()).groupBy(F.col("first_seen_run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("candidate"))
+    plain = table(s, d, "runs").where("status = 'SUCCESS'").select("run_id", F.lit(0).cast("long").alias("n"), F.lit("plain").alias("kind"))
+    return lifecycle.or_else(a, plain).unionByName(lifecycle.or_else(a.where("n < 0"), plain))
+
+
 @register("select run_id, status, files_converted, files_failed, files_skipped, case when finished_utc is null then 'RUNNING' when files_failed = 0 then 'SUCCESS' else 'FAILED' end as derived_status from runs")
 def run_counters(s, d):
     return registry.run_counters(table(s, d, "runs"))
 
 
-@register()
+@register("select run_id, json_merge_patch('{}', to_json({files_converted: files_converted, files_discovered: files_discovered, files_eligible: files_eligible, files_failed: files_failed, files_skipped: files_skipped, finished_utc: finished_utc, notes: notes, run_id: run_id, source_root: source_root, started_utc: started_utc, status: status}))::varchar as manifest from runs")
 def run_manifest(s, d):
     return files.manifest(table(s, d, "runs"))
 
@@ -662,17 +771,63 @@ def plan_history(s, d):
     return redaction.plan_history(_plans(s, d), _suggestions(s, d), _approvals(s, d), done)
 
 
+@register(f"""with {_PLANS}, rq2 as (select plan_id, plan_id % 17 as approved_utc from pn union all select plan_id, 20 from pn where plan_id % 3 = 0 union all select 99999, 1),
+rs2 as (select r.plan_id, r.approved_utc, case when pn.plan_id is null then 'plan_not_found' when status <> 'PLANNED' then 'plan_not_planned' when ap0.plan_id is not null or row_number() over (partition by r.plan_id order by r.approved_utc) > 1 then 'already_approved' else 'RECORDED' end as status from rq2 r left join pn using (plan_id) left join ap0 using (plan_id)),
+nn as (select plan_id, row_number() over (order by plan_id) + (select max(approval_id) from ap0) as id from rs2 where status = 'RECORDED')
+select rs2.plan_id, status, case when status = 'RECORDED' then id end as approval_id, approved_utc from rs2 left join nn using (plan_id)""")
+def approval_record(s, d):
+    p = _plans(s, d)
+    r = p.select("plan_id", (F.col("plan_id") % 17).alias("approved_utc"))
+    again = p.where(F.col("plan_id") % 3 == 0).select("plan_id", F.lit(20).cast("long").alias("approved_utc"))
+    unknown = s.createDataFrame([(99999, 1)], "plan_id long, approved_utc long")
+    return lifecycle.approve(p, _approvals(s, d), r.unionByName(again).unionByName(unknown))
+
+
+_COMMIT = f"""{_APPLY}, {_PLANS}, rc as (select artifact_id, (artifact_id % 48 + 1) * 10 as plan_id, case when artifact_id % 11 = 0 then 7 when artifact_id % 13 = 0 then ((artifact_id + 1) % 48 + 1) * 1000 else (artifact_id % 48 + 1) * 1000 end as approval_id from dc),
+er as (select rc.artifact_id, rc.plan_id, profile, case when a.plan_id is null then 'approval_not_found' when a.plan_id <> rc.plan_id then 'approval_of_other_plan' when pn.status is distinct from 'PLANNED' then 'plan_not_planned' when rc.artifact_id not in (select artifact_id from pl) then 'artifact_not_in_plan' when redacted_text is null then 'no_text' end as error, redacted_text from rc left join ap0 a using (approval_id) left join pn on pn.plan_id = rc.plan_id left join done using (artifact_id)),
+co as (select artifact_id, plan_id, case when error is null then 'COMPLETE' else 'FAILED' end as status, coalesce(error, '') as error, case when error is null then 5000 + row_number() over (partition by error is null order by artifact_id) end as redacted_artifact_id, case when error is null then 'artifact_' || artifact_id || '.plan_' || plan_id || '.' || profile || '.redacted.json' end as artifact_path, case when error is null then sha256(redacted_text) end as artifact_hash, 1800000000::bigint as created_utc from er)"""
+
+
+def _commits(s, d):
+    x, planned = documents(s, d), materialise(_plan(s, d), "plan")
+    n = F.col("artifact_id") % 48 + 1
+    approval = F.when(F.col("artifact_id") % 11 == 0, 7).when(F.col("artifact_id") % 13 == 0, ((F.col("artifact_id") + 1) % 48 + 1) * 1000).otherwise(n * 1000)
+    r = x.select("artifact_id", (n * 10).alias("plan_id"), approval.cast("long").alias("approval_id"), F.lit(1_800_000_000).cast("long").alias("created_utc"))
+    return lifecycle.commit(redaction.apply(x, planned), _plans(s, d), _approvals(s, d), planned.select((n * 10).alias("plan_id"), "artifact_id"), r, 5000)
+
+
+@register(f"with recursive {_COMMIT} select * from co")
+def redaction_commit(s, d):
+    """All documents of the plans in one batch: commits, and what stopped the others."""
+    return _commits(s, d)
+
+
+@register(f"with recursive {_COMMIT}, {_ART}, u as (select artifact_id, artifact_id * 10 as redacted_artifact_id, 'identity_contact' as profile, coalesce(modified_utc, 0) as created_utc from sa where artifact_id % 9 = 0 union all select artifact_id, redacted_artifact_id, 'identity_contact', created_utc from co where status = 'COMPLETE') select * from u qualify row_number() over (partition by artifact_id order by created_utc desc, redacted_artifact_id desc) = 1")
+def commit_overrides(s, d):
+    """What is the truth of each artifact after the batch."""
+    return registry.override_upsert(_overrides(s, d).drop("override_path"), lifecycle.overrides_of(_commits(s, d), "identity_contact"))
+
+
+@register(f"with recursive {_COMMIT} select plan_id, count(*) as n_requests, count(*) filter (status = 'COMPLETE') as n_complete, count(*) filter (status = 'FAILED') as n_failed, case when count(*) filter (status = 'FAILED') > 0 then 'PARTIAL' else 'COMPLETE' end as status from co group by 1")
+def batch_commit(s, d):
+    c = _commits(s, d)
+    failed = F.count_if(F.col("status") == "FAILED")
+    return c.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_requests"), F.count_if(F.col("status") == "COMPLETE").alias("n_complete"), failed.alias("n_failed"), F.when(failed > 0, "PARTIAL").otherwise("COMPLETE").alias("status"))
+
+
 # Statistics
 
 _BLANK = "not regexp_matches(coalesce({}, ''), '[^ \\t\\n\\x0B\\f\\r]')"
 
 
 @register(f"""with {_EM}, d as (select distinct artifact_id, text_content, title from search_context_document), dn as (select artifact_id, min(case when run_id is null then 0 else 1 end) as r from search_context_document group by 1), {_CH},
-dd as (select count(*) as document_count, count(distinct artifact_id) as distinct_documents, count(*) filter ({_BLANK.format('text_content')}) as blank_documents, count(*) filter (title is null) as documents_without_title, coalesce(sum(length(text_content)), 0)::bigint as document_chars from d),
+dd as (select count(*) as document_count, count(distinct artifact_id) as distinct_documents, count(*) filter ({_BLANK.format('text_content')}) as blank_documents, count(*) filter (title is null) as documents_without_title, coalesce(sum(length(text_content)), 0)::bigint as document_chars from d), rn as (select count(*) filter (r = 0) as documents_without_run from dn),
 cc as (select count(*) as chunk_count, count(distinct chunk_id) as distinct_chunk_ids, count(*) filter ({_BLANK.format('text')}) as blank_chunks, count(*) filter (text_hash is null or text_hash = '') as chunks_without_hash, count(distinct artifact_id) as documents_with_chunks, min(length(text))::int as min_chars, max(length(text))::int as max_chars, round(avg(length(text)), 6) as mean_chars, min(coalesce(token_count, round_even(length(text) / 4, 0)::bigint)) as min_tokens, max(coalesce(token_count, round_even(length(text) / 4, 0)::bigint)) as max_tokens, round(avg(coalesce(token_count, round_even(length(text) / 4, 0)::bigint)), 6) as mean_tokens from ch),
-vv as (select count(*) as embedding_count, count(distinct chunk_key) as embedded_chunks from ev) select * from dd, cc, vv""")
+vv as (select count(*) as embedding_count, count(distinct chunk_key) as embedded_chunks from ev) select * from dd, rn, cc, vv""")
 def corpus_stats(s, d):
-    return stats.corpus(documents(s, d), chunks(s, d), _vectors(s, d)).drop("documents_without_run")
+    # A document that comes with and without a run counts as one without.
+    x = table(s, d, "search_context_document").groupBy("artifact_id").agg(F.first("text_content").alias("text_content"), F.first("title").alias("title"), F.when(F.count("run_id") == F.count(F.lit(1)), "all").alias("run_id"))
+    return stats.corpus(x, chunks(s, d), _vectors(s, d))
 
 
 @register(f"with {_CH}, v as (select 'n_chars' as metric, length(text) as v from ch union all select 'token_count', token_count from ch where token_count is not null), r as (select *, row_number() over (partition by metric order by v) - 1 as i, count(*) over (partition by metric) as n from v) select metric, n, p::double as p, v as value from r, (select unnest([0.0, 0.5, 0.95, 1.0]) as p) where i = round_even((n - 1) * p, 0)")
@@ -686,6 +841,11 @@ def duplicate_chunk_ids(s, d):
     return stats.duplicates(table(s, d, "search_context_chunk"), "chunk_id")
 
 
+@register("with x as (select chunk_id, count(*) as n from search_context_chunk group by 1 having count(*) > 1) select count(*) as duplicate_keys, coalesce(sum(n - 1), 0)::bigint as excess, (select array_to_string(list(chunk_id order by chunk_id), '|') from (select chunk_id from x order by chunk_id limit 25)) as examples from x")
+def duplicate_summary(s, d):
+    return stats.duplicate_summary(table(s, d, "search_context_chunk"), "chunk_id").withColumn("examples", F.array_join("examples", "|"))
+
+
 @register("select 'search_context_chunk' as dataset, count(*) as n_rows from search_context_chunk union all select 'search_context_document', count(*) from search_context_document union all select 'embedding_vector_batch', count(*) from embedding_vector_batch")
 def dataset_summary(s, d):
     return stats.dataset_summary({n: table(s, d, n) for n in ("search_context_chunk", "search_context_document", "embedding_vector_batch")})
@@ -740,6 +900,13 @@ def eval_compare(s, d):
     return evaluation.compare(_metrics(s, d, ranking.overlap), _metrics(s, d, ranking.bm25))
 
 
+@register(f"with {_EVAL} b0 as (select query_id, list(distinct logical_path) as l from ov50 group by 1), a0 as (select query_id, list(distinct logical_path) as l from rk where rank <= 50 group by 1) select query_id, array_to_string(list_sort(list_filter(coalesce(a0.l, []), lambda x: not list_contains(coalesce(b0.l, []), x))), '|') as added, array_to_string(list_sort(list_filter(coalesce(b0.l, []), lambda x: not list_contains(coalesce(a0.l, []), x))), '|') as removed from b0 full join a0 using (query_id)")
+def eval_source_changes(s, d):
+    c = _candidates(s, d)
+    a, b = (r(c, 50).select("query_id", F.col("logical_path").alias("source")) for r in (ranking.overlap, ranking.bm25))
+    return evaluation.source_changes(a, b).select("query_id", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"))
+
+
 @register(f"with {_CH} select chunk_key as query_id, contains(lower(text), 'invoice')::int + contains(lower(text), 'contract')::int as good_hits, contains(lower(text), 'confidential')::int as bad_hits from ch")
 def pattern_hits(s, d):
     return evaluation.pattern_hits(chunks(s, d).select(F.col("chunk_key").alias("query_id"), "text"), ("invoice", "contract"), ("confidential",))
@@ -750,44 +917,87 @@ def eval_report(s, d):
     return evaluation.report(_metrics(s, d, ranking.bm25))
 
 
-# Files: the tables themselves are the files
-
-
-@register()
+# Files: a folder of small ones, made of the tables that don't grow
+
+_EXT = "case n_nationkey % 5 when 0 then 'docx' when 1 then 'PDF' when 2 then 'txt' when 3 then 'rtf' else '' end"
+_FILES = f"fs as (select n_nationkey, r_name || '/' || n_name || case when n_nationkey % 5 = 4 then '.' else '.' || {_EXT} end as logical_path, lower({_EXT}) as source_type, repeat(n_name || chr(10), n_nationkey::int + 1) as body from nation join region on n_regionkey = r_regionkey)"
+
+
+def _folder(s, d) -> str:
+    """A file for each nation below a folder for its region, an archive for each region, one archive that can't be read, a
+    query set; with times."""
+    at = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").orderBy("n_nationkey").collect()  # 25 rows
+    zips: dict[str, tuple[io.BytesIO, zipfile.ZipFile]] = {}
+    for r in n:
+        ext = ("docx", "PDF", "txt", "rtf", "")[r.n_nationkey % 5]
+        body = f"{r.n_name}\n".encode() * (r.n_nationkey + 1)
+        files.put(s, f"{at}/in/{r.r_name}/{r.n_name}.{ext}", body, 1_700_000_000 + r.n_nationkey * 60)
+        if r.r_name not in zips:
+            b = io.BytesIO()
+            zips[r.r_name] = b, zipfile.ZipFile(b, "w")
+        zips[r.r_name][1].writestr(f"sub/{r.n_name}.{ext or 'bin'}", body)
+    for name, (b, z) in zips.items():
+        z.close()
+        files.put(s, f"{at}/zip/{name}.zip", b.getvalue())
+    files.put(s, f"{at}/zip/broken.zip", b"no archive")
+    queries = [r.n_name if r.n_nationkey % 2 else {"query": r.n_name, **({"expected_sources": [f"{r.r_name}/{r.n_name}", "x"]} if r.n_nationkey % 4 else {})} for r in n]
+    files.put(s, f"{at}/set/queries.json", json.dumps({"dataset": "nations", "top_k": 7, "queries": queries}, indent=1).encode())
+    return at
+
+
+@register(f"with {_FILES} select logical_path, source_type, length(body) as size_bytes, sha256(body) as sha256, 1700000000 + n_nationkey * 60 as modified_utc from fs where source_type in ('docx', 'pdf', 'rtf', '')")
 def inventory_scan(s, d):
-    return files.inventory(s, d, ("parquet",)).drop("modified_utc")
+    return files.inventory(s, f"{_folder(s, d)}/in").select("logical_path", "source_type", "size_bytes", "sha256", "modified_utc")
 
 
-@register()
+@register(f"with {_FILES} select sha256(body) as source_hash, length(body) as size_bytes from fs where source_type in ('docx', 'pdf', 'rtf', '')")
 def fingerprint(s, d):
-    return files.fingerprints(files.inventory(s, d, ("parquet",)))
+    return files.fingerprints(files.inventory(s, f"{_folder(s, d)}/in")).select("source_hash", "size_bytes")
 
 
-@register("select container_path, count(*) as n_members, count(*) filter (contains(logical_path, '::')) as n_named_as_members from source_artifacts group by 1")
+@register(f"with {_FILES} select r_name || '.zip' as logical_path, 'zip' as source_type, null as sha256, 'archive' as origin from region union all select 'broken.zip', 'zip', null, 'archive' union all select split_part(logical_path, '/', 1) || '.zip::sub/' || split_part(logical_path, '/', 2), source_type, sha256(body), 'member' from fs where source_type in ('docx', 'rtf') union all select 'broken.zip', null, null, 'failed'")
 def expand_inventory(s, d):
-    """Archives of the artifact table: members by container, archives without any member apart."""
-    a = table(s, d, "source_artifacts")
-    return a.groupBy("container_path").agg(F.count(F.lit(1)).alias("n_members"), F.count_if(F.col("logical_path").contains("::")).alias("n_named_as_members"))
+    """Archives, their members, and the archive that can't be read."""
+    inv, failed = files.expanded(files.inventory(s, f"{_folder(s, d)}/zip", content=True))
+    member = F.col("container_path").isNotNull()
+    a = inv.select("logical_path", "source_type", F.when(member, F.col("sha256")).alias("sha256"), F.when(member, "member").otherwise("archive").alias("origin"))
+    return a.unionByName(failed.select("logical_path", F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("sha256"), F.lit("failed").alias("origin")))
 
 
-@register()
-def email_document(s, d):
-    """Header fields and body of mails, put together again."""
-    m = documents(s, d).where(F.col("producer_expert") == "EmailToSearchContextExpert")
-    head = F.substring_index("text_content", "\n\n", 1)
-    f = lambda n: F.regexp_extract(head, rf"(?m)^{n}: (.*)$", 1)
-    body = F.regexp_replace("text_content", r"(?s)^.*?\n\n", "")
-    return m.select("artifact_id", files.mail_text(f("Subject"), f("From"), f("To"), f("Date"), body).alias("text_content"))
+@register(f"with {_FILES} select logical_path from fs order by n_nationkey desc limit 10")
+def recent_artifacts(s, d):
+    x = files.recent(s, f"{_folder(s, d)}/in", "*", 10)
+    return x.select(F.regexp_extract("path", "/in/(.*)$", 1).alias("logical_path"))
 
 
-@register()
-def chunk_scan(s, d):
-    """Chunk collections as they are on disk, read back as rows."""
-    c = files.collections(chunks(s, d))
-    at = materialise(c, "collections")
-    return at.select("document_hash", "logical_path", F.inline("chunks"))
+@register("select 'nations' as dataset, 'hybrid' as ranker, 7 as top_k, n_nationkey::int as query_no, n_name as query_text, case when n_nationkey % 4 = 2 then r_name || '/' || n_name || '|x' else '' end as expected_sources from nation join region on n_regionkey = r_regionkey")
+def query_set(s, d):
+    return files.query_set(s, f"{_folder(s, d)}/set").withColumn("expected_sources", F.array_join("expected_sources", "|"))
 
 
-@register()
-def recent_artifacts(s, d):
-    return files.recent(s, d, "*.parquet", 25).select("path")
+_STRIP = "regexp_replace(regexp_replace({}, '^[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+', ''), '[ \\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+$', '')"
+_MAIL = "'Subject: ' || coalesce(trim(title), '') || chr(10) || 'From: ' || artifact_id || '@mail.example' || chr(10) || 'To: ' || chr(10) || 'Date: Mon, 03 Jun 2024 10:00:00 +0000' || chr(10) || chr(10) || text_content"
+
+
+@register(f"with {_DC} select artifact_id, 'COMPLETE' as status, md5({_STRIP.format(_MAIL)}) as digest, length({_STRIP.format(_MAIL)}) as n_chars from dc where producer_expert = 'EmailToSearchContextExpert' and length(text_content) > 0")
+def email_document(s, d):
+    """Mails in transfer form (encoded header words, body in base64, every third of several parts) read by the extractor."""
+    m = documents(s, d).where((F.col("producer_expert") == "EmailToSearchContextExpert") & (F.length("text_content") > 0))
+    coded = lambda c: F.base64(F.encode(c, "UTF-8"))
+    subject = F.when(F.trim("title") != "", F.concat(F.lit("Subject: =?utf-8?b?"), coded(F.trim("title")), F.lit("?=\r\n"))).otherwise("")
+    head = F.concat(subject, F.lit("From: "), F.col("artifact_id").cast("string"), F.lit("@mail.example\r\nDate: Mon, 03 Jun 2024 10:00:00 +0000\r\nMIME-Version: 1.0\r\n"))
+    part = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), coded("text_content"), F.lit("\r\n"))
+    several = F.concat(F.lit('Content-Type: multipart/mixed; boundary="=-=-="\r\n\r\n--=-=-=\r\n'), part, F.lit("\r\n--=-=-=\r\nContent-Type: application/octet-stream\r\n\r\nxyz\r\n--=-=-=--\r\n"))
+    raw = F.concat(head, F.when(F.col("artifact_id") % 3 == 0, several).otherwise(part))
+    x = files.extract(m.select("artifact_id", "logical_path", F.col("document_hash").alias("sha256"), F.lit("eml").alias("source_type"), F.encode(raw, "UTF-8").alias("content")))
+    return x.select("artifact_id", "status", F.md5("text_content").alias("digest"), F.length("text_content").alias("n_chars"))
+
+
+@register(f"with {_CH}, lp as (select document_hash, max(logical_path) as logical_path from ch group by 1) select document_hash, logical_path, chunk_index, chunk_id, md5(text) as digest, text_hash from ch join lp using (document_hash, logical_path)")
+def chunk_scan(s, d):
+    """Chunk collections written as JSON and read back as rows."""
+    at = f"{shared_dir(s)}/collections-{uuid.uuid4().hex}"
+    files.write_artifacts(files.collections(chunks(s, d)), at)
+    x = files.scan_collections(s, at)
+    return x.select("document_hash", "logical_path", "chunk_index", "chunk_id", F.md5("text").alias("digest"), "text_hash")

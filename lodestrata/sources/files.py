@@ -75,6 +75,41 @@ def expanded(inv: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inv.unionByName(ok, allowMissingColumns=True), m.where(F.col("expansion_status") != "OK").select("container_path", "logical_path", "error_message")
 
 
+def put(spark: SparkSession, path: str, data: bytes, modified: int | None = None) -> None:
+    """Write one small file with the file system of its path; ``modified`` in epoch seconds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+    if modified is not None:
+        fs.setTimes(p, modified * 1000, -1)
+
+
+_QUERY_SET = "dataset string, ranker string, top_k int, queries array<string>"
+
+
+def query_set(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, ranker, top_k, query_no, query_text, expected_sources) of query sets in JSON. An entry is a text or an object
+    with ``query`` and maybe ``expected_sources``; a set without ranker is hybrid with ten results."""
+    f = spark.read.text(path, wholetext=True).select(F.from_json("value", _QUERY_SET).alias("s"))
+    x = f.select(F.col("s.dataset").alias("dataset"), F.coalesce("s.ranker", F.lit("hybrid")).alias("ranker"), F.coalesce("s.top_k", F.lit(10)).alias("top_k"), F.posexplode("s.queries").alias("query_no", "entry"))
+    o = F.from_json("entry", "query string, expected_sources array<string>")
+    object_ = F.col("entry").startswith("{") & o["query"].isNotNull()
+    none = F.array().cast("array<string>")
+    return x.select("dataset", "ranker", "top_k", "query_no", F.when(object_, o["query"]).otherwise(F.col("entry")).alias("query_text"), F.when(object_, F.coalesce(o["expected_sources"], none)).otherwise(none).alias("expected_sources"))
+
+
+def documents_on_disk(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, source_hash, artifact_path) of documents in JSON; fields may stand at the top or below ``source``. Files
+    that can't be read and other artifacts are left out."""
+    schema = "artifact_type string, source_path string, document_hash string, source_hash string, source struct<source_path:string,source_hash:string>"
+    x = spark.read.schema(schema).option("multiLine", True).json(path)
+    filled = lambda *c: F.coalesce(*(F.nullif(F.col(y), F.lit("")) for y in c))
+    x = x.where(F.col("artifact_type") == "search_context_document")
+    return x.select(filled("source_path", "source.source_path").alias("source_path"), filled("document_hash", "source_hash", "source.source_hash").alias("source_hash"), F.col("_metadata.file_path").alias("artifact_path"))
+
+
 def mail_text(subject: Column, sender: Column, to: Column, date: Column, body: Column) -> Column:
     e = lambda c: F.coalesce(c, F.lit(""))
     t = F.concat(F.lit("Subject: "), e(subject), F.lit("\nFrom: "), e(sender), F.lit("\nTo: "), e(to), F.lit("\nDate: "), e(date), F.lit("\n\n"), e(body))
