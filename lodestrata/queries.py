@@ -252,16 +252,23 @@ def query_expansion(s, d):
     return q.select("query_id", "query_text", F.element_at(query.expand("query_text"), -1).alias("expanded"))
 
 
-@register(f"""with {_Q}, r as (select query_id, query_text, query_text || case (query_id % 4)::int when 0 then '' when 1 then ' overview' when 2 then ' 42' else ' Report' end as rw from q),
+@register(f"""with {_Q}, r as (select query_id, query_text, case (query_id % 8)::int when 1 then query_text || ' overview' when 2 then query_text || ' 42' when 3 then query_text || ' Report' when 4 then '   ' when 5 then query_text || repeat(' more', 40) when 6 then query_text || ' in summary' else query_text end as rw from q),
 a as (select *, list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9_]+')) as x, list_distinct(regexp_extract_all(lower(rw), '[a-z0-9_]+')) as y,
- concat_ws(',', case when query_id % 4 = 2 then 'added_numbers_not_in_original' end, case when query_id % 4 = 3 and not list_contains(regexp_extract_all(query_text, '[A-Z][a-zA-Z]+'), 'Report') then 'added_capitalized_terms_not_in_original' end) as reasons from r)
+ concat_ws(',', case when query_id % 8 = 7 then 'invalid_rewrite_status' end, case when query_id % 8 = 4 then 'empty_rewritten_query' end, case when length(rw) > 160 then 'rewritten_query_too_long' end, case when query_id % 16 = 8 then 'rewrite_rationale_too_long' end,
+ case when query_id % 8 = 2 then 'added_numbers_not_in_original' end, case when query_id % 8 = 3 and not list_contains(regexp_extract_all(query_text, '[A-Z][a-zA-Z]+'), 'Report') then 'added_capitalized_terms_not_in_original' end, case when query_id % 8 = 6 then 'answer_like_output' end) as reasons from r)
 select query_id, case when reasons <> '' then query_text else rw end as query_text, case when reasons <> '' then 'FALLBACK_ORIGINAL' else 'OK' end as rewrite_status, reasons <> '' as used_fallback, reasons as rejection_reasons,
  array_to_string(list_sort(case when reasons <> '' then x else list_intersect(x, y) end), ',') as preserved_terms,
  case when reasons <> '' then '' else array_to_string(list_sort(list_filter(y, lambda t: not list_contains(x, t))), ',') end as added_terms,
  case when reasons <> '' then '' else array_to_string(list_sort(list_filter(x, lambda t: not list_contains(y, t))), ',') end as removed_terms from a""")
 def rewrite_validate(s, d):
-    add = F.when(F.col("query_id") % 4 == 0, "").when(F.col("query_id") % 4 == 1, " overview").when(F.col("query_id") % 4 == 2, " 42").otherwise(" Report")
-    q = titles(s, d).select("query_id", F.col("query_text").alias("original_query"), F.concat("query_text", add).alias("rewritten_query"), F.lit("OK").alias("rewrite_status"), F.lit("").alias("rationale"))
+    """Rewrites of all titles, of eight kinds: good ones, and one for each guard."""
+    t, kind = F.col("query_text"), F.col("query_id") % 8
+    add = {1: " overview", 2: " 42", 3: " Report", 5: " more" * 40, 6: " in summary"}
+    rewritten = F.when(kind == 4, "   ")
+    for k, v in add.items():
+        rewritten = rewritten.when(kind == k, F.concat(t, F.lit(v)))
+    long = F.when(F.col("query_id") % 16 == 8, "r" * 161).otherwise("")
+    q = titles(s, d).select("query_id", t.alias("original_query"), rewritten.otherwise(t).alias("rewritten_query"), F.when(kind == 7, "DONE").otherwise("OK").alias("rewrite_status"), long.alias("rationale"))
     return query.check_rewrite(q)
 
 
@@ -321,10 +328,10 @@ def source_diversity(s, d):
     return x.select("query_id", "chunk_key", "source_occurrence", F.round("diversity_score", 6).alias("diversity_score"), "rank")
 
 
-def _mmr_sql(most: int = 5) -> str:
+def _mmr_sql(rows: str, most: int = 5) -> str:
     """The greedy choice, one step after the other: what was chosen so far, how near the others are to it, the best of them."""
     words = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]+')))"
-    sql = f"""{_GAP}, m0 as (select query_id, chunk_key, logical_path, rank, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as rel, {words} as words from gap where rank <= 100),
+    sql = f"""m0 as (select query_id, chunk_key, logical_path, rank, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0.0 end as rel, {words} as words from {rows} where rank <= 100),
 p1 as (select *, 1 as pos, 0.5::double * rel - 0.5::double * 0.0::double as val from m0 qualify row_number() over (partition by query_id order by rank) = 1)"""
     for i in range(2, most + 1):
         sql += f""", n{i - 1} as (select m.query_id, m.chunk_key, case when len(m.words) = 0 or len(c.words) = 0 then 0.0 else len(list_intersect(m.words, c.words)) / len(list_distinct(list_concat(m.words, c.words))) end::double as near, m.logical_path = c.logical_path as same from m0 m join p{i - 1} c using (query_id) where m.chunk_key <> c.chunk_key),
@@ -333,7 +340,7 @@ p{i} as (select m0.*, {i} as pos, 0.5::double * rel - 0.5::double * near - case
     return sql
 
 
-@register(f"with {_mmr_sql()} {' union all '.join(f'select query_id, chunk_key, pos as rank, round(val, 6) as mmr_score from p{i}' for i in range(1, 6))}")
+@register(f"with {_GAP}, {_mmr_sql('gap')} {' union all '.join(f'select query_id, chunk_key, pos as rank, round(val, 6) as mmr_score from p{i}' for i in range(1, 6))}")
 def mmr_rerank(s, d):
     x = ranking.mmr(lexical.add_text(ranking.score_gap(ranking.bm25(_candidates(s, d), 100)), index(s, d)))
     return x.withColumn("mmr_score", F.round("mmr_score", 6))
@@ -481,12 +488,52 @@ def context_excluded(s, d):
     return context.excluded(_top(s, d))
 
 
-@register()
+_LINES = "list_filter(list_transform(regexp_split_to_array(replace(text, chr(65279), ''), '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_SAID = ", ".join("case when " + " or ".join(f"contains(blob, '{t}')" for t in terms) + f" then '{said}' end" for terms, said in context.RULES)
+
+
+@register(f"""with {_CTX}, ai as (select *, row_number() over (partition by query_id order by rank) as b from t4 where verdict = 'included'),
+ev as (select query_id, b, lines, list_filter(lines, lambda x: list_has_any({_ix('x')}, {_ix('query_text')})) as hit from (select *, {_LINES} as lines from ai where b <= 2)),
+bl as (select query_id, lower(string_agg(array_to_string(case when len(hit) > 0 then hit[1:3] else lines[1:3] end, ' '), ' ' order by b)) as blob from ev group by 1),
+sr as (select query_id, count(*)::int as n, string_agg('- ' || logical_path || ' (chunk ' || chunk_index || ', score=' || score || ')', chr(10) order by rank) as l from ai group by 1)
+select query_id, coalesce(nullif(concat_ws(' ', {_SAID}), ''), '{context.OTHERWISE}') || chr(10) || chr(10) || 'Sources used:' || chr(10) || l as answer_text, n as source_count from bl join sr using (query_id)""")
 def answer_extract(s, d):
     return context.answer(context.assemble(_top(s, d)))
 
 
-@register()
+_Q_RISK = _Q.replace("query_text from (select", "query_text || case when ('0x' || substr(md5(query_text), 1, 15))::bigint % 2 = 0 then ' risk' else '' end as query_text from (select")
+
+
+def _pipeline_sql() -> str:
+    """Variants of each query ranked by BM25 over the query's candidates, merged; score gap, MMR, diversity, context."""
+    core = "sum(case when tf = 0 then 0.0 else ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) end)"
+    return f"""{_CAND.replace(_Q, _Q_RISK)},
+va as (select query_id, 0 as o, 'original' as kind, query_text as vt, 1.0::double as weight from q union all select query_id, 1, 'expansion', trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) || ' risk_management hedging', 0.75 from q where query_id % 2 = 0),
+hb as (select c.query_id, o, weight, vt, ch.*, {_bag('ch.text')} as bag, {_tok('vt')} as qt from cand c join va using (query_id) join ch using (chunk_key)),
+h as (select *, len(bag) as dl from hb where len(list_intersect(qt, bag)) > 0),
+ht as (select query_id, o, chunk_key, dl, term, len(list_filter(bag, lambda y: y = term)) as tf from (select *, unnest(qt) as term from h)),
+hs as (select query_id, o, count(*) as n, avg(dl) as avgdl from h group by all),
+hd as (select query_id, o, term, count(*) filter (tf > 0) as df from ht group by all),
+hc as (select query_id, o, chunk_key, {core} as core from ht join hs using (query_id, o) join hd using (query_id, o, term) group by all),
+hx as (select h.*, round(core + ({_INTENT}) + case when contains(lower(text), lower(trim(vt))) then 1.0 else 0.0 end, 6) as score from h join hc using (query_id, o, chunk_key)),
+hr as (select *, row_number() over (partition by query_id, o order by score desc, chunk_index, logical_path, chunk_key) as rank from hx where score > 0 qualify rank <= 100),
+hm as (select * replace (score * weight as score), min(o * 1000 + rank) over (partition by query_id, chunk_key) as seen from hr),
+ho as (select * from hm qualify row_number() over (partition by query_id, chunk_key order by score desc, o, rank) = 1),
+me as (select * replace (row_number() over (partition by query_id order by score desc, seen, chunk_key) as rank) from ho),
+mk as (select *, sum((score >= 0.35 * top)::int) over (partition by query_id) as nk from (select *, first_value(score) over (partition by query_id order by rank) as top from me)),
+gap as (select * from mk where case when nk < 3 then rank <= 3 else score >= 0.35 * top end),
+{_mmr_sql('gap')},
+pk as ({' union all '.join(f'select query_id, chunk_key, pos from p{i}' for i in range(1, 6))}),
+sd as (select g.query_id, g.chunk_key, g.logical_path, g.chunk_index, g.text, g.score, pos, case row_number() over (partition by query_id, logical_path order by pos) when 1 then 1.0 when 2 then 0.92 else 0.80 end::double * g.score as ds from gap g join pk using (query_id, chunk_key)),
+fr as (select *, row_number() over (partition by query_id order by ds desc, pos) as rank from sd),
+f1 as (select *, not regexp_matches(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]') as blank, '[SOURCE: ' || logical_path || ' | CHUNK: ' || chunk_index || ' | SCORE: ' || score || ']' || chr(10) || trim(text) || chr(10) as block from fr),
+f2 as (select *, coalesce(sum((not blank)::int) over (partition by query_id, logical_path order by rank rows between unbounded preceding and 1 preceding), 0) >= 1 as capped from f1),
+f3 as (select *, sum(case when not blank and not capped then length(block) + 2 else 0 end) over (partition by query_id order by rank) as total from f2),
+f4 as (select *, min(case when not blank and not capped and total > 6000 then rank end) over (partition by query_id) as stop from f3),
+cx as (select query_id, count(*)::int as n_sources, string_agg(block, chr(10) order by rank) as context_text from f4 where not blank and not capped and (stop is null or rank < stop) group by 1)"""
+
+
+@register(f"with {_pipeline_sql()} select query_id, query_text, context_text, n_sources, length(context_text)::int as context_chars from cx join q using (query_id)")
 def retrieve_end_to_end(s, d):
     """Titles as queries, with variants, score gap, both diversities and the context of each."""
     return retrieval.contexts(_variant_queries(s, d), index(s, d)).drop("sources")

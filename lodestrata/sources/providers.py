@@ -35,36 +35,95 @@ class HashEmbedder:
         return out
 
 
+def _post(url: str, body: dict, timeout: float) -> dict:
+    import json
+    import urllib.request
+
+    r = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(r, timeout=timeout) as f:
+        out = json.loads(f.read().decode())
+    if not isinstance(out, dict):
+        raise ValueError("the service gave no object")
+    return out
+
+
+def numeric(v: object) -> bool:
+    """Whether a vector of a service is a list of finite numbers and not empty."""
+    return isinstance(v, list) and bool(v) and all(isinstance(x, (int, float)) and not isinstance(x, bool) and np.isfinite(x) for x in v)
+
+
 class HttpEmbedder:
-    """A service that takes {"model", "input": [...]} and gives {"embeddings": [[...], ...]}, or one text at a time."""
+    """An embedding service, by the form of its address: ``/api/embed`` takes a batch as ``input`` and gives ``embeddings``;
+    ``/api/embeddings`` takes one text as ``prompt`` and gives ``embedding``; any other is asked for a batch, and text by
+    text where it doesn't give one vector for each."""
 
     def __init__(self, url: str, model: str, dim: int, timeout: float = 120.0):
         self.url, self.model, self.dim, self.timeout = url, model, dim, timeout
 
-    def _post(self, body: dict) -> dict:
-        import json
-        import urllib.request
+    def _batch(self, texts: list[str]) -> list:
+        return _post(self.url, {"model": self.model, "input": texts}, self.timeout).get("embeddings") or []
 
-        r = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(r, timeout=self.timeout) as f:
-            return json.load(f)
+    def _single(self, text: str, field: str = "input") -> list | None:
+        r = _post(self.url, {"model": self.model, field: text}, self.timeout)
+        return r["embedding"] if r.get("embedding") else (r.get("embeddings") or [None])[0]
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        if self.url.endswith("/embeddings"):
-            out = [self._post({"model": self.model, "prompt": t})["embedding"] for t in texts]
+        path = self.url.rstrip("/")
+        if path.endswith("/api/embeddings"):
+            out = [self._single(t, "prompt") for t in texts]
+        elif path.endswith("/api/embed"):
+            out = self._batch(texts)
         else:
-            out = self._post({"model": self.model, "input": texts})["embeddings"]
-        if len(out) != len(texts) or not all(v and all(isinstance(x, (int, float)) for x in v) for v in out):
-            raise ValueError("the service gave no vector for some text")
+            try:
+                out = self._batch(texts)
+            except Exception:
+                out = []
+            if len(out) != len(texts):
+                out = [self._single(t) for t in texts]
+        if len(out) != len(texts) or not all(map(numeric, out)):
+            raise ValueError("the service gave no vector of numbers for some text")
+        return out
+
+
+class HttpRewriter:
+    """A language model that rewrites one query as a JSON object; a call that fails raises, and ``rewrites`` falls back."""
+
+    def __init__(self, url: str, model: str, timeout: float = 30.0):
+        self.url, self.model, self.timeout = url, model, timeout
+
+    def prompt(self, text: str) -> str:
+        return (
+            "Turn the search request below into a short query for a document index. Answer with one JSON object and nothing else, with the fields "
+            'rewritten_query (at most 160 characters), rewrite_status ("OK") and rewrite_rationale (one short sentence). Keep the meaning; bring in no name, date, '
+            f"number or fact that the request lacks, and don't answer it. If it can't be improved, repeat it.\n\nRequest: {text}"
+        )
+
+    def __call__(self, text: str) -> dict:
+        import json
+
+        r = _post(self.url, {"model": self.model, "prompt": self.prompt(text), "stream": False, "format": "json", "options": {"temperature": 0}}, self.timeout).get("response")
+        if not isinstance(r, str) or not r.strip():
+            raise ValueError("empty_model_response")
+        out = json.loads(r)
+        if not isinstance(out, dict):
+            raise ValueError("model_output_not_object")
         return out
 
 
 def healthy(e: Embedder) -> bool:
+    """Whether the service gives exactly one vector of numbers for one text."""
     try:
         v = e(["ok"])
     except Exception:
         return False
-    return len(v) == 1 and len(v[0]) > 0
+    return len(v) == 1 and numeric(list(v[0]))
+
+
+def query_vector(text: str, e: Embedder) -> list[float]:
+    """The vector of one query, asked for by the driver."""
+    if not text.strip():
+        raise ValueError("a query to embed must not be empty")
+    return e([text.strip()])[0]
 
 
 def embed(chunks: DataFrame, embedder: Embedder, model: str, batch: int = 64) -> DataFrame:

@@ -1,5 +1,8 @@
+import http.server
+import json
 import os
 import random
+import threading
 import time
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 from lodestrata import shared
 from lodestrata.functions import text
 from lodestrata.operators import lexical, lifecycle, ranking, registry, vector
-from lodestrata.sources import files
+from lodestrata.sources import files, providers
 
 CHUNKS = "chunk_key long, logical_path string, source_path string, document_hash string, chunk_index int, chunk_id string, text string, tf int, shard string"
 
@@ -175,3 +178,57 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session)
+
+
+@pytest.fixture(scope="module")
+def service():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            vec = lambda x: [float(len(x)), 1.0]
+            if self.path == "/api/embed":
+                out = {"embeddings": [vec(x) for x in body["input"]]}
+            elif self.path == "/api/embeddings":
+                out = {"embedding": vec(body["prompt"])}
+            elif self.path == "/generic":
+                out = {"error": "one at a time"} if isinstance(body["input"], list) else {"embeddings": [vec(body["input"])]}
+            elif self.path == "/bad":
+                out = {"embeddings": [["x"] for _ in body["input"]]}
+            elif self.path == "/rewrite":
+                asked = body["prompt"].rpartition("Request: ")[2]
+                out = {"response": {"list": "[1]", "blank": " "}.get(asked, json.dumps({"rewritten_query": asked + " plan", "rewrite_status": "OK"}))}
+            data = json.dumps(out).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_embedding_services_of_three_kinds(service):
+    for path in ("/api/embed", "/api/embeddings", "/generic"):
+        e = providers.HttpEmbedder(service + path, "m", 2)
+        assert e(["a", "bcd"]) == [[1.0, 1.0], [3.0, 1.0]] and providers.healthy(e) and providers.query_vector(" ab ", e) == [2.0, 1.0]
+    bad = providers.HttpEmbedder(service + "/bad", "m", 2)
+    assert not providers.healthy(bad) and not providers.numeric([1, True]) and not providers.numeric([float("inf")]) and not providers.numeric([])
+    with pytest.raises(ValueError):
+        bad(["a"])
+    with pytest.raises(ValueError):
+        providers.query_vector("  ", bad)
+
+
+def test_rewrite_service(spark, service):
+    q = spark.createDataFrame([(1, "site"), (2, "list"), (3, "blank")], "query_id long, query_text string")
+    got = {r.query_id: (r.rewritten_query, r.rewrite_status) for r in providers.rewrites(q, providers.HttpRewriter(service + "/rewrite", "m")).collect()}
+    assert got == {1: ("site plan", "OK"), 2: ("list", "FALLBACK_ORIGINAL"), 3: ("blank", "FALLBACK_ORIGINAL")}
+
+
+def test_weights_of_variants(spark):
+    d = spark.createDataFrame([("original", "a b", "a b"), ("rewrite", "x", "a b"), ("expansion", "a b c", "a b"), ("expansion", "a c", "a b")], "k string, v string, q string")
+    assert [r[0] for r in d.select(ranking.variant_weight(*(d[c] for c in "kvq"))).collect()] == [1.0, 1.0, 0.75, 0.9]
