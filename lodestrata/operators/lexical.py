@@ -135,8 +135,7 @@ def hydrate(cand: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     frequencies ``tfs``, its length ``dl`` in words, ``intent_bonus``, and ``phrase``: whether it holds the whole query.
     Terms and frequencies come from the index, by term and chunk.
     """
-    cand = materialise(cand, "found")
-    terms = materialise(query_terms(queries).withColumn("shard", T.term_shard("term")), "query-terms")
+    terms = query_terms(queries).withColumn("shard", T.term_shard("term"))
     mine = index.postings.join(terms.select("shard", "term").distinct(), ["shard", "term"], "left_semi")
     hits = cand.join(terms, "query_id").join(mine, ["shard", "term", "chunk_key"]).groupBy("query_id", "chunk_key").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("hits"))
     of_chunk = index.chunks.select("chunk_key", "logical_path", "document_hash", "chunk_index", "chunk_id", F.lower("text").alias("low"), "dl", "intent_bonus")
