@@ -13,8 +13,8 @@ middle lies in its stretch of it.
   report says so. Whole texts are taken, so a share may be off by one text for each pattern.
 
 Scale: what reaches the driver is one row for each pattern (2,047 for the eleven targets at most; more than
-``MOST_PATTERNS`` are an error) and the targets. Positions come from sums over ``BUCKETS`` hash buckets of each pattern,
-so a source with most of the texts is spread over as many windows.
+``MOST_PATTERNS`` are an error) and the targets. The total follows from the min-cut of each set of sources, so the flow is
+solved once. Positions come from sums over hash buckets of each pattern, as many as leave about ``WINDOW`` texts in a window.
 
 Defined results: null, empty and repeated texts: null and empty texts aren't used, equal texts are one text, of which the
 least document id of each source stands for it. A null source has no target. Null or negative shares and repeats count
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ from . import encoding
 from .common import materialise
 
 MOST_PATTERNS = 100_000
-BUCKETS = 1024
+#: Texts in a window of running sums, on average, where a pattern has all of them.
+WINDOW = 8192
+#: Up to so many sums over sets of sources and patterns the total follows from all of them, beyond it from a search.
+MOST_SUMS = 200_000_000
 
 
 class Flow:
@@ -79,6 +83,28 @@ class Flow:
             total += push
 
 
+def greatest_total(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]]) -> int:
+    """The largest total at which every source reaches its quota. By max-flow and min-cut the quotas of each set of sources
+    must not exceed what the patterns can give to that set."""
+    names = sorted(targets)
+    share = np.array([targets[s][0] for s in names])
+    weight = sum(targets[s][0] for s in names)
+    repeats = np.array([[targets[s][1] if s in p else 0 for s in names] for p, _ in patterns], np.float64)
+    size = np.array([n for _, n in patterns], np.float64)
+    sets = (np.arange(1, 1 << len(names))[:, None] >> np.arange(len(names))) & 1
+    give = np.concatenate([np.minimum(b @ repeats.T, repeats.max(axis=1)) @ size for b in np.array_split(sets.astype(np.float64), max(1, len(sets) // 4096))])
+    enough = lambda total: bool((sets @ np.floor(total * share / weight) <= give).all())
+    part = sets @ share / weight
+    all_uses = int(repeats.max(axis=1) @ size)
+    lo, hi = min(int((give / part).min()), all_uses), min(int(((give + sets.sum(axis=1)) / part).min()) + 1, all_uses)
+    while lo > 0 and not enough(lo):
+        lo -= 1
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if enough(mid) else (lo, mid - 1)
+    return lo
+
+
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[int, dict[tuple[int, str], int]]:
     """The total and the tokens that each source takes of each pattern (by its place in the list)."""
     names = sorted(s for s, (share, k) in targets.items() if share > 0 and k > 0 and any(s in p and n > 0 for p, n in patterns))
@@ -101,6 +127,8 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
         flow = f.run(0, 1)
         return flow, {k: f.cap[e ^ 1] for k, e in takes.items() if f.cap[e ^ 1]}
 
+    if total is None and len(names) < 20 and len(patterns) << len(names) <= MOST_SUMS:
+        total = greatest_total(patterns, {s: targets[s] for s in names})
     if total is None:
         lo, hi = 0, sum(n * max((targets[s][1] for s in p if s in targets), default=0) for p, n in patterns)
         while lo < hi:
@@ -124,11 +152,12 @@ class Mixture:
         one = d.select(F.col("doc_id").cast("long").alias("doc"), "source", F.xxhash64("text").alias("h"))
         held = one.groupBy("h", "source").agg(F.min("doc").alias("doc_id")).join(counts, "h")
         texts = held.groupBy("h").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("docs"))
-        texts = texts.select("h", "n_tokens", "docs", F.col("docs.source").alias("pattern"), F.xxhash64("h", F.lit(seed)).alias("place"))
-        self.texts = materialise(texts.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int")), "texts")
-        rows = self.texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).sort(F.array_join("pattern", "\0")).limit(MOST_PATTERNS + 1).collect()
+        texts = materialise(texts.select("h", "n_tokens", "docs", F.col("docs.source").alias("pattern"), F.xxhash64("h", F.lit(seed)).alias("place")), "texts")
+        rows = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("texts")).sort(F.array_join("pattern", "\0")).limit(MOST_PATTERNS + 1).collect()
         if len(rows) > MOST_PATTERNS:
             raise ValueError("too many membership patterns")
+        buckets = 1 + max((r["texts"] for r in rows), default=0) // WINDOW
+        self.texts = texts.withColumn("bucket", F.pmod("place", F.lit(buckets)))
         patterns = [(tuple(r["pattern"]), int(r["n"])) for r in rows]
         self.total, flow = route(patterns, self.targets, total_tokens)
         at: dict[int, int] = {}

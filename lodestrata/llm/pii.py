@@ -1,9 +1,11 @@
 r"""Personal information in free text: e-mail addresses, phone and identity numbers, street addresses and names.
 
 Method: anchor expansion. One Aho-Corasick pass over the lower-case text finds anchors: at-signs and their spelled
-forms, words before identity numbers, street words, titles, and the parts of personal names. From each anchor a small
-deterministic parser expands to both sides and validates what it finds. Digit groups, for which there is no anchor
-word, are found by one pattern and validated by the numbering plans of the countries at hand.
+forms, words before identity numbers, opening brackets, digits, street words, titles, and the parts of personal names.
+From each anchor a small deterministic parser expands to both sides and validates what it finds: a digit that no number
+before it took to a group of digits, which is a phone number if the numbering plans of the countries at hand allow it, a
+bracket to an identity number in it. To the left an address is sought in ``LOCAL`` characters, more than the 64 that a
+local part may have, and the number and first words of a street in ``AHEAD``.
 
 Names are known by a lexicon that is learned here from all mail headers of the corpus (``From``, ``To`` and the like):
 first names and parts of surnames seen at least ``LEAST`` times. A title makes a name of any capitalised word after it.
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LOCAL = 90
+AHEAD = 120
 KINDS = ("email", "identity", "address", "phone", "name")
 LEAST = 2
 MOST = 2_000_000
@@ -96,7 +100,7 @@ _BEFORE_NOT = re.compile(r"(?:\b(?:Project|Projekt|Projet|Proyecto|Operation|Roo
 
 @functools.cache
 def _cues() -> list[tuple[str, str]]:
-    out = [(w, "@") for w in AT]
+    out = [(w, "@") for w in AT] + [(str(i), "d") for i in range(10)] + [("(", "b")]
     for words, kind in ((IDENTITY, "i"), (STREET, "e"), (RUE, "r"), (CALLE, "c"), (STRASSE, "g"), (TITLES, "t")):
         out += [(w, kind) for w in words]
     return out
@@ -150,6 +154,17 @@ def _phones(t: str, s: int, e: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def _digits_at(t: str, p: int, after: int) -> re.Match | None:
+    """The group of digits that begins with the digit at ``p`` and what may stand before it, not before ``after``."""
+    s = p
+    while s > after and s > p - 2 and t[s - 1] in "+(":
+        s -= 1
+    for i in range(s, p + 1):
+        if m := _DIGITS.match(t, i):
+            return m
+    return None
+
+
 def _french(low: str) -> bool:
     return sum(low.count(w) for w in (" le ", " les ", " dans ", " avec ", " pour ", " sous ")) > sum(low.count(w) for w in (" el ", " los ", " con ", " para ", " por ", " the ", " der ", " die "))
 
@@ -163,11 +178,23 @@ def find(t: str, a) -> list[tuple[int, int, str]]:
     streets: list[tuple[int, int, str]] = []
     parts: list[tuple[int, int, str]] = []
     titles: list[tuple[int, int]] = []
+    spans: list[tuple[int, int, str]] = []
+    after = 0  # the end of the last group of digits
     for end, (size, kinds) in a.iter(low):
         start, end = end - size + 1, end + 1
+        if kinds == "d":
+            if start >= after and (m := _digits_at(t, start, after)):
+                spans += _phones(t, *m.span())
+                after = m.end()
+            continue
         if kinds == "@":
             ats.append((start, end))
             continue
+        if kinds == "b":
+            m = _BRACKET.match(t, start)
+            if m and (d := _ID.match(t, m.end())) and d.end() < n and t[d.end()] == ")":
+                spans.append((d.start(), d.end(), "identity"))
+            continue
         if end < n and low[end].isalnum():
             continue
         inside = start > 0 and low[start - 1].isalnum()
@@ -185,11 +212,10 @@ def find(t: str, a) -> list[tuple[int, int, str]]:
                 titles.append((start, end))
             else:
                 streets.append((start, end, k))
-    spans: list[tuple[int, int, str]] = []
 
     for start, end in ats:
         spelled = end - start > 1
-        left = t[max(0, start - 90) : start]
+        left = t[max(0, start - LOCAL) : start]
         left = left.rstrip(" ") if spelled else left
         m = _LOCAL.search(left)
         if not m:
@@ -199,18 +225,14 @@ def find(t: str, a) -> list[tuple[int, int, str]]:
             gap += 1
         d = _DOMAIN.match(t, end + gap)
         if d:
-            spans.append((max(0, start - 90) + m.start(), d.end(), "email"))
+            spans.append((max(0, start - LOCAL) + m.start(), d.end(), "email"))
     for end in ids:
         m = re.compile(rf"(?:{_SP}|[:#(])*").match(t, end)
         d = _ID.match(t, m.end())
         if d and sum(c.isdigit() for c in d.group()) >= 5:
             spans.append((d.start(), d.end(), "identity"))
-    for m in _BRACKET.finditer(t):
-        d = _ID.match(t, m.end())
-        if d and d.end() < n and t[d.end()] == ")":
-            spans.append((d.start(), d.end(), "identity"))
     for start, end, k in streets:
-        at = max(0, start - 120)
+        at = max(0, start - AHEAD)
         if k == "e" and t[start].isupper():
             m = _NUMBER_BEFORE.search(t[at:start])
             if m:
@@ -231,8 +253,6 @@ def find(t: str, a) -> list[tuple[int, int, str]]:
                 s = at + b.start()
                 if t[s].isupper() and (s < start or t[s - 4 : s - 1] in ("Am ", "Im ")):
                     spans.append((s, _TOWN.match(t, m.end()).end(), "address"))
-    for m in _DIGITS.finditer(t):
-        spans += _phones(t, *m.span())
     order = {k: i for i, k in enumerate(KINDS)}
     taken: list[tuple[int, int, str]] = []
     held = bytearray(n)

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -49,3 +50,24 @@ def test_empty(spark):
     assert m.selection().count() == 0 and m.report().first().selected_tokens == 0
     assert mixing.Mixture(docs(spark, [(1, "x", "a")]), t.limit(0)).selection().count() == 0
     assert pytest.approx(1.0) == mixing.Mixture(docs(spark, [(1, "x y z", "a")]), t).report().first().actual_share
+
+
+def test_the_total_is_that_of_the_search(monkeypatch):
+    rnd = random.Random(7)
+    for _ in range(60):
+        names = "abcde"[: rnd.randint(1, 5)]
+        patterns = [(p, rnd.randint(1, 500)) for p in sorted({tuple(sorted(rnd.sample(names, rnd.randint(1, len(names))))) for _ in range(6)})]
+        targets = {s: (rnd.random(), rnd.randint(1, 4)) for s in names}
+        held = {s: v for s, v in targets.items() if any(s in p for p, _ in patterns)}
+        got = mixing.greatest_total(patterns, held)
+        monkeypatch.setattr(mixing, "MOST_SUMS", 0)
+        assert got == mixing.route(patterns, targets)[0]
+        monkeypatch.undo()
+
+
+def test_windows_of_any_size_fill_the_quotas(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WINDOW", 3)
+    rows = [(i, f"one text of many with number {i}", "big") for i in range(200)]
+    m = mixing.Mixture(docs(spark, rows), targets(spark, [("big", 1.0, 2)]))
+    sel = m.selection().collect()
+    assert len(sel) == 200 and {r.uses for r in sel} == {2}

@@ -68,3 +68,17 @@ def test_frames(spark):
     assert pii.spans(d, {}).count() == 0
     with pytest.raises(ValueError):
         pii.lexicon(docs, most=2)
+
+
+def test_anchored_digits_are_those_of_a_whole_scan():
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rnd.choices(["1", "23", "4567", " ", "+", "(", ")", "-", ".", "x", "@", "\n> "], weights=[3, 3, 4, 3, 1, 1, 1, 2, 1, 1, 1, 1], k=rnd.randint(1, 25)))
+        after, got = 0, []
+        for p, c in enumerate(t):
+            if c.isdigit() and p >= after and (m := pii._digits_at(t, p, after)):
+                got.append(m.span())
+                after = m.end()
+        assert got == [m.span() for m in pii._DIGITS.finditer(t)]
