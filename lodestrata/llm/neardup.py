@@ -193,11 +193,11 @@ def least_equal(share: float = SHARE, width: int = WIDTH, lost: float = LOST) ->
     return int(np.searchsorted(np.cumsum(p), lost, side="right"))
 
 
-def met(rows: DataFrame, share: float = SHARE) -> DataFrame:
+def met(rows: DataFrame, share: float = SHARE, lost: float = LOST) -> DataFrame:
     """(a, b), a < b: the pairs of classes that meet in a group of ``rows`` (g, half, rid, meta, signature), are in one
     table, and aren't too far apart in number of triples or in signature. ``half`` is -1 where all pairs of a group count,
     else only those of different halves do."""
-    need = least_equal(share)
+    need = least_equal(share, lost=lost)
 
     def pairs(g, half, rid, meta, sig) -> pa.RecordBatch:
         bits, n = meta & 3, meta >> 2
@@ -239,8 +239,9 @@ def met(rows: DataFrame, share: float = SHARE) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g").select("g", "half", "rid", "meta", "signature").mapInArrow(run, "a long, b long")
 
 
-def candidates(classes: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of classes (rid, tables, n, keys, signature) that have a sketch in common and pass ``met``."""
+def candidates(classes: DataFrame, share: float = SHARE, block: int = BLOCK, lost: float = LOST) -> DataFrame:
+    """(a, b): pairs of classes (rid, tables, n, keys, signature) that have a sketch in common and pass ``met``; with
+    ``lost`` = 0 signatures drop none."""
     rows = classes.select("rid", F.explode("keys").alias("k"))
     df = rows.groupBy("k").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     meta = F.shiftleft(F.col("n").cast("long"), 2).bitwiseOR(F.col("tables").cast("long")).alias("meta")
@@ -249,7 +250,7 @@ def candidates(classes: DataFrame, share: float = SHARE, block: int = BLOCK) ->
     mine = F.pmod(F.xxhash64("rid", "k"), blocks)
     every = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("x"), F.greatest(mine, o).alias("y"), F.when(mine == o, -1).when(mine < o, 0).otherwise(1).alias("half")))
     x = rows.select("k", "rid", "meta", "signature", F.explode(every).alias("r"))
-    return met(x.select(F.xxhash64("k", "r.x", "r.y").alias("g"), "r.half", "rid", "meta", "signature"), share).distinct()
+    return met(x.select(F.xxhash64("k", "r.x", "r.y").alias("g"), "r.half", "rid", "meta", "signature"), share, lost).distinct()
 
 
 def _chain(y: list[int]) -> int:
@@ -312,7 +313,7 @@ def verified(pairs: DataFrame, classes: DataFrame, share: float = SHARE) -> Data
 class Similar:
     """Links between the records of ``df`` (tbl, record_key, text): classes of equal texts and verified pairs of them."""
 
-    def __init__(self, df: DataFrame, share: float = SHARE, tables: tuple[str, ...] = (DOCUMENT, CHUNK)):
+    def __init__(self, df: DataFrame, share: float = SHARE, tables: tuple[str, ...] = (DOCUMENT, CHUNK), lost: float = LOST):
         r = df.where((F.length("text") > 0) & F.col("record_key").isNotNull()).select("tbl", F.col("record_key").cast("long").alias("record_key"), "text", F.xxhash64("text").alias("rid"))
         bit = F.lit(0)
         for i, name in enumerate(tables):
@@ -320,7 +321,7 @@ class Similar:
         texts = r.groupBy("rid").agg(F.bit_or(bit).alias("tables"), F.first("text").alias("text"))
         self.classes = materialise(sketched(texts), "sketches")
         self.members = r.select("tbl", "record_key", "rid").distinct()
-        self.found = materialise(candidates(self.classes, share), "candidates")
+        self.found = materialise(candidates(self.classes, share, lost=lost), "candidates")
         self.pairs = materialise(verified(self.found, self.classes, share), "pairs")
 
     def heads(self) -> DataFrame:
@@ -328,12 +329,13 @@ class Similar:
         m = self.members.groupBy("tbl", "rid").agg(F.min("record_key").alias("head"))
         return m.join(self.classes.select("rid"), "rid", "left_semi")
 
-    def links(self) -> DataFrame:
-        """(tbl, key_a, key_b): each record with the first ``SHOWN`` records of its class and of each linked class. Rows
-        grow in proportion to records and links, however large a class is; all pairs come out for up to ``SHOWN`` copies."""
+    def links(self, shown: int | None = SHOWN) -> DataFrame:
+        """(tbl, key_a, key_b): each record with the first ``shown`` records of its class and of each linked class. Rows
+        grow in proportion to records and links, however large a class is; all pairs come out for up to ``shown`` copies,
+        and for any number of them if it is None."""
         m = self.members.join(self.classes.select("rid"), "rid", "left_semi")
         first = Window.partitionBy("tbl", "rid").orderBy("record_key")
-        shown = m.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SHOWN).select("tbl", F.col("rid").alias("other"), F.col("record_key").alias("x"))
+        shown = m.withColumn("r", F.row_number().over(first)).where(F.lit(True) if shown is None else F.col("r") <= shown).select("tbl", F.col("rid").alias("other"), F.col("record_key").alias("x"))
         own = m.join(shown.withColumnRenamed("other", "rid"), ["tbl", "rid"]).where(F.col("record_key") != F.col("x")).select("tbl", "x", F.col("record_key").alias("y"))
         both = self.pairs.select(F.col("a").alias("rid"), F.col("b").alias("other")).unionByName(self.pairs.select(F.col("b").alias("rid"), F.col("a").alias("other")))
         far = both.join(shown, "other").join(m, ["tbl", "rid"]).select("tbl", "x", F.col("record_key").alias("y"))

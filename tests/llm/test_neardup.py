@@ -76,6 +76,7 @@ def test_edge_cases(spark):
     assert all(t == DOCUMENT for t, _, _ in links) and {k for _, a, b in links for k in (a, b)} == {*range(20), 103}
     g = s.groups().collect()
     assert {r.record_key for r in g if r.tbl == DOCUMENT} == {*range(20), 103} and {r.group_key for r in g} == {0}
+    assert s.links(None).where("tbl = 'document'").count() == 21 * 20 // 2 and s.links(2).where("key_b < 100").count() == 19 + 18
     assert neardup.Similar(d.limit(0)).links().count() == 0
 
 
@@ -99,8 +100,8 @@ def test_blocks_of_a_bucket_give_the_same_pairs(spark):
     notice = " ".join(f"n{i}" for i in range(90))
     rows = [(DOCUMENT, k, notice + " " + " ".join(f"k{k}x{i}" for i in range(8))) for k in range(60)] + [(DOCUMENT, 99, notice)]
     s = neardup.Similar(spark.createDataFrame([(*r, 1, 1) for r in rows], SCHEMA))
-    whole, parts = ({tuple(r) for r in neardup.candidates(s.classes, block=n).collect()} for n in (2048, 7))
-    assert whole == parts and len(whole) == 61 * 60 // 2
+    whole, parts, every = ({tuple(r) for r in neardup.candidates(s.classes, block=n, lost=p).collect()} for n, p in ((2048, 1e-4), (7, 1e-4), (2048, 0.0)))
+    assert whole == parts == every and len(whole) == 61 * 60 // 2
     assert {tuple(r) for r in s.links().collect()} == brute(rows)
 
 
