@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 
-from .operators import lexical, stats, vector
+from pyspark.sql import functions as F
+
+from .operators import lexical, lifecycle, stats, vector
 from .operators import query as q
 from .plans import ingestion, retrieval
 from .session import session, ship
@@ -23,7 +26,11 @@ def _query(spark, a) -> None:
         print(json.dumps({"query": a.query, "sources": [], "context": "", "answer": retrieval.context.NOTHING}))
 
 
+RUNS = "run_id long, started_utc long, finished_utc long, source_root string, status string, files_discovered long, files_eligible long, files_converted long, files_skipped long, files_failed long, notes string"
+
+
 def _ingest(spark, a) -> None:
+    began = int(time.time())
     inv, failed = files.expanded(files.inventory(spark, a.source_root, content=True))
     none = spark.createDataFrame([], "source_path string, source_hash string, artifact_type string")
     known = spark.read.parquet(a.registry) if a.registry else none
@@ -32,7 +39,16 @@ def _ingest(spark, a) -> None:
         df.write.mode("overwrite").parquet(f"{a.out}/{name}")
     done = spark.read.parquet(f"{a.out}/documents").groupBy("status").count().collect()
     counts = {r["status"]: r["count"] for r in done}
-    print(json.dumps({"converted": counts.get("COMPLETE", 0), "failed": counts.get("FAILED", 0), "status": "SUCCESS" if not counts.get("FAILED") and spark.read.parquet(f"{a.out}/expansion_failures").isEmpty() else "FAILED"}))
+    good, bad = counts.get("COMPLETE", 0), counts.get("FAILED", 0)
+    status = "SUCCESS" if not bad and spark.read.parquet(f"{a.out}/expansion_failures").isEmpty() else "FAILED"
+    made = spark.read.parquet(f"{a.out}/plan")
+    found, fit = made.count(), made.where("action = 'convert'").count()
+    before = spark.read.parquet(a.runs) if a.runs else spark.createDataFrame([], RUNS)
+    runs, run_id = lifecycle.create_run(before, a.source_root, found, fit, began)
+    lifecycle.finalize_run(runs, run_id, good, bad, int(time.time()), status).write.mode("overwrite").parquet(f"{a.out}/runs")
+    ids = inv.select(F.xxhash64("logical_path", "sha256").alias("artifact_id"), "sha256")
+    lifecycle.decisions(made, ids, run_id, began).write.mode("overwrite").parquet(f"{a.out}/decisions")
+    print(json.dumps({"run_id": run_id, "converted": good, "failed": bad, "status": status}))
 
 
 def _stats(spark, a) -> None:
@@ -56,6 +72,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--source-root", required=True)
     c.add_argument("--out", required=True)
     c.add_argument("--registry")
+    c.add_argument("--runs", help="table of earlier runs")
     c.set_defaults(run=_ingest)
     c = sub.add_parser("stats", help="counts of a corpus")
     for name in ("documents", "chunks", "embeddings"):

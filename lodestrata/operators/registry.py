@@ -54,6 +54,14 @@ def conversion_plan(artifacts: DataFrame, registry: DataFrame) -> DataFrame:
     return x.select("artifact_id", F.when(skip, "skip").otherwise("convert").alias("action"), reason.alias("reason"))
 
 
+def planned_artifacts(plan: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The plan with its artifacts' rows; an error if the plan names one that isn't there."""
+    gone = plan.select("artifact_id").join(artifacts.select("artifact_id"), "artifact_id", "left_anti").limit(1).collect()
+    if gone:
+        raise ValueError(f"the plan names artifact {gone[0]['artifact_id']}, which isn't in the inventory")
+    return plan.join(artifacts, "artifact_id")
+
+
 def context_plan(artifacts: DataFrame, registry: DataFrame, overrides: DataFrame) -> DataFrame:
     """(artifact_id, action, reason): an active override or both artifact types of the same hash mean skip."""
     have = registry.groupBy(F.col("source_path").alias("logical_path"), F.col("source_hash").alias("sha256")).agg(F.collect_set("artifact_type").alias("types"))

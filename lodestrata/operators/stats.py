@@ -60,10 +60,12 @@ def duplicate_summary(df: DataFrame, key: str, examples: int = 25) -> DataFrame:
     return n.join(F.broadcast(first))  # one row each
 
 
-def dataset_summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """(dataset, n_rows) of named tables."""
+def dataset_summary(tables: dict[str, DataFrame], known: dict[str, int] | None = None) -> DataFrame:
+    """(dataset, n_rows) of named tables; those that earlier statistics (``known``) tell aren't counted again."""
     out = None
     for name, df in sorted(tables.items()):
-        x = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows")
+        n = (known or {}).get(name)
+        x = df.agg(F.count(F.lit(1)).alias("n_rows")) if n is None else df.sparkSession.range(1).select(F.lit(n).cast("long").alias("n_rows"))
+        x = x.select(F.lit(name).alias("dataset"), "n_rows")
         out = x if out is None else out.unionByName(x)
     return out

@@ -10,7 +10,7 @@ import pytest
 
 from lodestrata import shared
 from lodestrata.functions import text
-from lodestrata.operators import lexical, lifecycle, ranking, registry, vector
+from lodestrata.operators import lexical, lifecycle, ranking, registry, stats, vector
 from lodestrata.sources import files, providers
 
 CHUNKS = "chunk_key long, logical_path string, source_path string, document_hash string, chunk_index int, chunk_id string, text string, tf int, shard string"
@@ -232,3 +232,16 @@ def test_rewrite_service(spark, service):
 def test_weights_of_variants(spark):
     d = spark.createDataFrame([("original", "a b", "a b"), ("rewrite", "x", "a b"), ("expansion", "a b c", "a b"), ("expansion", "a c", "a b")], "k string, v string, q string")
     assert [r[0] for r in d.select(ranking.variant_weight(*(d[c] for c in "kvq"))).collect()] == [1.0, 1.0, 0.75, 0.9]
+
+
+def test_a_plan_names_known_artifacts_only(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "artifact_id long, sha256 string")
+    plan = spark.createDataFrame([(1, "skip"), (3, "convert")], "artifact_id long, action string")
+    assert registry.planned_artifacts(plan.where("artifact_id = 1"), a).first().sha256 == "x"
+    with pytest.raises(ValueError):
+        registry.planned_artifacts(plan, a)
+
+
+def test_known_counts_are_not_counted_again(spark):
+    got = {r.dataset: r.n_rows for r in stats.dataset_summary({"a": spark.range(3), "b": spark.range(4)}, {"a": 10}).collect()}
+    assert got == {"a": 10, "b": 4}

@@ -274,7 +274,10 @@ def test_command_line(spark, sf, tmp_path, capsys):
     (tmp_path / "in" / "maildir").mkdir(parents=True)
     (tmp_path / "in" / "maildir" / "1.").write_bytes(b"Subject: Valve count\n\nThe valve count is done.\n")
     main(["ingest", "--source-root", str(tmp_path / "in"), "--out", str(tmp_path / "out")])
-    assert json.loads(capsys.readouterr().out) == {"converted": 1, "failed": 0, "status": "SUCCESS"}
+    assert json.loads(capsys.readouterr().out) == {"run_id": 1, "converted": 1, "failed": 0, "status": "SUCCESS"}
+    main(["ingest", "--source-root", str(tmp_path / "in"), "--out", str(tmp_path / "again"), "--runs", str(tmp_path / "out" / "runs")])
+    assert json.loads(capsys.readouterr().out)["run_id"] == 2 and spark.read.parquet(str(tmp_path / "again" / "runs")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "again" / "decisions")).first().decision_type == "convert"
     c = spark.read.parquet(f"{sf}/search_context_chunk.parquet").dropDuplicates(["chunk_key"])
     c.write.parquet(str(tmp_path / "chunks"))
     main(["query", "--query", "lease agreement risk", "--chunks", str(tmp_path / "chunks"), "--ranker", "bm25"])
