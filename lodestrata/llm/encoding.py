@@ -210,8 +210,9 @@ class Encoded:
         """(page, again): the places on their pages of rows that were there before."""
         rows = self.pages.select("page", F.posexplode(F.arrays_zip("doc", "h")).alias("i", "z")).select("page", "i", F.col("z.doc").alias("doc"), F.col("z.h").alias("h"))
         where = F.struct("page", "i")
-        more = rows.groupBy("doc", "h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        return rows.join(more, ["doc", "h"]).where(where != F.col("first")).groupBy("page").agg(F.collect_list("i").alias("again"))
+        more = rows.groupBy(F.col("doc").alias("d"), F.col("h").alias("g")).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+        return rows.join(more, same).where(where != F.col("first")).groupBy("page").agg(F.collect_list("i").alias("again"))
 
     def _joined(self, value: str) -> DataFrame:
         """The pages with ``value`` of the words joined to their distinct words: a list of (k, value) for each page."""

@@ -24,6 +24,12 @@ def test_ids_counts_and_round_trip(spark, truth):
     assert {r.doc_id: r.text for r in encoding.decode(e).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_rows_without_document_id(spark, truth):
+    d = spark.createDataFrame([(None, TEXTS[3]), (None, TEXTS[3]), (7, TEXTS[3]), (7, None), (7, ""), (None, None), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.ids) for r in encoding.encode(d).collect())
+    assert got == [(0, []), (0, truth[3]), (7, []), (7, []), (7, truth[3])]
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert encoding.encode(d).count() == 0 and encoding.token_counts(d).count() == 0
