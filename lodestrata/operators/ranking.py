@@ -137,9 +137,8 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
 def fuse(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 0.7, vector_weight: float = 0.3, floor: float = 0.6, k: int | None = None) -> DataFrame:
     """Lexical and vector results (query_id, chunk_key, logical_path, chunk_index, rank, score) of each query in one list.
 
-    Scores are brought to 0..1 within each list. A row that a list lacks has the score 0 there and is scaled like the
-    others, so it may go below 0; of a query without such a list it counts 0. Rows found by vectors only need a cosine of
-    ``floor``.
+    Scores are brought to 0..1 within each list. A lexical row without a vector has the cosine 0, which is scaled like the
+    others and may go below 0; a row found by vectors only has the scaled lexical score 0 and needs a cosine of ``floor``.
     """
     cols = ["query_id", "chunk_key", "logical_path", "chunk_index"]
     a = lexical.select(*cols, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
@@ -151,7 +150,8 @@ def fuse(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 0.7, vec
         lo, hi = F.min(c).over(w), F.max(c).over(w)  # nulls don't count
         return F.when(hi > lo, (F.coalesce(c, F.lit(0.0)) - lo) / (hi - lo)).otherwise(0.0)
 
-    x = x.withColumn("ln", scaled("lexical_score")).withColumn("vn", scaled("vector_score"))
+    lexical_part = F.when(F.col("lexical_rank").isNull(), 0.0).otherwise(scaled("lexical_score"))
+    x = x.withColumn("ln", lexical_part).withColumn("vn", scaled("vector_score"))
     x = x.where(F.col("lexical_rank").isNotNull() | (F.col("vector_score") >= floor))
     origin = F.when(F.col("vector_rank").isNull(), "lexical_only").when(F.col("lexical_rank").isNull(), "vector_only").otherwise("both")
     score = lexical_weight * F.coalesce("ln", F.lit(0.0)) + vector_weight * F.coalesce("vn", F.lit(0.0))
@@ -169,16 +169,17 @@ def variant_summary(rows: DataFrame) -> DataFrame:
 
 def full_trace(final: DataFrame) -> DataFrame:
     """One row per result with all that the stages say of it: ranks and scores before fusion, raw and scaled, origin, fused
-    score, and what the diversity of sources made of it. Rows of ``fuse`` after ``source_diversity``, with query_text."""
+    score, and what weights and the diversity of sources made of it. Rows of ``fuse`` with their raw_score, weight, query_text
+    and variant_kind, after ``source_diversity``."""
     has = lambda c: F.col(c).isNotNull()
     return final.select(
         "query_id", F.col("rank").alias("final_rank"), "chunk_key", "logical_path", "chunk_index", "chunk_id",
         F.col("lexical_rank").alias("lexical_rank_before_fusion"), F.col("vector_rank").alias("vector_rank_before_fusion"),
         has("lexical_rank").alias("present_in_lexical"), has("vector_rank").alias("present_in_vector"), has("lexical_rank").alias("seen_in_lexical"), has("vector_rank").alias("seen_in_vector"), "match_origin",
-        "lexical_score", "vector_score", "lexical_score_normalized", "vector_score_normalized",
+        F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), "lexical_score_normalized", "vector_score_normalized",
         F.col("fusion_score").alias("fusion_score_pre_doc_boost"), F.col("fusion_score").alias("fusion_score_post_doc_boost"),
         F.col("score").alias("pre_diversity_score"), F.col("diversity_score").alias("final_score_after_diversity"), F.col("diversity_score").alias("final_score"),
-        F.col("fusion_score").alias("raw_score"), F.coalesce("weight", F.lit(1.0)).alias("expansion_weight"), F.col("query_text").alias("matched_query"), F.coalesce("variant_kind", F.lit("original")).alias("query_variant_kind"),
+        "raw_score", F.col("weight").alias("expansion_weight"), F.col("query_text").alias("matched_query"), F.col("variant_kind").alias("query_variant_kind"),
         F.col("diversity_weight").alias("source_diversity_weight"), F.max("source_occurrence").over(Window.partitionBy("query_id", "logical_path")).alias("source_occurrence_count"),
     )
 

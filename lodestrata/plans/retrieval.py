@@ -42,7 +42,7 @@ def ranked(queries: DataFrame, index: lexical.Index, s: Settings = Settings(), v
     full = materialise(lexical.hydrate(vc, vq, index), "hydrated")
     r = (ranking.overlap if s.ranker == "overlap" else ranking.bm25)(full, s.ranked)
     if s.ranker == "hybrid" and vectors is not None:
-        vr = vectors.join(v.where(F.col("variant_ord") == 0).select(F.col("query_id"), "vid"), "query_id").drop("query_id").withColumnRenamed("vid", "query_id")
+        vr = vectors.join(v.select("query_id", "vid"), "query_id").drop("query_id").withColumnRenamed("vid", "query_id")
         vr = vr.join(index.chunks.select("chunk_key", "logical_path", "chunk_index"), "chunk_key")
         fused = ranking.fuse(r, vr, k=s.ranked).select("query_id", "chunk_key", F.col("rank"), F.col("lexical_score"), F.col("vector_score"), "fusion_score")
         r = fused.join(r.select("query_id", "chunk_key", "matched_terms"), ["query_id", "chunk_key"], "left").join(index.chunks.select("chunk_key", "logical_path", "document_hash", "chunk_index", "chunk_id"), "chunk_key")

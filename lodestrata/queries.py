@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -415,7 +415,7 @@ vx as (select query_id, chunk_key, row_number() over (partition by query_id orde
 j as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_key, b.chunk_key) as chunk_key, a.score as ls, b.score as vs, a.rank as lr, b.rank as vr from lx a full join vx b on a.query_id = b.query_id and a.chunk_key = b.chunk_key),
 jc as (select j.*, ch.logical_path, ch.chunk_index, ch.chunk_id from j join ch using (chunk_key)),
 bounds as (select query_id, min(ls) as ll, max(ls) as lh, min(vs) as vl, max(vs) as vh from jc group by 1),
-sn as (select jc.*, case when lh > ll then (coalesce(ls, 0) - ll) / (lh - ll) else 0 end::double as ln, case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end::double as vn from jc join bounds using (query_id) where ls is not null or vs >= 0.6),
+sn as (select jc.*, case when ls is not null and lh > ll then (ls - ll) / (lh - ll) else 0 end::double as ln, case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end::double as vn from jc join bounds using (query_id) where ls is not null or vs >= 0.6),
 o as (select *, case when vs is null then 'lexical_only' when ls is null then 'vector_only' else 'both' end as match_origin,
  round(0.7 * ln + 0.3 * vn, 6) as fusion_score from sn),
 fu as (select *, row_number() over (partition by query_id order by fusion_score desc, logical_path desc, chunk_index desc, chunk_key) as rank from o)"""
@@ -435,18 +435,20 @@ def hybrid_fusion(s, d):
     return _fused(s, d).select("query_id", "chunk_key", "match_origin", "fusion_score", "rank")
 
 
-_TRACE = f"""{_FUSED}, fd as (select *, row_number() over (partition by query_id, logical_path order by rank) as occ from fu where rank <= 20),
-fw as (select *, case occ when 1 then 1.0 when 2 then 0.92 else 0.80 end::double as w from fd), ft2 as (select *, fusion_score * w as ds, row_number() over (partition by query_id order by fusion_score * w desc, rank) as nr from fw)"""
+_TRACE = f"""{_FUSED}, fs as (select *, coalesce(ls, vs) as score from fu where rank <= 100), fo as (select * replace (row_number() over (partition by query_id order by score desc, rank, chunk_key) as rank) from fs),
+fd as (select *, row_number() over (partition by query_id, logical_path order by rank) as occ from fo where rank <= 20),
+fw as (select *, case occ when 1 then 1.0 when 2 then 0.92 else 0.80 end::double as w from fd), ft2 as (select *, score * w as ds, row_number() over (partition by query_id order by score * w desc, rank) as nr from fw)"""
 
 
 @register(f"""with {_TRACE} select ft2.query_id, nr as final_rank, chunk_key, logical_path, chunk_index, chunk_id, lr as lexical_rank_before_fusion, vr as vector_rank_before_fusion, lr is not null as present_in_lexical, vr is not null as present_in_vector,
-lr is not null as seen_in_lexical, vr is not null as seen_in_vector, match_origin, ls as lexical_score, vs as vector_score, round(ln, 6) as lexical_score_normalized, round(vn, 6) as vector_score_normalized, fusion_score as fusion_score_pre_doc_boost, fusion_score as fusion_score_post_doc_boost,
-fusion_score as pre_diversity_score, round(ds, 6) as final_score_after_diversity, round(ds, 6) as final_score, fusion_score as raw_score, 1.0::double as expansion_weight, q.query_text as matched_query, 'original' as query_variant_kind, w as source_diversity_weight, max(occ) over (partition by ft2.query_id, logical_path) as source_occurrence_count from ft2 join q using (query_id)""")
+lr is not null as seen_in_lexical, vr is not null as seen_in_vector, match_origin, coalesce(ls, 0) as lexical_score, coalesce(vs, 0) as vector_score, round(ln, 6) as lexical_score_normalized, round(vn, 6) as vector_score_normalized, fusion_score as fusion_score_pre_doc_boost, fusion_score as fusion_score_post_doc_boost,
+score as pre_diversity_score, round(ds, 6) as final_score_after_diversity, round(ds, 6) as final_score, score as raw_score, 1.0::double as expansion_weight, q.query_text as matched_query, 'original' as query_variant_kind, w as source_diversity_weight, max(occ) over (partition by ft2.query_id, logical_path) as source_occurrence_count from ft2 join q using (query_id)""")
 def retrieval_trace(s, d):
-    """Fused results after the diversity of sources, with everything that led to their places."""
-    x = _fused(s, d).where(F.col("rank") <= 20).withColumn("score", F.col("fusion_score"))
-    x = x.join(index(s, d).chunks.select("chunk_key", "chunk_id"), "chunk_key").join(titles(s, d), "query_id")
-    t = ranking.full_trace(ranking.source_diversity(x).withColumns({"weight": F.lit(1.0), "variant_kind": F.lit("original")}))
+    """Fused results in the order of their raw scores after the diversity of sources, with everything that led to their places."""
+    x = _fused(s, d).where(F.col("rank") <= 100).withColumn("score", F.coalesce("lexical_score", "vector_score"))
+    x = x.withColumnRenamed("rank", "fusion_rank").withColumns({"rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "fusion_rank", "chunk_key")), "raw_score": F.col("score"), "weight": F.lit(1.0), "variant_kind": F.lit("original")})
+    x = x.where(F.col("rank") <= 20).join(index(s, d).chunks.select("chunk_key", "chunk_id"), "chunk_key").join(titles(s, d), "query_id")
+    t = ranking.full_trace(ranking.source_diversity(x))
     return t.withColumns({c: F.round(c, 6) for c in ("lexical_score_normalized", "vector_score_normalized", "final_score_after_diversity", "final_score")})
 
 
@@ -504,8 +506,19 @@ def answer_extract(s, d):
 _Q_RISK = _Q.replace("query_text from (select", "query_text || case when ('0x' || substr(md5(query_text), 1, 15))::bigint % 2 = 0 then ' risk' else '' end as query_text from (select")
 
 
-def _pipeline_sql() -> str:
-    """Variants of each query ranked by BM25 over the query's candidates, merged; score gap, MMR, diversity, context."""
+_HYBRID = f"""{_EM}, fv as (select query_id, vector as v from hr join ev using (chunk_key) where o = 0 qualify row_number() over (partition by query_id order by rank) = 1),
+vx as (select query_id, chunk_key, row_number() over (partition by query_id order by score desc, chunk_key) as rank, score from (select query_id, chunk_key, {_COS.format("vector", "v")} as score from ev join fv on len(v) = len(vector)) qualify rank <= 50),
+vo as (select vx.*, o, weight from vx join va using (query_id)),
+ju as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.o, b.o) as o, coalesce(a.weight, b.weight) as weight, coalesce(a.chunk_key, b.chunk_key) as chunk_key, a.score as ls, b.score as vs from hr a full join vo b on a.query_id = b.query_id and a.o = b.o and a.chunk_key = b.chunk_key),
+jb as (select query_id, o, min(ls) as ll, max(ls) as lh, min(vs) as vl, max(vs) as vh from ju group by all),
+jf as (select ju.query_id, ju.o, weight, ch.*, coalesce(ls, vs) as score, round(0.7 * case when ls is not null and lh > ll then (ls - ll) / (lh - ll) else 0 end + 0.3 * case when vh > vl then (coalesce(vs, 0) - vl) / (vh - vl) else 0 end, 6) as fusion from ju join jb using (query_id, o) join ch using (chunk_key) where ls is not null or vs >= 0.6),
+h2 as (select *, row_number() over (partition by query_id, o order by fusion desc, logical_path desc, chunk_index desc, chunk_key) as rank from jf qualify rank <= 100)"""
+
+
+def _pipeline_sql(hybrid: bool = False) -> str:
+    """Variants of each query ranked by BM25 over the query's candidates (fused with vectors if hybrid), merged; score gap,
+    MMR, diversity, context."""
+    ranked = "h2" if hybrid else "hr"
     core = "sum(case when tf = 0 then 0.0 else ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) end)"
     return f"""{_CAND.replace(_Q, _Q_RISK)},
 va as (select query_id, 0 as o, 'original' as kind, query_text as vt, 1.0::double as weight from q union all select query_id, 1, 'expansion', trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) || ' risk_management hedging', 0.75 from q where query_id % 2 = 0),
@@ -517,7 +530,7 @@ hd as (select query_id, o, term, count(*) filter (tf > 0) as df from ht group by
 hc as (select query_id, o, chunk_key, {core} as core from ht join hs using (query_id, o) join hd using (query_id, o, term) group by all),
 hx as (select h.*, round(core + ({_INTENT}) + case when contains(lower(text), lower(trim(vt))) then 1.0 else 0.0 end, 6) as score from h join hc using (query_id, o, chunk_key)),
 hr as (select *, row_number() over (partition by query_id, o order by score desc, chunk_index, logical_path, chunk_key) as rank from hx where score > 0 qualify rank <= 100),
-hm as (select * replace (score * weight as score), min(o * 1000 + rank) over (partition by query_id, chunk_key) as seen from hr),
+{_HYBRID + ", " if hybrid else ""}hm as (select * replace (score * weight as score), min(o * 1000 + rank) over (partition by query_id, chunk_key) as seen from {ranked}),
 ho as (select * from hm qualify row_number() over (partition by query_id, chunk_key order by score desc, o, rank) = 1),
 me as (select * replace (row_number() over (partition by query_id order by score desc, seen, chunk_key) as rank) from ho),
 mk as (select *, sum((score >= 0.35 * top)::int) over (partition by query_id) as nk from (select *, first_value(score) over (partition by query_id order by rank) as top from me)),
@@ -539,6 +552,16 @@ def retrieve_end_to_end(s, d):
     return retrieval.contexts(_variant_queries(s, d), index(s, d)).drop("sources")
 
 
+@register(f"with {_pipeline_sql(True)} select query_id, query_text, context_text, n_sources, length(context_text)::int as context_chars from cx join q using (query_id)")
+def retrieve_hybrid(s, d):
+    """The same with BM25 and vectors fused; each query asks with the vector of its first lexical hit that has one."""
+    ix, q = index(s, d), _variant_queries(s, d)
+    lex = materialise(ranking.bm25(lexical.hydrate(lexical.candidates(q, ix), q, ix), 100).select("query_id", "chunk_key", "rank"), "lexical")
+    v = materialise(_vectors(s, d), "vectors")
+    near = materialise(vector.top_k(retrieval.feedback(lex, v), v, 50), "near")
+    return retrieval.contexts(q, ix, retrieval.Settings(ranker="hybrid"), near).drop("sources")
+
+
 # Registries
 
 _ART = "sa as (select artifact_id, physical_path, logical_path, source_type, size_bytes, sha256, first_seen_run_id, last_seen_run_id, is_active, modified_utc from source_artifacts)"
