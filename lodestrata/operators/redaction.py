@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,39 +53,55 @@ def check(profile: str, ruleset_version: str, ruleset_hash: str) -> None:
         raise ValueError("rules have another version or hash")
 
 
-def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """All matches of one rule as (start, end, rule_order, category, rule_id, original), found in the JVM."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    end0 = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,original:string>>").alias("l"))
+#: Stands around matches while a text is cut at them; texts that hold it are cut in another way.
+_EDGE = "\ue000\uf8ff"
 
-    def step(s: Column, i: Column) -> Column:
-        start = s["at"] + F.length(F.get(gaps, i))
-        m = F.get(found, i)
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.concat(s["l"], F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("original")))).alias("l"))
 
-    at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    l = F.aggregate(at, end0, step)["l"]
-    return F.transform(l, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(order).alias("rule_order"), F.lit(rule.category).alias("category"), F.lit(rule.rule_id).alias("rule_id"), x["original"].alias("original")))
+def _cut(text: Column, pattern: str) -> Column:
+    """A text as gap, match, gap, ..., gap; one pass of the pattern unless the text holds the mark."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("m")), lambda z: F.array_compact(F.array(z["g"], z["m"]))))
+    return F.when(F.contains(text, F.lit(_EDGE)), both).otherwise(F.split(F.regexp_replace(text, pattern, f"{_EDGE}$0{_EDGE}"), _EDGE, -1))
 
 
-def spans(text: Column | str, profile: str) -> Column:
-    c = F.col(text) if isinstance(text, str) else text
-    return F.flatten(F.array(*(rule_spans(c, r, i) for i, r in enumerate(PROFILES[profile]))))
+def found(docs: DataFrame, profile: str) -> DataFrame:
+    """(artifact_id, start_char, end_char, rule_order, category, rule_id, original): all matches of all rules of a profile.
 
-
-def resolve(found: Column) -> Column:
-    """Spans by (start, end, rule order), each taken if it starts where the last one taken has ended."""
-    none = F.struct(F.lit(0).alias("at"), F.slice(found, 1, 0).alias("l"))
-    return F.aggregate(F.array_sort(found), none, lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["l"], F.array(x)).alias("l"))).otherwise(s))["l"]
+    Matches and the lengths between them are rows, whose running sums are the places; no list grows within a text. An
+    artifact_id counts once; without one a document takes no part.
+    """
+    rules = F.array(*(F.struct(F.lit(i).alias("rule_order"), F.lit(r.category).alias("category"), F.lit(r.rule_id).alias("rule_id"), _cut(F.col("text_content"), r.pattern).alias("parts")) for i, r in enumerate(PROFILES[profile])))
+    x = docs.where((F.length("text_content") > 0) & F.col("artifact_id").isNotNull()).select("artifact_id", F.explode(rules).alias("r")).where(F.size("r.parts") > 1)
+    x = x.select("artifact_id", "r.rule_order", "r.category", "r.rule_id", F.posexplode("r.parts").alias("at", "part"))
+    match = F.col("at") % 2 == 1
+    x = x.select("artifact_id", "rule_order", "category", "rule_id", "at", F.length("part").alias("size"), F.when(match, F.col("part")).alias("original"))
+    upto = Window.partitionBy("artifact_id", "rule_order").orderBy("at")
+    x = x.withColumn("end_char", F.sum("size").over(upto).cast("int")).where(F.col("original").isNotNull())
+    return x.select("artifact_id", (F.col("end_char") - F.col("size")).alias("start_char"), "end_char", "rule_order", "category", "rule_id", "original")
+
+
+def resolve(spans: DataFrame) -> DataFrame:
+    """Spans of each artifact by (start, end, rule order), each taken if it starts where the last one taken has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = None, 0
+        for b in batches:
+            keep = []
+            for key, start, end in zip(*(b.column(c).to_pylist() for c in ("artifact_id", "start_char", "end_char"))):
+                if key != here:
+                    here, at = key, 0
+                keep.append(start >= at)
+                at = end if start >= at else at
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    order = ["artifact_id", "start_char", "end_char", "rule_order"]
+    return spans.repartition("artifact_id").sortWithinPartitions(*order).mapInArrow(run, spans.schema)
 
 
 def span_rows(docs: DataFrame, profile: str, resolved: bool) -> DataFrame:
     """(artifact_id, start_char, end_char, rule_order, category, rule_id, original)."""
-    c = F.array_distinct(spans("text_content", profile))
-    x = docs.where(F.length("text_content") > 0).select("artifact_id", F.explode(resolve(c) if resolved else c).alias("s"))
-    return x.select("artifact_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), "s.rule_order", "s.category", "s.rule_id", "s.original")
+    x = found(docs, profile)
+    return resolve(x) if resolved else x
 
 
 def plan(docs: DataFrame, profile: str) -> DataFrame:

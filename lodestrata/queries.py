@@ -937,6 +937,38 @@ def validate_embeddings(s, d):
     return validation.error_counts(validation.vectors(x))
 
 
+def _artifact_errors() -> str:
+    """For each kind of artifact what ``validate_artifacts`` spoils: the type, all fields with a kind, two values."""
+    out = []
+    for kind, fields in validation.ARTIFACTS.items():
+        spoilt = [("artifact_type", "run_id % 5 = 0"), *((f, "run_id % 7 = 0") for f, want in fields.items() if want)]
+        if kind == "query_answer":
+            spoilt.append(("source_count", "run_id % 3 = 0 and run_id % 7 <> 0"))
+        if kind == "query_eval_run_manifest":
+            spoilt = [(f, w + (" or run_id % 4 = 1" if f == "query_set_sha256" else "")) for f, w in spoilt]
+        out += [(kind, f, w) for f, w in spoilt]
+    rows = " union all ".join(f"select '{k}' as kind, '{f}' as error, count(*) as n_rows from runs where {w}" for k, f, w in out)
+    return f"select kind, error, sum(n_rows)::bigint as n_rows from ({rows}) group by all having sum(n_rows) > 0"
+
+
+@register(_artifact_errors())
+def validate_artifacts(s, d):
+    """Artifacts of all other kinds, one for each run, some of them spoilt."""
+    gone, out = F.col("run_id") % 7 == 0, None
+    values = {"int": F.lit(1), "string": F.lit("x"), "boolean": F.lit(True), "struct": F.struct(F.lit(1).alias("v")), "array": F.array(F.lit("x")), "": F.lit("x")}
+    for kind, fields in validation.ARTIFACTS.items():
+        cols = {f: values[want] if not want else F.when(~gone, values[want]) for f, want in fields.items()}
+        if kind == "query_answer":
+            cols["source_count"] = F.when(F.col("run_id") % 3 == 0, 2).otherwise(1)
+        if kind == "query_eval_run_manifest":
+            cols["query_set_sha256"] = F.when(F.col("run_id") % 4 == 1, "").otherwise(cols["query_set_sha256"])
+        common = {"artifact_type": F.when(F.col("run_id") % 5 == 0, "other").otherwise(kind), "schema_version": F.lit("v1"), "created_utc": F.col("started_utc"), "producer_expert": F.lit("p"), "run_id": F.col("run_id"), "status": F.lit("COMPLETE")}
+        x = table(s, d, "runs").select(*(c.alias(n) for n, c in (common | cols).items()))
+        x = validation.error_counts(validation.artifact(x, kind)).select(F.lit(kind).alias("kind"), "error", "n_rows")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 # Evaluation
 
 _EVAL = f"""{_BM25}, {_DC}, ex as (select distinct query_id, logical_path as source from dc join q on dc.title = q.query_text),

@@ -4,7 +4,6 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestrata.functions import text
 from lodestrata.operators import chunking, context, evaluation, query, ranking, redaction, registry, stats, validation, vector
@@ -115,16 +114,24 @@ def test_answer_without_context(spark):
 
 def test_spans_are_resolved_greedily(spark):
     rnd = random.Random(3)
-    s = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("rule_order", T.IntegerType()))]))
-    cases = [[(a, a + rnd.randrange(1, 6), rnd.randrange(3)) for a in (rnd.randrange(20) for _ in range(rnd.randrange(9)))] for _ in range(40)]
-    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("s", s)])).select("i", redaction.resolve(F.col("s")).alias("r")).collect()
-    for r in got:
+    cases = [sorted({(a, a + rnd.randrange(1, 6), rnd.randrange(3)) for a in (rnd.randrange(20) for _ in range(rnd.randrange(9)))}) for _ in range(40)]
+    rows = [(i, *x) for i, c in enumerate(cases) for x in rnd.sample(c, len(c))]
+    got = redaction.resolve(spark.createDataFrame(rows, "artifact_id long, start_char int, end_char int, rule_order int")).collect()
+    for i, c in enumerate(cases):
         want, at = [], 0
-        for x in sorted(cases[r.i]):
+        for x in c:
             if x[0] >= at:
                 want.append(x)
                 at = x[1]
-        assert [tuple(x) for x in r.r] == want
+        assert sorted(tuple(r)[1:] for r in got if r.artifact_id == i) == want
+
+
+def test_spans_of_texts_that_hold_the_mark(spark):
+    mark = redaction._EDGE
+    t = f"{mark}a@b.example {mark} c@d.example{mark}"
+    d = spark.createDataFrame([(1, t), (2, "a@b.example"), (3, "😀 x@y.example"), (None, "a@b.example"), (4, mark)], "artifact_id long, text_content string")
+    got = sorted((r.artifact_id, r.start_char, r.original) for r in redaction.span_rows(d, "identity_contact", True).collect())
+    assert got == [(1, 2, "a@b.example"), (1, 17, "c@d.example"), (2, 0, "a@b.example"), (3, 2, "x@y.example")]
 
 
 def test_all_rules_find_their_shape(spark):
