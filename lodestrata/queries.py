@@ -15,7 +15,7 @@ from .functions import text as T
 from .operators import chunking, context, evaluation, lexical, lifecycle, query, ranking, redaction, registry, stats, validation, vector
 from .plans import retrieval
 from .shared import materialise, shared_dir
-from .sources import files
+from .sources import files, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1096,6 +1096,15 @@ def email_document(s, d):
     return x.select("artifact_id", "status", F.md5("text_content").alias("digest"), F.length("text_content").alias("n_chars"))
 
 
+@register("select n_nationkey as artifact_id, kind as logical_path, case when kind = 'doc' then 'FAILED' else 'COMPLETE' end as status, case when kind <> 'doc' then 'Name ' || n_name || chr(10) || 'Second line – ' || r_name end as text_content from nation join region on n_regionkey = r_regionkey, (select unnest(['docx', 'odt', 'rtf', 'pdf', 'doc']) as kind)")
+def extract_office(s, d):
+    """Small files of each office kind, made of the tables that don't grow, and their text; a binary one that can't be read."""
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()  # 25 rows
+    rows = [(r.n_nationkey, kind, kind, bytearray(make(f"Name {r.n_name}", f"Second line – {r.r_name}")), "x") for r in n for kind, make in samples.MAKERS.items()]
+    x = s.createDataFrame(rows, "artifact_id long, logical_path string, source_type string, content binary, sha256 string")
+    return files.extract(x).select("artifact_id", "logical_path", "status", "text_content")
+
+
 @register(f"with {_CH}, lp as (select document_hash, max(logical_path) as logical_path from ch group by 1) select document_hash, logical_path, chunk_index, chunk_id, md5(text) as digest, text_hash from ch join lp using (document_hash, logical_path)")
 def chunk_scan(s, d):
     """Chunk collections written as JSON and read back as rows."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .office import office_text
 
 #: Extensions that an inventory takes, and those it looks for in archives.
 EXTENSIONS = ("docx", "doc", "rtf", "zip", "pdf", "")
@@ -123,13 +124,13 @@ def parse_mail(content: bytes) -> tuple[str, str, str, str, str]:
 
 
 def plain_text(kind: str, content: bytes) -> str:
-    """The extractor that needs no other program: mails and texts. Office formats raise."""
+    """Mails, texts, office files and PDF; what can't be read raises."""
     if kind in ("", "eml"):
         s, f, t, d, b = parse_mail(content)
         return f"Subject: {s}\nFrom: {f}\nTo: {t}\nDate: {d}\n\n{b}".strip()
     if kind in ("txt", "md", "csv"):
         return content.decode("utf-8", "replace")
-    raise ValueError(f"no extractor for {kind!r}")
+    return office_text(kind, content)
 
 
 def extract(inv: DataFrame, extractor: Callable[[str, bytes], str] = plain_text) -> DataFrame:

@@ -245,3 +245,19 @@ def test_a_plan_names_known_artifacts_only(spark):
 def test_known_counts_are_not_counted_again(spark):
     got = {r.dataset: r.n_rows for r in stats.dataset_summary({"a": spark.range(3), "b": spark.range(4)}, {"a": 10}).collect()}
     assert got == {"a": 10, "b": 4}
+
+
+def test_office_files():
+    from lodestrata.sources import office, samples
+
+    lines = ("Größe & <x> {y} \\z (a) – “q”", "", "tail\t2")
+    for kind in ("docx", "odt", "rtf", "pdf"):
+        got = office.office_text(kind, samples.MAKERS[kind](*lines))
+        assert got.split() == " ".join(lines).split(), kind
+    assert office.docx_text(samples.docx("a", "", "b 😀")) == "a\n\nb 😀" and office.rtf_text(samples.rtf("日本", "😀")) == "日本\n😀"
+    for kind, bad in (("docx", b"no zip"), ("odt", samples.docx("x")), ("rtf", b"text"), ("pdf", b"text"), ("pdf", b"%PDF-1.4\n"), ("xls", b"")):
+        with pytest.raises(Exception):
+            office.office_text(kind, bad)
+    bomb = samples._zip("word/document.xml", '<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>')
+    with pytest.raises(ValueError):
+        office.docx_text(bomb)
