@@ -48,11 +48,22 @@ class _Cleaning:
                 del _writing[self.key]
 
 
+#: For folders of the local file system (a mounted one, too): files without a process that sets permissions for each, during
+#: which an executor's memory counts twice, and without checksum files beside them.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def _options(spark: SparkSession, at: str) -> dict[str, str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    local = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    return {"compression": "zstd", **(_PLAIN_FILES if local else {})}
+
+
 def write_table(df: DataFrame, at: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet and read it back. The shuffle files of the write aren't needed afterwards."""
     spark = df.sparkSession
     with _Cleaning(spark):
-        w = df.write.mode("overwrite").option("compression", "zstd")
+        w = df.write.mode("overwrite").options(**_options(spark, at))
         (w.partitionBy(*partition_by) if partition_by else w).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
