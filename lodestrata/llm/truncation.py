@@ -6,8 +6,9 @@ Method:
    UTF-8 bytes, UTF-16 units, entity or JSON escaping, other line ends), its ending, and the pairs of neighbouring words
    with how many of them end a sentence.
 2. *Endings.* A text whose end has no stop is complete if its last two words end a sentence in most places where the
-   corpus has them, or with a list item, link, table row, name or closing line; else it looks cut. What was put after a
-   cut (dots, ``<cut>``, notes of the transfer) is taken off first.
+   corpus has them (in some places, if an ellipsis follows the last word, as that may be its stop) and don't stand in an
+   open bracket, or with a list item, link, table row, name or closing line; else it looks cut. What was put after a cut (dots, ``<cut>``, notes of the
+   transfer) is taken off first.
 3. *Hidden limits.* Distinct texts are counted by source, form and length. A limit is a length, anywhere in the
    histogram, that has far more texts than the lengths around it and most of whose texts look cut. A text that lies on
    several such spikes counts for the strongest; spikes that are left with few are the shadow of another form's limit.
@@ -165,34 +166,36 @@ def _patterns():
     return tuple(regex.compile(p) for p in (FOOTERS, "(?r)" + MARKS, STOP, EMOJI))
 
 
-def without_marks(ending: str) -> tuple[str, bool, bool]:
-    """An ending without footers and what was added after a cut, whether something was, and whether it has a stop."""
+def without_marks(ending: str) -> tuple[str, bool, bool, bool]:
+    """An ending without footers and what was added after a cut, whether something was, whether it has a stop, and whether
+    what was added is an ellipsis right after a word, which may also be how the sentence ends."""
     footers, marks, stop, emoji = _patterns()
     t = footers.sub("", ending).rstrip()
     body = marks.sub("", t)
-    return body, body != t, bool(stop.search(body[-40:])) or (body == t and bool(emoji.search(ending[-8:])))
+    return body, body != t, bool(stop.search(body[-40:])) or (body == t and bool(emoji.search(ending[-8:]))), t[len(body) :] in ("...", "…")
 
 
 def open_endings(m: DataFrame) -> DataFrame:
-    """(h, lengths, body, marked, pair) of the measured texts (h, lengths, ending) that end without a stop; ``pair`` is that of
-    the last two words."""
+    """(h, lengths, body, marked, dots, pair) of the measured texts (h, lengths, ending) that end without a stop; ``dots`` tells
+    of an ellipsis, ``pair`` is that of the last two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends = [without_marks(t) for t in b.column(2).to_pylist()]
-            at = [i for i, (body, _, stopped) in enumerate(ends) if not stopped and body.strip()]
+            at = [i for i, (body, _, stopped, _) in enumerate(ends) if not stopped and body.strip()]
             bodies = [ends[i][0] for i in at]
             two, of, _ = word_pairs(bodies) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
             last = np.zeros(len(at), np.uint64)
             last[of] = two  # the last one stays
             k = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), pa.array(bodies, pa.string()), pa.array([ends[i][1] for i in at], pa.bool_()), pa.array(last.view(np.int64))], ["h", "lengths", "body", "marked", "pair"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k), pa.array(bodies, pa.string()), *(pa.array([ends[i][c] for i in at], pa.bool_()) for c in (1, 3)), pa.array(last.view(np.int64))], ["h", "lengths", "body", "marked", "dots", "pair"])
 
-    return m.where(~_plain(F.col("ending"))).select("h", "lengths", "ending").mapInArrow(run, "h long, lengths array<int>, body string, marked boolean, pair long")
+    return m.where(~_plain(F.col("ending"))).select("h", "lengths", "ending").mapInArrow(run, "h long, lengths array<int>, body string, marked boolean, dots boolean, pair long")
 
 
 def closings(e: DataFrame) -> DataFrame:
-    """Adds ``closing`` to open endings: whether ``body`` ends with a list item, link, table row, name or closing line."""
+    """Adds to open endings ``closing``, whether ``body`` ends with a list item, link, table row, name or closing line, and
+    ``bracket``, whether it ends within a bracket."""
     d = e.withColumn("lines", F.filter(F.split("body", r"\r?\n"), lambda x: x.rlike(r"\S")))
     d = d.withColumn("last", F.trim(F.regexp_replace(F.coalesce(F.get("lines", F.size("lines") - 1), F.lit("")), r"^[>|\s]+", "")))
     d = d.withColumn("above", F.trim(F.coalesce(F.get("lines", F.size("lines") - 2), F.lit("")))).drop("lines")
@@ -216,7 +219,8 @@ def closings(e: DataFrame) -> DataFrame:
         | titled
         | line.rlike(r",$") & (words <= 5)
     )
-    return d.withColumn("closing", F.coalesce(closing, F.lit(False)))
+    d = d.withColumn("closing", F.coalesce(closing, F.lit(False)))
+    return d.withColumn("bracket", F.right("body", F.lit(120)).rlike(r"\([^()\n|]{2,}$"))
 
 
 class Corpus:
@@ -231,9 +235,10 @@ class Corpus:
         h = F.xxhash64("text").alias("h")
         self.rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), h), "rows")
         m = materialise(measured(docs.select(h, "text").groupBy("h").agg(F.first("text").alias("text"))), "measured")
-        e = closings(open_endings(m)).select("h", "lengths", "marked", "closing", F.size(F.split("body", r"\s+")).alias("n_words"), "pair")
-        known = sentence_ends(m).where((F.col("n") >= ends_least) & (2 * F.col("n") > F.col("n_all"))).select("pair", F.lit(True).alias("ends"))
-        e = e.join(known, "pair", "left").select("h", "lengths", "marked", (~F.col("closing") & F.col("ends").isNull() & (F.col("n_words") > 3)).alias("looks_cut"))
+        e = closings(open_endings(m)).select("h", "lengths", "marked", "dots", "closing", "bracket", F.size(F.split("body", r"\s+")).alias("n_words"), "pair")
+        known = sentence_ends(m).where(F.col("n") >= ends_least).select("pair", (2 * F.col("n") > F.col("n_all")).alias("mostly"))
+        ends = F.when(F.col("mostly").isNull(), False).otherwise(F.col("mostly") | F.col("dots"))
+        e = e.join(known, "pair", "left").select("h", "lengths", "marked", (~F.col("closing") & (F.col("bracket") | ~ends) & (F.col("n_words") > 3)).alias("looks_cut"))
         self.open = materialise(e, "open")
         self.limits = materialise(self._limits(m, least, contrast), "limits")
 

@@ -83,6 +83,7 @@ def test_tails_that_stand_inside_sentences_mostly_are_no_ends(spark):
     docs += [(10 + i, f"Today {chr(97 + i)} saw of the plan that was made with of the plan we had in mind.") for i in range(4)]
     docs += [(20 + i, f"It was kind of {chr(97 + i)} to send best wishes.") for i in range(4)]
     docs += [(30 + i, "The same text ends with rare words.") for i in range(4)]
+    docs += [(50, "They all looked once more at the plan..."), (51, "They all looked once more at the…"), (52, "They all looked once more at the plan [...]")]
     docs += [(40, "My long report was about the rest of the plan"), (41, "We all send you and your house best wishes"), (42, "My long report was on a few rare words")]
     d = spark.createDataFrame([(i, "a", t) for i, t in docs], "doc_id long, source string, text string")
-    assert {r.doc_id for r in truncation.truncated(d).collect()} == {40, 42}
+    assert {r.doc_id for r in truncation.truncated(d).collect()} == {40, 42, 51, 52}
