@@ -214,10 +214,9 @@ def _best(xi: np.ndarray, x: np.ndarray, yi: np.ndarray, y: np.ndarray, k: int,
     """For each of x the k most similar of y, by their numbers."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for lo in range(0, len(x), 1024):
-        s = x[lo : lo + 1024] @ y.T
-        s[xi[lo : lo + 1024, None] == yi[None, :]] = -2
-        r, c = _k_best(s, k, least)
-        out.append((xi[lo + r], yi[c]))
+        r, c = _k_best(x[lo : lo + 1024] @ y.T, k + 1, least)  # the vector itself may be among them
+        other = xi[lo + r] != yi[c]
+        out.append((xi[lo + r[other]], yi[c[other]]))
     return tuple(np.concatenate(o) for o in zip(*out))
 
 
@@ -312,8 +311,9 @@ def compared(rows: DataFrame, k: int, least: float, dim: int = DIM) -> DataFrame
                 for q in range(mid, hi, 1024):
                     qi = vid[q : min(q + 1024, hi)]
                     s = x[q : q + len(qi)] @ v.T
-                    s[qi[:, None] == i[None, :]] = -2
-                    r, c = _k_best(s, k, max(least - 1e-5, -1.5))
+                    r, c = _k_best(s, k + 1, max(least - 1e-5, -1.5))  # the look itself may be among them
+                    other = qi[r] != i[c]
+                    r, c = r[other], c[other]
                     if len(r):
                         exact = np.einsum("ij,ij->i", x[q + r].astype(np.float64), v[c].astype(np.float64))
                         keep = exact >= least - 1e-7
