@@ -109,5 +109,27 @@ select tbl, record_key, 'oversized' as kind from d union all select tbl, record_
 """
 
 
+#: Every pair of valid vectors, ranked for each; copies are each other's nearest.
+P1_FOUND = """
+with z as (select unnest(chunk_keys) as k, unnest(embeddings) as v from embedding_vector_batch),
+ok as (select k, any_value(v) as v from z where k is not null and v is not null and len(v) = 64 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0 group by 1),
+u as (select k, list_transform(v, lambda x: x::double / sqrt(list_sum(list_transform(v, lambda y: y::double * y::double))))::double[64] as v from ok),
+s as (select a.k as a, b.k as b, array_inner_product(a.v, b.v) as sim from u a join u b on a.k <> b.k),
+r as (select *, row_number() over (partition by a order by sim desc, b) as n from s)
+select distinct least(a, b) as chunk_key_a, greatest(a, b) as chunk_key_b from r where n <= 10 and sim >= 0.9 - 1e-7
+"""
+#: Pairs that share one of their rarest triples (a pair that shares 0.70 of its union must), counted exactly.
+P2_FOUND = """
+with r as (select 'document' as tbl, artifact_id as k, text_content as text from search_context_document union select 'chunk', chunk_key, text from search_context_chunk),
+w as (select tbl, k, regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+') as w from r where length(text) > 0),
+t as (select distinct tbl, k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as t from w where len(w) > 2),
+a as (select *, count(*) over (partition by tbl, t) as df, count(*) over (partition by tbl, k) as n from t),
+p as (select * from a qualify row_number() over (partition by tbl, k order by df, t) <= n - ceil(0.7 * n - 1e-9) + 1),
+c as (select distinct x.tbl, x.k as key_a, y.k as key_b, x.n as na, y.n as nb from p x join p y using (tbl, t) where x.k < y.k and x.n >= 0.7 * y.n - 1e-9 and y.n >= 0.7 * x.n - 1e-9),
+s as (select c.tbl, key_a, key_b, na, nb, count(*) as shared from c join t x on x.tbl = c.tbl and x.k = key_a join t y on y.tbl = c.tbl and y.k = key_b and y.t = x.t group by all)
+select tbl, key_a, key_b from s where shared >= 0.7 * (na + nb - shared) - 1e-9
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p6_round_trip": "select doc_id, md5(coalesce(text, '')) as digest, length(coalesce(text, ''))::int as n_chars from documents"}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_round_trip": "select doc_id, md5(coalesce(text, '')) as digest, length(coalesce(text, ''))::int as n_chars from documents"}
