@@ -6,9 +6,10 @@ Method:
    UTF-8 bytes, UTF-16 units, entity or JSON escaping, other line ends), its ending, and the pairs of neighbouring words
    with how many of them end a sentence.
 2. *Endings.* A text whose end has no stop is complete if its last two words end a sentence in most places where the
-   corpus has them (in some places, if an ellipsis follows the last word, as that may be its stop) and don't stand in an
-   open bracket, or with a list item, link, table row, name or closing line; else it looks cut. What was put after a cut (dots, ``<cut>``, notes of the
-   transfer) is taken off first.
+   corpus has them (in more than one of twenty, if an ellipsis follows the last word, as that may be its stop) and don't
+   stand in an open bracket, or with a list item, link, table row, name or closing line; else it looks cut. What was put
+   after a cut (dots, ``<cut>``, notes of the transfer) is taken off first, and its dots are no proof that the words before
+   them end a sentence: of a large corpus' cuts many stop at the same letters.
 3. *Hidden limits.* Distinct texts are counted by source, form and length. A limit is a length, anywhere in the
    histogram, that has far more texts than the lengths around it and most of whose texts look cut. A text that lies on
    several such spikes counts for the strongest; spikes that are left with few are the shadow of another form's limit.
@@ -90,7 +91,8 @@ _tables: list[np.ndarray] = []
 def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all pairs of neighbouring words, the text of each, and whether it ends a sentence.
 
-    Words are in lower case, without brackets, quotes and stops; all words with a digit are one.
+    Words are in lower case, without brackets, quotes and stops; words with as many digits are one. Two dots or more are no
+    stop, as they are also put after a cut, nor is the dot after a single letter.
     """
     if not _tables:
         _tables.extend((_sets(" \t\n\x0b\x0c\r\x85\xa0\u2007\u202f\u3000"), _sets(_STOPS), _sets(_CLOSERS), _sets(_LEFT_OUT)))
@@ -104,18 +106,22 @@ def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(solid & ~closer[a])
     k = np.searchsorted(at, last) - 1
     end = at[np.maximum(k, 0)] if len(at) else np.zeros(len(last), np.int64)
-    ends = (k >= 0) & (end >= first) & stop[a[end]] if len(at) else np.zeros(len(last), bool)
+    dots = (a[end] == 46) & (end > first) & (a[end - 1] == 46) if len(at) else np.zeros(len(last), bool)
+    ends = (k >= 0) & (end >= first) & stop[a[end]] & ~dots if len(at) else np.zeros(len(last), bool)
     kept = np.flatnonzero(solid & ~left_out[a])
     up, down = powers(max(_AT_ONCE, 1 << (len(kept) + 1).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((lower[a[kept]] + np.uint32(1)).astype(np.uint64) * up[: len(kept)])))
     lo, hi = np.searchsorted(kept, first), np.searchsorted(kept, last)
     numbers = np.concatenate(([0], np.cumsum(digit[a[kept]])))
-    words = np.where(numbers[hi] > numbers[lo], np.uint64(1), mix64((sums[hi] - sums[lo]) * down[lo]))
+    digits = numbers[hi] - numbers[lo]
+    words = np.where(digits > 0, digits.astype(np.uint64), mix64((sums[hi] - sums[lo]) * down[lo]))
     some = hi > lo
+    ends &= (hi - lo != 1) | (digits > 0)
     ends_after = ends.copy()  # a stop of its own ends the word before
     ends_after[:-1] |= ends[1:] & ~some[1:]
     words, ends, of = words[some], ends_after[some], (np.searchsorted(starts, first, side="right") - 1)[some]
-    two = mix64(words[:-1] * np.uint64(0xBF58476D1CE4E5B9) + words[1:])
+    before = np.where(digits[some] > 0, np.uint64(1), words)[:-1]  # how many digits counts for the second word only
+    two = mix64(before * np.uint64(0xBF58476D1CE4E5B9) + words[1:])
     same = of[:-1] == of[1:]
     return two[same], of[1:][same], ends[1:][same]
 
@@ -230,14 +236,14 @@ class Corpus:
     texts that end without a stop, ``limits`` (source, form, cap, n_at) the storage limits.
     """
 
-    def __init__(self, docs: DataFrame, ends_least: int = 3, least: int = 5, contrast: float = 8.0):
+    def __init__(self, docs: DataFrame, ends_least: int = 3, least: int = 5, contrast: float = 8.0, dots_least: float = 0.05):
         docs = docs.where(F.length("text") > 0)
         h = F.xxhash64("text").alias("h")
         self.rows = materialise(docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), h), "rows")
         m = materialise(measured(docs.select(h, "text").groupBy("h").agg(F.first("text").alias("text"))), "measured")
         e = closings(open_endings(m)).select("h", "lengths", "marked", "dots", "closing", "bracket", F.size(F.split("body", r"\s+")).alias("n_words"), "pair")
-        known = sentence_ends(m).where(F.col("n") >= ends_least).select("pair", (2 * F.col("n") > F.col("n_all")).alias("mostly"))
-        ends = F.when(F.col("mostly").isNull(), False).otherwise(F.col("mostly") | F.col("dots"))
+        known = sentence_ends(m).where(F.col("n") >= ends_least).select("pair", (F.col("n") / F.col("n_all")).alias("ending"))
+        ends = F.coalesce(F.col("ending") > F.when(F.col("dots"), dots_least).otherwise(0.5), F.lit(False))
         e = e.join(known, "pair", "left").select("h", "lengths", "marked", (~F.col("closing") & (F.col("bracket") | ~ends) & (F.col("n_words") > 3)).alias("looks_cut"))
         self.open = materialise(e, "open")
         self.limits = materialise(self._limits(m, least, contrast), "limits")

@@ -87,3 +87,20 @@ def test_tails_that_stand_inside_sentences_mostly_are_no_ends(spark):
     docs += [(40, "My long report was about the rest of the plan"), (41, "We all send you and your house best wishes"), (42, "My long report was on a few rare words")]
     d = spark.createDataFrame([(i, "a", t) for i, t in docs], "doc_id long, source string, text string")
     assert {r.doc_id for r in truncation.truncated(d).collect()} == {40, 42, 51, 52}
+
+
+def test_what_is_put_after_a_cut_proves_no_sentence_end(spark):
+    who = ["carrier", "insurer", "courier", "lab", "board"]
+    docs = [(10 + i, f"The {w} looked at the plan. Then the {w} went to the har" + ("..." if i % 2 else " [...]")) for i, w in enumerate(who)]
+    docs += [(20, "Nobody of them all knew how to get to the har"), (21, "They all came in and went to the har (...)")]
+    docs += [(30 + i, f"They filed it for {w} in folder 1234{i}. S. Moor read the report by the {w}.") for i, w in enumerate(who)]
+    docs += [(40, "They filed it once more in folder 12"), (41, "They filed it once more in folder 54321"), (42, "They filed it once more in folder 98765. s")]
+    docs += [(50 + i, f"When {w} asked, the tenant of {w} came with the tenant we know. It was the tenant that {w} met. " * 9 + f"So said {w} of the tenant.") for i, w in enumerate(who)]
+    docs += [(60, "They all met once more after the tenant..."), (61, "They all looked once more at the plan...")]
+    d = spark.createDataFrame([(i, "a", t) for i, t in docs], "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.truncated(d).collect()} == {10, 11, 12, 13, 14, 20, 21, 40, 42, 60}
+
+
+def test_stops_of_word_pairs():
+    _, _, ends = truncation.word_pairs(["to the har...", "to the har [...]", "to the har. (...)", "by S. Moor", "is 5. go on?"])
+    assert ends.tolist() == [False] * 5 + [True, False, False, True, False, True]
